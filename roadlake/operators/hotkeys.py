@@ -1,0 +1,189 @@
+"""Ordered look-back (previous row, last seen value) over keys of any size.
+
+A plain window sends a whole key to one task. That is right for most devices,
+but one device may hold a third of all rows. Such hot keys are cut into
+consecutive *slices* of bounded size: each slice is windowed on its own and the
+few facts it needs from earlier slices (their last row, their row count, their
+last non-null value) come from one small row per slice. The answer is the same
+as that of the plain window, whatever the cut points are.
+
+Rows of one key must differ in the order columns; copies are removed first
+(``clean.dedup``).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ROWS_PER_SLICE = 5_000_000
+# Bounds for what is collected and broadcast, not for what is computed: keys
+# past the first MAX_HOT_KEYS stay whole, and each of those is smaller than
+# total/MAX_HOT_KEYS; slices grow once there would be more than MAX_SLICES.
+MAX_HOT_KEYS = 1024
+MAX_SLICES = 4095
+SAMPLES_PER_SLICE = 32
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Where the hot keys are cut. ``cuts`` is None when no key is hot."""
+
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    cuts: DataFrame | None = None
+
+    @property
+    def any_hot(self) -> bool:
+        return self.cuts is not None
+
+    def window(self) -> WindowSpec:
+        parts = [*self.keys, "slice"] if self.any_hot else list(self.keys)
+        return Window.partitionBy(*parts).orderBy(*self.order)
+
+
+def plan_slices(
+    df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE
+) -> Slices:
+    """Find the hot keys of ``df`` and cut points inside them.
+
+    Costs one count per key (combined map-side, key columns only) and, only if
+    there are hot keys, one sampled pass over those.
+    """
+    spark = df.sparkSession
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > rows_per_slice)
+        .orderBy(F.desc("n"))
+        .limit(MAX_HOT_KEYS)
+        .collect()
+    )
+    if not hot:
+        return Slices(tuple(keys), tuple(order))
+
+    size = max(rows_per_slice, -(-sum(r["n"] for r in hot) // MAX_SLICES))
+    key_schema = T.StructType([df.schema[k] for k in keys])
+    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
+
+    # A sample only steers where to cut, never what is computed. It is drawn by
+    # row, so even rows that agree in every column are thinned out.
+    by_order = Window.partitionBy(*keys).orderBy(*order)
+    cuts = (
+        df.select(*keys, *order)
+        .join(F.broadcast(hot_keys), keys, "left_semi")
+        .where(F.rand(7) < F.lit(min(1.0, SAMPLES_PER_SLICE / size)))
+        .withColumn("rank", F.row_number().over(by_order))
+        .where(F.col("rank") % SAMPLES_PER_SLICE == 0)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.array_distinct(F.collect_list(F.struct(*order)))).alias("cuts"))
+    )
+    rows = cuts.collect()
+    if not rows:
+        return Slices(tuple(keys), tuple(order))
+    return Slices(tuple(keys), tuple(order), spark.createDataFrame(rows, cuts.schema))
+
+
+def assign(df: DataFrame, slices: Slices) -> DataFrame:
+    """Add ``slice``: how many cut points of the row's key are at or before it."""
+    if not slices.any_hot:
+        return df
+    here = F.struct(*slices.order)
+    largest = (2 * MAX_SLICES).bit_length()
+    steps = F.array(*[F.lit(1 << b) for b in range(largest, -1, -1)])
+
+    def advance(pos: Column, step: Column) -> Column:
+        return F.when(F.get("cuts", pos + step - 1) <= here, pos + step).otherwise(pos)
+
+    position = F.aggregate(steps, F.lit(0), advance)
+    return (
+        df.join(F.broadcast(slices.cuts), list(slices.keys), "left")
+        .withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(position))
+        .drop("cuts")
+    )
+
+
+def _per_slice(df: DataFrame, slices: Slices, *aggs: Column) -> DataFrame:
+    """One row per slice of the hot keys; there are at most a few thousand."""
+    return (
+        df.join(F.broadcast(slices.cuts.select(*slices.keys)), list(slices.keys), "left_semi")
+        .groupBy(*slices.keys, "slice")
+        .agg(*aggs)
+    )
+
+
+def _earlier(slices: Slices) -> WindowSpec:
+    by_slice = Window.partitionBy(*slices.keys).orderBy("slice")
+    return by_slice.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_previous(df: DataFrame, slices: Slices, columns: list[str]) -> DataFrame:
+    """Add ``prev_<column>`` (one row back), ``rn`` and ``is_last``.
+
+    ``df`` has gone through ``assign``.
+    """
+    w = slices.window()
+    out = df.withColumns(
+        {
+            **{f"prev_{c}": F.lag(c).over(w) for c in columns},
+            "rn": F.row_number().over(w),
+            "is_last": F.lead(F.lit(True)).over(w).isNull(),
+        }
+    )
+    if not slices.any_hot:
+        return out
+    ends = _per_slice(
+        df,
+        slices,
+        F.max_by(F.struct(*columns), F.struct(*slices.order)).alias("end"),
+        F.count("*").alias("n"),
+    )
+    by_slice = Window.partitionBy(*slices.keys).orderBy("slice")
+    seams = ends.select(
+        *slices.keys,
+        "slice",
+        F.lag("end").over(by_slice).alias("seam"),
+        F.sum("n").over(_earlier(slices)).alias("seam_rows"),
+        F.lead(F.lit(True)).over(by_slice).isNotNull().alias("seam_more"),
+    )
+    first = F.col("rn") == 1
+    return (
+        out.join(F.broadcast(seams), [*slices.keys, "slice"], "left")
+        .withColumns(
+            {
+                **{
+                    f"prev_{c}": F.when(first, F.col(f"seam.{c}")).otherwise(F.col(f"prev_{c}"))
+                    for c in columns
+                },
+                "rn": F.col("rn") + F.coalesce("seam_rows", F.lit(0)),
+                "is_last": F.col("is_last") & ~F.coalesce("seam_more", F.lit(False)),
+            }
+        )
+        .drop("seam", "seam_rows", "seam_more")
+    )
+
+
+def with_last_seen(df: DataFrame, slices: Slices, value: Column, name: str) -> DataFrame:
+    """Add ``name``: the last non-null ``value`` up to and including the row."""
+    w = slices.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    if not slices.any_hot:
+        return out
+    kept = _per_slice(
+        df,
+        slices,
+        F.max_by(value, F.when(value.isNotNull(), F.struct(*slices.order))).alias("kept"),
+    )
+    seams = kept.select(
+        *slices.keys,
+        "slice",
+        F.last("kept", ignorenulls=True).over(_earlier(slices)).alias("seam_value"),
+    )
+    return (
+        out.join(F.broadcast(seams), [*slices.keys, "slice"], "left")
+        .withColumn(name, F.coalesce(name, "seam_value"))
+        .drop("seam_value")
+    )
