@@ -42,3 +42,24 @@ def float_text(value: Column) -> Column:
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(F.concat(mantissa, F.lit("e"), sign, wide))
     )
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """Nearest decimal of the exact binary value, ties to even (0.295 gives 0.29).
+
+    ``bround`` looks at the shortest decimal text instead (0.30). The scaled
+    value is kept as a sum of two doubles, so a tie is seen for what it is.
+    """
+    scale = F.lit(float(10**digits))
+    # Fixed value: 2**27 + 1 splits a double into two halves of 26 bits.
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    low = value - high
+    scaled = high * scale + low * scale
+    rest = (high * scale - scaled) + low * scale
+    down = F.floor(scaled).cast("double")
+    tie = scaled - down == 0.5
+    nearest = (
+        F.when(tie & (rest > 0), down + 1).when(tie & (rest < 0), down).otherwise(F.rint(scaled))
+    )
+    return nearest / scale
