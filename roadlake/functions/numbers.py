@@ -14,14 +14,22 @@ INT_PATTERN = r"^\s*[+-]?\d+(_\d+)*\s*$"
 
 
 def to_float(text: Column) -> Column:
-    """DOUBLE, or NULL where the text is not a number. ``1.0f`` is not one."""
+    """DOUBLE, or NULL where the text is not a number. ``1.0f`` is not one.
+
+    The plain cast differs only on texts with a type suffix, a hex prefix, an
+    underscore or a name (inf, nan); only those are held against the pattern.
+    """
+    odd = text.rlike("[dDfFxXnN_]")
     plain = F.regexp_replace(text, r"(?i)[_\s]|[+-](?=nan)", "")
-    return F.when(text.rlike(FLOAT_PATTERN), plain.try_cast("double"))
+    by_pattern = F.when(text.rlike(FLOAT_PATTERN), plain.try_cast("double"))
+    return F.when(odd, by_pattern).otherwise(text.try_cast("double"))
 
 
 def to_int(text: Column) -> Column:
+    """INT, or NULL where the text is not a whole number."""
     plain = F.regexp_replace(text, r"[_\s]", "")
-    return F.when(text.rlike(INT_PATTERN), plain.try_cast("int"))
+    by_pattern = F.when(text.rlike(INT_PATTERN), plain.try_cast("int"))
+    return F.when(text.contains("_"), by_pattern).otherwise(text.try_cast("int"))
 
 
 def float_text(value: Column) -> Column:

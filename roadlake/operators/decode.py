@@ -5,12 +5,15 @@ All of it is column arithmetic on one row: no shuffle, no Python.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.numbers import to_float, to_int
 from roadlake.functions.once import once
-from roadlake.functions.payload import base64_bytes, base64_clean, unquoted, utf8_text
+from roadlake.functions.payload import base64_bytes, unquoted, utf8_text
 from roadlake.functions.times import from_epoch
 from roadlake.schemas import FAULT_COLUMNS, GPS_COLUMNS
 
@@ -61,12 +64,16 @@ def failed_rules(rules: dict[str, Column]) -> Column:
 
 def _fields(messages: DataFrame, unquote: bool) -> DataFrame:
     """Add the message text and its fields; one more than allowed shows excess."""
-    data = once(once(messages, clean=base64_clean(F.col("body"))), data=base64_bytes(F.col("clean")))
+    data = once(messages, data=base64_bytes(F.col("body")))
     text = once(data, text=utf8_text(F.col("data")))
     whole = unquoted(F.col("text")) if unquote else F.col("text")
     return once(text, f=F.split(whole, ":", MAX_FIELDS))
 
 
+def _any_broken(rules: dict[str, Column]) -> Column:
+    return ~reduce(and_, [F.coalesce(ok, F.lit(False)) for ok in rules.values()])
+
+
 def _judged(typed: DataFrame, count: int, numbers: list[str], rules: dict[str, Column]) -> DataFrame:
     unreadable = F.lit(False)
     for name in numbers:
@@ -75,7 +82,7 @@ def _judged(typed: DataFrame, count: int, numbers: list[str], rules: dict[str, C
         F.when(F.col("text").isNull(), DECODE)
         .when(F.size("f") != count, FIELD_COUNT)
         .when(unreadable, NUMBER)
-        .when(F.size(failed_rules(rules)) > 0, RANGE)
+        .when(_any_broken(rules), RANGE)
     )
     return once(typed, reject_reason=reason)
 
