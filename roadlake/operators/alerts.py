@@ -193,7 +193,7 @@ def _matches(rule: AlertRule, data: _Typed | _Variant) -> Column:
             tests.append(data.is_one_of(key, threshold))
         else:
             tests.append(data.is_one_of(key, [threshold]))
-    return F.coalesce(reduce(and_, tests), F.lit(False))
+    return reduce(and_, tests)
 
 
 def _subject(rule: AlertRule, data: _Typed | _Variant) -> Column:
@@ -207,7 +207,7 @@ def _subject(rule: AlertRule, data: _Typed | _Variant) -> Column:
 
 
 def match_any(envelopes: DataFrame, rules: tuple[AlertRule, ...] = RULES) -> DataFrame:
-    """Envelopes that at least one rule matches."""
+    """Envelopes that at least one rule matches; a test on a missing value is NULL, which fails."""
     data = _reader(envelopes)
     return envelopes.where(reduce(or_, [_matches(r, data) for r in rules], F.lit(False)))
 

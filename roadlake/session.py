@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -27,8 +28,8 @@ def build_session(app: str = "roadlake", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that every executor can reach.
+def _shared_base(spark: SparkSession) -> str:
+    """The folder that every executor can reach.
 
     The cluster names the folder in ``spark.checkpoint.dir``. Only a local
     session, whose executors all share this machine, may fall back to a
@@ -40,15 +41,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="roadlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/roadlake/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_shared_base(spark)}/roadlake/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def pin(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table scan.
 
     Used where several later jobs read the same costly frame: the copy survives
-    lost executors, and its parquet columns are pruned per reader.
+    lost executors, and its parquet columns are pruned per reader. With ``at``
+    the copy replaces an earlier one of the same path.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = at or shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_dir(spark: SparkSession, table_path: str, name: str) -> str:
+    """A fixed path per table, so that repeated staging reuses its space."""
+    label = hashlib.md5(table_path.encode()).hexdigest()
+    return f"{_shared_base(spark)}/roadlake/staging/{label}/{name}"

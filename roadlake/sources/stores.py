@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadlake.operators.summary import merge_summaries
 from roadlake.schemas import RAW_MESSAGE
-from roadlake.session import pin
+from roadlake.session import pin, staging_dir
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +76,7 @@ def upsert_summary(fresh: DataFrame, path: str) -> None:
     files; the replacement is idempotent, so a lost job is simply run again.
     """
     spark = fresh.sparkSession
-    fresh = pin(fresh, "fresh-summary")
+    fresh = pin(fresh, "fresh", at=staging_dir(spark, path, "fresh"))
     if fresh.isEmpty():
         return
     try:
@@ -88,4 +88,4 @@ def upsert_summary(fresh: DataFrame, path: str) -> None:
         return
     days = fresh.select("summary_date").distinct()
     merged = merge_summaries(stored.join(days, "summary_date", "left_semi"), fresh)
-    write_summary(pin(merged, "merged-summary"), path)
+    write_summary(pin(merged, "merged", at=staging_dir(spark, path, "merged")), path)
