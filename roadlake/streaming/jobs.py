@@ -259,7 +259,11 @@ def start_fault_ingest(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Raw fault messages to stored, named and labelled faults."""
+    """Raw fault messages to stored, named and labelled faults.
+
+    Its processing-time timers ask for a batch at every trigger, so it runs with
+    a period; ``availableNow`` would not end.
+    """
     decoded = decode.decode_faults(decode.route(messages, "fault"))
     complete = fault_status(decode.good(decoded, FAULT_COLUMNS)).where(F.col("status") == COMPLETE)
 
