@@ -82,11 +82,13 @@ def _exit_of(key: str) -> Callable[[pa.Table], pa.Table]:
 def _agree_on_entries(rows: DataFrame, slices: hotkeys.Slices, key: str) -> DataFrame:
     """Entry of every slice of the hot codes, as (key, slice, entry)."""
     spark = rows.sparkSession
+    # Stored by slice, so that a round reads the slices it walks and no others.
     hot = pin(
-        rows.join(F.broadcast(slices.cuts.select(key)), key, "left_semi").select(
-            key, "slice", *ORDER, "cooldown"
-        ),
+        rows.join(F.broadcast(slices.cuts.select(key)), key, "left_semi")
+        .select(key, "slice", *ORDER, "cooldown")
+        .repartition(key, "slice"),
         "cooldown",
+        partition_by=("slice",),
     )
     schema = T.StructType(
         [rows.schema[key], T.StructField("slice", T.IntegerType()), T.StructField("entry", T.LongType())]

@@ -24,7 +24,7 @@ from roadlake.operators.paging import page_counts
 from roadlake.plans import faults as fault_plan
 from roadlake.plans import gps as gps_plan
 from roadlake.schemas import FAULT_COLUMNS, GPS_COLUMNS, SUMMARY_COLUMNS
-from roadlake.session import shared_dir
+from roadlake.session import pin, shared_dir
 from roadlake.sources import stores, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def _faults(spark: SparkSession, sf: str) -> DataFrame:
     return faults.fault_events(tables.fault_segments(spark, sf))
 
 
+def _kept_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults are stored before anything is decided about them."""
+    return pin(_faults(spark, sf), "faults")
+
+
 def _stored_faults(spark: SparkSession, sf: str) -> DataFrame:
     return fault_plan.labelled_faults(
         _faults(spark, sf), tables.devices(spark, sf), tables.fault_labels(spark, sf)
@@ -318,13 +323,13 @@ def fault_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fault_suppression(spark: SparkSession, sf: str) -> DataFrame:
-    marked = suppression.mark_suppressed(_faults(spark, sf))
+    marked = suppression.mark_suppressed(_kept_faults(spark, sf))
     return _naive(marked.select(*faults.FAULT_KEY, "suppressed"))
 
 
 def fault_suppression_sliced(spark: SparkSession, sf: str) -> DataFrame:
     """The same answer with every code of more than ten faults cut into slices."""
-    marked = suppression.mark_suppressed(_faults(spark, sf), rows_per_slice=10)
+    marked = suppression.mark_suppressed(_kept_faults(spark, sf), rows_per_slice=10)
     return _naive(marked.select(*faults.FAULT_KEY, "suppressed"))
 
 
@@ -357,7 +362,7 @@ def alert_notifications(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_path(spark: SparkSession, sf: str) -> DataFrame:
-    return fault_plan.fault_alerts(_stored_faults(spark, sf))
+    return fault_plan.fault_alerts(pin(_stored_faults(spark, sf), "faults"))
 
 
 def gps_path(spark: SparkSession, sf: str) -> DataFrame:

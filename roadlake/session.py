@@ -49,7 +49,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{_shared_base(spark)}/roadlake/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
+def pin(
+    df: DataFrame, name: str, at: str | None = None, partition_by: tuple[str, ...] = ()
+) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table scan.
 
     Used where several later jobs read the same costly frame: the copy survives
@@ -57,7 +59,8 @@ def pin(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     the copy replaces an earlier one of the same path.
     """
     path = at or shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

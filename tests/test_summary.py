@@ -130,3 +130,19 @@ def test_own_rules(spark):
     rows = [fix(0, 0.0, power=False), fix(10, 40.0), fix(3600, 0.0, power=False)]
     (day,) = one(spark, rows, trip_rule="at_once", hours_rule="always")
     assert (day.trip_count, day.total_operational_hours) == (1, 1.0)
+
+
+def test_sampled_plan_finds_the_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 97).cast("string"))
+    frame = spark.range(120_000).select(key.alias("k"), (F.col("id") * 7 % 120_000).alias("at"))
+    slices = hotkeys.plan_slices(frame, ["k"], ["at"], 4000)
+    sizes = hotkeys.assign(frame, slices).groupBy("k", "slice").count().collect()
+    hot = [r["count"] for r in sizes if r.k == "hot"]
+    assert sum(hot) == 40_000 and len(hot) > 5 and max(hot) < 12_000
+    assert {r.slice for r in sizes if r.k != "hot"} == {0}
+    ranges = (
+        hotkeys.assign(frame, slices).where("k = 'hot'").groupBy("slice").agg(F.min("at"), F.max("at")).orderBy("slice").collect()
+    )
+    assert all(a[2] < b[1] for a, b in zip(ranges, ranges[1:]))
