@@ -24,6 +24,11 @@ def base64_bytes(body: Column) -> Column:
     return F.coalesce(F.when(~spaced, decoded(body)), decoded(clean))
 
 
+def base64_of(data: Column) -> Column:
+    """Base64 text on one line; Spark's own breaks after 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def utf8_text(data: Column) -> Column:
     text = data.cast("string")
     return F.when(F.is_valid_utf8(text), text)

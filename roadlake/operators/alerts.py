@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from roadlake.functions.numbers import float_text, to_float
 from roadlake.functions.once import once
+from roadlake.functions.payload import base64_of
 from roadlake.functions.times import iso_text
 
 ENVELOPE = ["event_type", "device_id", "device_name", "timestamp"]
@@ -56,7 +57,7 @@ def fault_envelopes(faults: DataFrame) -> DataFrame:
         "device_id",
         "device_name",
         iso_text(F.col("timestamp")).alias("timestamp"),
-        F.base64("payload_bytes").alias("fault_payload"),
+        base64_of(F.col("payload_bytes")).alias("fault_payload"),
         "fault_code",
         "fault_label",
     ]

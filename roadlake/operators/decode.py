@@ -89,15 +89,19 @@ def _judged(typed: DataFrame, count: int, numbers: list[str], rules: dict[str, C
 
 def decode_gps(messages: DataFrame) -> DataFrame:
     """Add the fields of a fix and ``reject_reason`` (NULL for a good message)."""
-    numbers = {"epoch": 1, "speed": 2, "odometer": 3, "latitude": 5, "longitude": 6, "fuel_gauge": 7}
-    typed = once(
-        _fields(messages, unquote=True),
+    names = ["epoch", "speed", "odometer", "latitude", "longitude", "fuel_gauge"]
+    places = [1, 2, 3, 5, 6, 7]
+    texts = F.array(*[F.get("f", F.lit(at)) for at in places])
+    # One lambda for all numbers: six copies of it make a method too long to compile.
+    parsed = once(_fields(messages, unquote=True), n=F.transform(texts, to_float))
+    timed = once(
+        parsed,
         device_id=F.get("f", F.lit(0)),
+        timestamp=from_epoch(F.get("n", F.lit(0))),
         power_on=F.lower(F.get("f", F.lit(4))) == "true",
-        **{name: to_float(F.get("f", F.lit(at))) for name, at in numbers.items()},
+        **{name: F.get("n", F.lit(i)) for i, name in enumerate(names) if i},
     )
-    timed = once(typed, timestamp=from_epoch(F.col("epoch")))
-    judged = _judged(timed, 8, ["timestamp", *list(numbers)[1:]], gps_rules())
+    judged = _judged(timed, 8, ["timestamp", *names[1:]], gps_rules())
     keep = [c for c in messages.columns if c != "ingest_seq"]
     return judged.select(*keep, *GPS_COLUMNS, "reject_reason")
 

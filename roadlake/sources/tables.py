@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlake.functions.payload import base64_of
 from roadlake.functions.times import MICROS, micros
 
 # How the raw feed is spoiled, by ``ingest_seq % 17``.
@@ -95,7 +96,7 @@ def raw_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind != MISSING_FIELD, _cents_text(F.col("fuel_cents"))),
     )
     sent = F.when(kind == QUOTED, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
-    body = F.when(kind == BAD_BASE64, "not-a-valid-base64!").otherwise(F.base64(sent.cast("binary")))
+    body = F.when(kind == BAD_BASE64, "not-a-valid-base64!").otherwise(base64_of(sent.cast("binary")))
     return parts.select(
         body.alias("body"),
         F.lit("gps").alias("routing_key"),
@@ -134,7 +135,7 @@ def raw_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == BAD_SEQUENCE, "X").otherwise(F.col("sequence").cast("string")),
         F.when(kind != MISSING_FIELD, F.col("total_number").cast("string")),
     )
-    body = F.when(kind == BAD_BASE64, "not-a-valid-base64!").otherwise(F.base64(text.cast("binary")))
+    body = F.when(kind == BAD_BASE64, "not-a-valid-base64!").otherwise(base64_of(text.cast("binary")))
     return parts.select(
         body.alias("body"),
         F.lit("fault").alias("routing_key"),

@@ -84,6 +84,15 @@ def test_fault_letter(spark):
     assert json.loads(letters[0].body)["data"]["fault_payload"] == "Vao="
 
 
+def test_long_payload_is_one_line(spark):
+    import base64
+
+    rows = [("d", "Truck", at(0), bytearray(range(100)), "1", "Overheat")]
+    shape = "device_id string, device_name string, timestamp timestamp, payload_bytes binary, fault_code string, fault_label string"
+    (row,) = alerts.fault_envelopes(spark.createDataFrame(rows, shape)).select("data.fault_payload").collect()
+    assert row[0] == base64.b64encode(bytes(range(100))).decode()
+
+
 def test_no_shared_key(spark):
     rules = (AlertRule("x@example.com", GPS, {}),)
     letters = alerts.notifications(alerts.gps_envelopes(named_fixes(spark)), rules).collect()
