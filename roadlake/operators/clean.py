@@ -44,6 +44,10 @@ def enrich_device(events: DataFrame, devices: DataFrame) -> DataFrame:
     return events.join(known_devices(devices), "device_id")
 
 
+def of_known_devices(events: DataFrame, devices: DataFrame) -> DataFrame:
+    return events.join(known_devices(devices), "device_id", "left_semi")
+
+
 def unknown_devices(events: DataFrame, devices: DataFrame) -> DataFrame:
     return events.join(known_devices(devices), "device_id", "left_anti").withColumn(
         "reject_reason", F.lit(UNKNOWN_DEVICE)

@@ -101,16 +101,16 @@ part(
     "devices",
     (),
     """
-SELECT 'truck_' || c_custkey AS device_id, CASE WHEN c_custkey % 10 = 8 THEN '' ELSE c_name END AS device_name
-FROM customer WHERE c_custkey % 10 <> 9""",
+SELECT 'truck_' || c_custkey AS device_id, CASE WHEN c_acctbal < 0 THEN '' ELSE c_name END AS device_name
+FROM customer WHERE c_mktsegment <> 'FURNITURE'""",
 )
 part("known", ("devices",), "SELECT * FROM devices WHERE device_name <> ''")
 part(
     "code_labels",
     (),
     """
-SELECT CAST(p_partkey AS VARCHAR) AS fault_code, coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_name END, 'Unknown') AS fault_label
-FROM part WHERE p_partkey % 11 <> 0""",
+SELECT CAST(p_partkey AS VARCHAR) AS fault_code, coalesce(CASE WHEN p_type <> 'ECONOMY' THEN p_name END, 'Unknown') AS fault_label
+FROM part WHERE p_size <= 45""",
 )
 
 # Decoding
@@ -218,8 +218,8 @@ GROUP BY d.device_id, d.day""",
 
 summary_parts("", "gps")
 summary_parts("_raw", "gps_clean")
-part("gps_even", ("gps",), "SELECT * FROM gps WHERE ingest_seq % 2 = 0")
-summary_parts("_even", "gps_even")
+part("gps_afternoon", ("gps",), "SELECT * FROM gps WHERE hour(timestamp) >= 12")
+summary_parts("_afternoon", "gps_afternoon")
 
 # Idling
 
@@ -458,9 +458,9 @@ FROM routed GROUP BY 1""",
         """SELECT vehicle_id, summary_date, coalesce(e.start_latitude, s.start_latitude) AS start_latitude,
   coalesce(e.start_longitude, s.start_longitude) AS start_longitude, s.end_latitude, s.end_longitude, s.total_distance_km,
   s.total_operational_hours, s.trip_count, s.fuel_consumed_liters
-FROM summary s LEFT JOIN summary_even e USING (vehicle_id, summary_date)""",
+FROM summary s LEFT JOIN summary_afternoon e USING (vehicle_id, summary_date)""",
         "summary",
-        "summary_even",
+        "summary_afternoon",
     ),
     "validate_events": build(f"SELECT rule, count(*) AS messages FROM ({BROKEN}) GROUP BY rule", "gps_decoded"),
     "reject_counts": build("SELECT reject_reason, count(*) AS messages FROM rejected GROUP BY reject_reason", "rejected"),

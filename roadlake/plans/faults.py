@@ -20,9 +20,10 @@ class FaultOutputs:
     notifications: DataFrame
 
 
-def named_segments(messages: DataFrame, devices: DataFrame) -> DataFrame:
+def known_segments(messages: DataFrame, devices: DataFrame) -> DataFrame:
+    """Decoded parts of named devices; the name itself joins the finished fault."""
     decoded = decode.decode_faults(decode.route(messages, "fault"))
-    return clean.enrich_device(decode.good(decoded, FAULT_COLUMNS), devices)
+    return clean.of_known_devices(decode.good(decoded, FAULT_COLUMNS), devices)
 
 
 def labelled_faults(complete: DataFrame, devices: DataFrame, labels: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def fault_alerts(stored: DataFrame, **options: object) -> DataFrame:
 def fault_path(
     messages: DataFrame, devices: DataFrame, labels: DataFrame, faults_path: str | None = None
 ) -> FaultOutputs:
-    status = pin(faults.fault_status(named_segments(messages, devices)), "fault-status")
+    status = pin(faults.fault_status(known_segments(messages, devices)), "fault-status")
     complete = status.where(F.col("status") == faults.COMPLETE)
     stored = labelled_faults(complete, devices, labels)
     if faults_path is None:

@@ -26,13 +26,13 @@ def clean_gps(decoded: DataFrame, devices: DataFrame) -> DataFrame:
 
 def quarantine_gps(decoded: DataFrame, devices: DataFrame) -> DataFrame:
     """Every GPS message that made no event, with the reason."""
-    passed = decode.good(decoded, [*GPS_COLUMNS, "routing_key"])
+    passed = decode.good(decoded, [*clean.EVENT_KEY, "ingest_seq", "routing_key"])
+    refused = decoded.where(F.col("reject_reason").isNotNull())
     nameless = clean.unknown_devices(clean.dedup(passed), devices)
-    parts = [decode.refused(decoded), clean.duplicates(passed), nameless]
-    first, *rest = [p.select(*QUARANTINE) for p in parts]
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+    found = refused.select(*QUARANTINE)
+    for later in (clean.duplicates(passed), nameless):
+        found = found.unionByName(later.select(*QUARANTINE))
+    return found
 
 
 def reject_counts(decoded: DataFrame, devices: DataFrame) -> DataFrame:
@@ -76,7 +76,8 @@ def gps_path(messages: DataFrame, devices: DataFrame, events_path: str | None =
     Decoding and cleaning run once: the events are stored (at ``events_path``, or
     in the shared folder) and everything after reads the stored columns it needs.
     """
-    decoded = pin(gps_decoded(messages), "gps-decoded")
+    kept = [*GPS_COLUMNS, "routing_key", "reject_reason"]
+    decoded = pin(gps_decoded(messages).select(*kept), "gps-decoded")
     events = clean_gps(decoded, devices)
     if events_path is None:
         events = pin(events, "gps-events")

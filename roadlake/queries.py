@@ -109,10 +109,10 @@ def sink_idling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_daily_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """The first half of the events is stored, then all of them are upserted."""
+    """Afternoons are stored first; the whole days then keep their stored start."""
     path = shared_dir(spark, "daily-summary")
     events = tables.gps_events(spark, sf)
-    stores.write_summary(summary.daily_summary(events.where(F.col("ingest_seq") % 2 == 0)), path)
+    stores.write_summary(summary.daily_summary(events.where(F.hour("timestamp") >= 12)), path)
     stores.upsert_summary(summary.daily_summary(events), path)
     return stores.read_table(spark, path).select(*SUMMARY_COLUMNS)
 

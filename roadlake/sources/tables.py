@@ -152,22 +152,20 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device names; every tenth device is unknown, some have an empty name."""
-    key = F.col("c_custkey")
-    name = F.when(key % 10 == 8, "").otherwise(F.col("c_name"))
+    """Device names: one market segment is not registered, debtors have no name."""
+    name = F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name"))
     return (
         load(spark, sf_dir, "customer")
-        .where(key % 10 != 9)
-        .select(_text("truck_", key).alias("device_id"), name.alias("device_name"))
+        .where(F.col("c_mktsegment") != "FURNITURE")
+        .select(_text("truck_", F.col("c_custkey")).alias("device_id"), name.alias("device_name"))
     )
 
 
 def fault_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels by code; some codes are missing, some have no label."""
-    key = F.col("p_partkey")
-    label = F.when(key % 7 != 0, F.col("p_name"))
+    """Labels by code: large parts are not listed, economy parts have no label."""
+    label = F.when(F.col("p_type") != "ECONOMY", F.col("p_name"))
     return (
         load(spark, sf_dir, "part")
-        .where(key % 11 != 0)
-        .select(key.cast("string").alias("fault_code"), label.alias("label"))
+        .where(F.col("p_size") <= 45)
+        .select(F.col("p_partkey").cast("string").alias("fault_code"), label.alias("label"))
     )
