@@ -79,8 +79,9 @@ def daily_summary(events: DataFrame, lateness: str = LATENESS, idle_threshold: f
         "odometer",
         "fuel_gauge",
     )
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
     return fixes.groupBy("device_id", "summary_date").transformWithStateInPandas(
-        DayProcessor(idle_threshold), DAY_OUTPUT, "Update", "EventTime"
+        DayProcessor(idle_threshold, zone), DAY_OUTPUT, "Update", "EventTime"
     )
 
 

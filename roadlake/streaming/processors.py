@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -83,8 +84,9 @@ class DayProcessor(StatefulProcessor):
     once the watermark has passed it.
     """
 
-    def __init__(self, idle_threshold: float = 300.0) -> None:
+    def __init__(self, idle_threshold: float = 300.0, zone: str = "UTC") -> None:
         self.idle_threshold_us = int(idle_threshold * MICROS)
+        self.zone = zone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -95,7 +97,7 @@ class DayProcessor(StatefulProcessor):
         held = self.day.get()
         day = None if held is None else dict(zip(DAY_FIELDS, held))
         if day is None:
-            midnight = dt.datetime.combine(date + dt.timedelta(days=1), dt.time(), dt.timezone.utc)
+            midnight = dt.datetime.combine(date + dt.timedelta(days=1), dt.time(), ZoneInfo(self.zone))
             self.handle.registerTimer(int(midnight.timestamp() * 1000))
         for fix in in_order(rows, "us", "ingest_seq").itertuples():
             if day is None:
@@ -161,25 +163,26 @@ class PartsProcessor(StatefulProcessor):
         self.handle = handle
         self.parts = handle.getMapState("parts", "sequence int", "bits string")
 
-    def _forget(self) -> None:
-        self.parts.clear()
+    def _stop_timers(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        device, code, fault_us = key
-        out = []
+        held = {k[0]: v[0] for k, v in self.parts.iterator()}
+        fresh, out = {}, []
         for part in in_order(rows, "ingest_seq").itertuples():
-            self.parts.updateValue((int(part.sequence),), (part.fault_bits,))
-            held = {k[0]: v[0] for k, v in self.parts.iterator()}
-            total, bits = int(part.total_number), None
-            if len(held) >= total:
+            held[int(part.sequence)] = fresh[int(part.sequence)] = part.fault_bits
+            total, bits, received = int(part.total_number), None, len(held)
+            if received >= total:
                 bits = [held[s] for s in sorted(held) if s < total]
-                self._forget()
-            out.append((device, code, fault_us, len(held), total, bits))
-        if self.parts.exists():
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+                self.parts.clear()
+                held, fresh = {}, {}
+            out.append((*key, received, total, bits))
+        for sequence, text in fresh.items():
+            self.parts.updateValue((sequence,), (text,))
+        # A new timer does not replace the old one.
+        self._stop_timers()
+        if held:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + PART_LIFE_MS)
         yield pd.DataFrame(
             out, columns=["device_id", "fault_code", "fault_us", "received", "total", "bits"]
