@@ -37,6 +37,7 @@ class Slices:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     cuts: DataFrame | None = None
+    most_cuts: int = 0
 
     @property
     def any_hot(self) -> bool:
@@ -93,7 +94,8 @@ def plan_slices(
     rows = cuts.collect()
     if not rows:
         return Slices(tuple(keys), tuple(order))
-    return Slices(tuple(keys), tuple(order), spark.createDataFrame(rows, cuts.schema))
+    most = max(len(r["cuts"]) for r in rows)
+    return Slices(tuple(keys), tuple(order), spark.createDataFrame(rows, cuts.schema), most)
 
 
 def assign(df: DataFrame, slices: Slices) -> DataFrame:
@@ -101,8 +103,8 @@ def assign(df: DataFrame, slices: Slices) -> DataFrame:
     if not slices.any_hot:
         return df
     here = F.struct(*slices.order)
-    largest = (2 * MAX_SLICES).bit_length()
-    steps = F.array(*[F.lit(1 << b) for b in range(largest, -1, -1)])
+    bits = slices.most_cuts.bit_length()
+    steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
 
     def advance(pos: Column, step: Column) -> Column:
         return F.when(F.get("cuts", pos + step - 1) <= here, pos + step).otherwise(pos)
@@ -115,84 +117,85 @@ def assign(df: DataFrame, slices: Slices) -> DataFrame:
     )
 
 
-def _per_slice(df: DataFrame, slices: Slices, *aggs: Column) -> DataFrame:
-    """One row per slice of the hot keys; there are at most a few thousand."""
-    return (
-        df.join(F.broadcast(slices.cuts.select(*slices.keys)), list(slices.keys), "left_semi")
+def _seams(rows: DataFrame, slices: Slices, columns: list[str], value: Column) -> DataFrame:
+    """What each slice of a hot key needs from the slices before it.
+
+    ``rows`` are windowed inside their slices. Their first rows lack a
+    predecessor, so ``value`` is left out there, and worked out again on the
+    one-row-per-slice table, where the predecessor is the end of the slice before.
+    """
+    first_of_slice = F.col("rn") == 1
+    # Past the first slice any row but the first has at least two before it.
+    inside = F.when(F.col("slice") == 0, F.col("rn")).otherwise(F.col("rn") + 1)
+    here = F.struct(*slices.order)
+    facts = list(dict.fromkeys([*slices.order, *columns]))
+    per_slice = (
+        rows.join(F.broadcast(slices.cuts.select(*slices.keys)), list(slices.keys), "left_semi")
+        .withColumn("starts_slice", first_of_slice)
+        .withColumn("rn", inside)
+        .withColumn("inner", F.when(~F.col("starts_slice"), value))
         .groupBy(*slices.keys, "slice")
-        .agg(*aggs)
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct(*facts)).alias("head"),
+            F.max(F.struct(*facts)).alias("tail"),
+            F.max_by("inner", F.when(F.col("inner").isNotNull(), here)).alias("inner"),
+        )
     )
-
-
-def _earlier(slices: Slices) -> WindowSpec:
     by_slice = Window.partitionBy(*slices.keys).orderBy("slice")
-    return by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    heads = per_slice.select(
+        *slices.keys,
+        "slice",
+        "inner",
+        "head.*",
+        *[F.lag(F.col(f"tail.{c}")).over(by_slice).alias(f"prev_{c}") for c in columns],
+        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + 1).alias("rn"),
+        F.lead(F.lit(True)).over(by_slice).isNotNull().alias("seam_more"),
+    )
+    return heads.withColumn("left", F.coalesce("inner", value)).select(
+        *slices.keys,
+        "slice",
+        *[F.col(f"prev_{c}").alias(f"seam_{c}") for c in columns],
+        (F.col("rn") - 1).alias("seam_rows"),
+        "seam_more",
+        F.last("left", ignorenulls=True).over(earlier).alias("seam_value"),
+    )
 
 
-def with_previous(df: DataFrame, slices: Slices, columns: list[str]) -> DataFrame:
-    """Add ``prev_<column>`` (one row back), ``rn`` and ``is_last``.
+def look_back(df: DataFrame, slices: Slices, columns: list[str], value: Column, name: str) -> DataFrame:
+    """Look at the rows before each row of its key.
 
-    ``df`` has gone through ``assign``.
+    Adds ``prev_<column>`` (one row back), ``rn``, ``is_last``, and ``name``: the
+    last non-null ``value`` up to and including the row. ``value`` may use the
+    order columns, ``columns``, and what is added before it. ``df`` has gone
+    through ``assign``.
     """
     w = slices.window()
-    out = df.withColumns(
+    rows = df.withColumns(
         {
             **{f"prev_{c}": F.lag(c).over(w) for c in columns},
             "rn": F.row_number().over(w),
             "is_last": F.lead(F.lit(True)).over(w).isNull(),
         }
     )
-    if not slices.any_hot:
-        return out
-    ends = _per_slice(
-        df,
-        slices,
-        F.max_by(F.struct(*columns), F.struct(*slices.order)).alias("end"),
-        F.count("*").alias("n"),
+    latest = F.last(value, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    by_slice = Window.partitionBy(*slices.keys).orderBy("slice")
-    seams = ends.select(
-        *slices.keys,
-        "slice",
-        F.lag("end").over(by_slice).alias("seam"),
-        F.sum("n").over(_earlier(slices)).alias("seam_rows"),
-        F.lead(F.lit(True)).over(by_slice).isNotNull().alias("seam_more"),
-    )
-    first = F.col("rn") == 1
-    return (
-        out.join(F.broadcast(seams), [*slices.keys, "slice"], "left")
-        .withColumns(
-            {
-                **{
-                    f"prev_{c}": F.when(first, F.col(f"seam.{c}")).otherwise(F.col(f"prev_{c}"))
-                    for c in columns
-                },
-                "rn": F.col("rn") + F.coalesce("seam_rows", F.lit(0)),
-                "is_last": F.col("is_last") & ~F.coalesce("seam_more", F.lit(False)),
-            }
-        )
-        .drop("seam", "seam_rows", "seam_more")
-    )
-
-
-def with_last_seen(df: DataFrame, slices: Slices, value: Column, name: str) -> DataFrame:
-    """Add ``name``: the last non-null ``value`` up to and including the row."""
-    w = slices.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn(name, F.last(value, ignorenulls=True).over(w))
     if not slices.any_hot:
-        return out
-    kept = _per_slice(
-        df,
-        slices,
-        F.max_by(value, F.when(value.isNotNull(), F.struct(*slices.order))).alias("kept"),
-    )
-    seams = kept.select(
-        *slices.keys,
-        "slice",
-        F.last("kept", ignorenulls=True).over(_earlier(slices)).alias("seam_value"),
+        return rows.withColumn(name, latest)
+    seams = F.broadcast(_seams(rows, slices, columns, value))
+    first = F.col("rn") == 1
+    joined = rows.join(seams, [*slices.keys, "slice"], "left").withColumns(
+        {
+            **{
+                f"prev_{c}": F.when(first, F.col(f"seam_{c}")).otherwise(F.col(f"prev_{c}"))
+                for c in columns
+            },
+            "rn": F.col("rn") + F.coalesce("seam_rows", F.lit(0)),
+            "is_last": F.col("is_last") & ~F.coalesce("seam_more", F.lit(False)),
+        }
     )
-    return (
-        out.join(F.broadcast(seams), [*slices.keys, "slice"], "left")
-        .withColumn(name, F.coalesce(name, "seam_value"))
-        .drop("seam_value")
+    return joined.withColumn(name, F.coalesce(latest, "seam_value")).drop(
+        "seam_rows", "seam_more", "seam_value", *[f"seam_{c}" for c in columns]
     )

@@ -29,13 +29,11 @@ def idling_episodes(
         "longitude",
     )
     slices = hotkeys.plan_slices(rows, ["device_id"], ORDER, rows_per_slice)
-    rows = hotkeys.with_previous(hotkeys.assign(rows, slices), slices, ["idle"])
     after_idle = F.coalesce(F.col("prev_idle"), F.lit(False))
-    rows = rows.withColumn("starts", F.col("idle") & ~after_idle).withColumn(
-        "closes", ~F.col("idle") & after_idle
-    )
-    start = F.when(F.col("starts"), F.struct(F.col("us"), F.col("ingest_seq").alias("seq")))
-    rows = hotkeys.with_last_seen(rows, slices, start, "episode")
+    starts = F.col("idle") & ~after_idle
+    start = F.when(starts, F.struct(F.col("us"), F.col("ingest_seq").alias("seq")))
+    rows = hotkeys.look_back(hotkeys.assign(rows, slices), slices, ["idle"], start, "episode")
+    rows = rows.withColumn("starts", starts).withColumn("closes", ~F.col("idle") & after_idle)
     return (
         rows.where(F.col("idle") | F.col("closes"))
         .groupBy("device_id", F.col("episode.us").alias("start_us"), F.col("episode.seq"))

@@ -71,12 +71,11 @@ def _day_rows(events: DataFrame, payload: list[str], rows_per_slice: int) -> Dat
         *payload,
     )
     slices = hotkeys.plan_slices(rows, DAY_KEYS, ORDER, rows_per_slice)
-    rows = hotkeys.with_previous(hotkeys.assign(rows, slices), slices, ["us", "state"])
     # The first fix of a day only opens the summary, and leaves the engine off.
     before = F.when(F.col("rn") == 2, OFF).otherwise(F.col("prev_state"))
     starts = (F.col("rn") > 1) & (F.col("state") == MOVING) & (before != MOVING)
     started = F.when(starts, F.struct(F.col("us"), F.col("ingest_seq").alias("seq")))
-    rows = hotkeys.with_last_seen(rows, slices, started, "trip")
+    rows = hotkeys.look_back(hotkeys.assign(rows, slices), slices, ["us", "state"], started, "trip")
     return rows.withColumn("trip_us", F.col("trip.us")).withColumn("trip_seq", F.col("trip.seq"))
 
 
