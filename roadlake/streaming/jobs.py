@@ -178,20 +178,28 @@ def start_gps_ingest(
     notifications_path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    unknown_path: str | None = None,
 ) -> StreamingQuery:
-    """Raw messages to stored events and alert notifications."""
+    """Raw messages to stored events and alert notifications.
+
+    Events of unknown devices go to ``unknown_path`` if given. They are not
+    remembered as processed anywhere but in the duplicate window.
+    """
     decoded = decode.decode_gps(decode.route(messages, "gps"))
     fresh = dedup(decode.good(decoded, GPS_COLUMNS))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        named = clean.enrich_device(batch, devices.get())
-        named = named.persist()
+        batch = batch.persist()
         try:
+            named = clean.enrich_device(batch, devices.get())
             _append_batch(named, events_path, batch_id, day="timestamp")
             letters = alerts.notifications(alerts.gps_envelopes(named))
             _append_batch(letters, notifications_path, batch_id)
+            if unknown_path is not None:
+                unknown = clean.unknown_devices(batch, devices.get())
+                _append_batch(unknown, unknown_path, batch_id)
         finally:
-            named.unpersist()
+            batch.unpersist()
 
     return _start(fresh, store, checkpoint, "append", trigger or {"processingTime": FLUSH_PERIOD})
 

@@ -188,7 +188,10 @@ def test_ingest(spark, given, tmp_path):
     devices = jobs.Lookup(read_devices)
     labels = jobs.Lookup(lambda: tables.fault_labels(spark, given))
     events, letters = str(tmp_path / "events"), str(tmp_path / "letters")
-    jobs.start_gps_ingest(messages, devices, events, letters, str(tmp_path / "c1"), NOW).awaitTermination()
+    strange = str(tmp_path / "strange")
+    jobs.start_gps_ingest(
+        messages, devices, events, letters, str(tmp_path / "c1"), NOW, unknown_path=strange
+    ).awaitTermination()
     decoded = decode.decode_gps(tables.raw_gps(spark, given))
     expected = clean.enrich_device(clean.dedup(decode.good(decoded, GPS_COLUMNS)), tables.devices(spark, given))
     stored = spark.read.parquet(events)
@@ -196,6 +199,9 @@ def test_ingest(spark, given, tmp_path):
     same(stored.select(*key), expected.select(*key))
     assert spark.read.parquet(letters).count() == expected.where("speed >= 70").count()
 
+    unknown = clean.unknown_devices(clean.dedup(decode.good(decoded, GPS_COLUMNS)), tables.devices(spark, given))
+    same(spark.read.parquet(strange).select("device_id", "timestamp"), unknown.select("device_id", "timestamp"))
+
     refused = str(tmp_path / "refused")
     jobs.start_quarantine(messages, refused, str(tmp_path / "c2"), NOW).awaitTermination()
     bad = decode.decode_faults(tables.raw_faults(spark, given))
