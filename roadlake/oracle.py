@@ -238,7 +238,7 @@ FROM (SELECT device_id AS asset_id, run, min(us) AS start_us, max(us) AS end_us,
   WHERE idle GROUP BY device_id, run)
 WHERE newest > last_rn""",
 )
-EPISODE = "SELECT asset_id, date, round(minutes, 6) AS idle_duration_minutes, latitude, longitude, start_time, end_time FROM episodes"
+EPISODE = "SELECT asset_id, date, minutes AS idle_duration_minutes, latitude, longitude, start_time, end_time FROM episodes"
 
 
 def geohash_sql(precision: int) -> str:
@@ -270,7 +270,7 @@ def hotspot_sql(key: str, source: str, shown: int | None = None) -> str:
     ids = "list_sort(list(DISTINCT asset_id))"
     ids = f"{ids}[1:{shown}]" if shown else ids
     return f"""
-SELECT {key} AS location_identifier, count(*) AS total_idle_incidents, round(sum(minutes), 6) AS total_idle_duration_minutes,
+SELECT {key} AS location_identifier, count(*) AS total_idle_incidents, round(sum(minutes), 9) AS total_idle_duration_minutes,
   array_to_string({ids}, ',') AS contributing_asset_ids_sample
 FROM {source} GROUP BY 1"""
 
@@ -382,7 +382,7 @@ def period_sql(kind: str, source: str, per_asset: bool) -> str:
     fuel_consumed_liters AS fuel FROM {source})"""
     if per_asset:
         return f"""SELECT period_start, CAST({end} AS DATE) AS period_end, vehicle_id AS asset_id, round(sum(km), 6) AS total_traveled_km,
-  round(sum(hours), 6) AS total_operational_hours, {ratio} AS km_per_liter FROM {rows} GROUP BY period_start, vehicle_id"""
+  round(sum(hours), 10) AS total_operational_hours, {ratio} AS km_per_liter FROM {rows} GROUP BY period_start, vehicle_id"""
     return f"""SELECT period_start, CAST({end} AS DATE) AS period_end, round(sum(km), 6) AS total_traveled_km_fleet,
   round(sum(hours) / ({days} * count(DISTINCT vehicle_id)), 6) AS average_operational_hours_per_asset_per_day,
   {ratio} AS overall_km_per_liter_fleet FROM {rows} GROUP BY period_start"""
@@ -525,7 +525,7 @@ FROM trip_rows r LEFT JOIN trips t USING (device_id, day, trip_rn) WHERE back =
     "apply_increments": build(
         """SELECT vehicle_id, summary_date, start_latitude, start_longitude, end_latitude, end_longitude,
   round(total_distance_km + coalesce(km, 0), 6) AS total_distance_km,
-  round(total_operational_hours + coalesce(n * 10 / 3.6e3, 0), 6) AS total_operational_hours,
+  total_operational_hours + coalesce(n * 10 / 3.6e3, 0) AS total_operational_hours,
   trip_count + coalesce(n, 0) AS trip_count, fuel_consumed_liters
 FROM summary LEFT JOIN changes USING (vehicle_id, summary_date)""",
         "summary",
@@ -538,14 +538,14 @@ FROM summary LEFT JOIN changes USING (vehicle_id, summary_date)""",
     "hotspots_geohash": build(hotspot_sql(geohash_sql(5), "episodes", 5), "episodes"),
     "hotspots_paged": build(hotspot_sql(grid_sql("0.1e0", 1), "episode_page"), "episode_page"),
     "hotspot_shares": build(
-        f"""SELECT {grid_sql('0.25e0', 2)} AS location_identifier, asset_id, count(*) AS incidents, round(sum(minutes), 6) AS minutes
+        f"""SELECT {grid_sql('0.25e0', 2)} AS location_identifier, asset_id, count(*) AS incidents, round(sum(minutes), 9) AS minutes
 FROM episodes GROUP BY 1, 2""",
         "episodes",
     ),
     "device_day_stats": build(
         """SELECT device_id, CAST(timestamp AS DATE) AS date, arg_max(odometer, timestamp) - arg_min(odometer, timestamp) AS total_distance_km,
   (arg_max(odometer, timestamp) - arg_min(odometer, timestamp)) * 0.621371e0 AS total_distance_miles,
-  round(avg(speed), 6) AS average_speed FROM gps GROUP BY 1, 2""",
+  round(avg(speed), 9) AS average_speed FROM gps GROUP BY 1, 2""",
         "gps",
     ),
     "utilization_distance": build(
@@ -562,9 +562,9 @@ FROM episodes GROUP BY 1, 2""",
         "SELECT count(*) AS total_records, CAST(ceil(count(*) / 2e1) AS BIGINT) AS total_pages FROM chosen", "chosen"
     ),
     "efficiency_daily": build(
-        """SELECT vehicle_id AS asset_id, summary_date, round(total_distance_km, 6) AS traveled_km,
-  round(total_operational_hours, 6) AS operational_hours, round(fuel_consumed_liters, 6) AS fuel_consumed_liters,
-  CASE WHEN fuel_consumed_liters > 0 THEN round(total_distance_km / fuel_consumed_liters, 6) ELSE 0e0 END AS km_per_liter FROM chosen""",
+        """SELECT vehicle_id AS asset_id, summary_date, total_distance_km AS traveled_km,
+  total_operational_hours AS operational_hours, fuel_consumed_liters,
+  CASE WHEN fuel_consumed_liters > 0 THEN total_distance_km / fuel_consumed_liters ELSE 0e0 END AS km_per_liter FROM chosen""",
         "chosen",
     ),
     "efficiency_weekly_fleet": build(period_sql("week", "chosen", False), "chosen"),

@@ -40,9 +40,12 @@ def _naive(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in naive})
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Sums of doubles depend on the order of addition in the last digits."""
-    return df.withColumns({c: F.round(c, 6) for c in names})
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Sums of doubles depend on the order of addition in the last digits.
+
+    Microseconds over minutes or hours are cut where no value lies halfway.
+    """
+    return df.withColumns({c: F.round(c, digits) for c in names})
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +108,7 @@ def sink_gps_events(spark: SparkSession, sf: str) -> DataFrame:
 def sink_idling(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "idling")
     stores.append_idling(_episodes(spark, sf), path)
-    return _naive(_rounded(stores.read_table(spark, path), "idle_duration_minutes"))
+    return _naive(stores.read_table(spark, path))
 
 
 def upsert_daily_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,27 +233,28 @@ def apply_increments(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(10).alias("seconds"),
     )
     changed = summary.apply_increments(summary.daily_summary(events), deltas)
-    return _rounded(changed, "total_distance_km", "total_operational_hours")
+    return _rounded(changed, "total_distance_km")
 
 
 def idling_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _naive(_rounded(_episodes(spark, sf), "idle_duration_minutes"))
+    return _naive(_episodes(spark, sf))
 
 
 def idling_episodes_sliced(spark: SparkSession, sf: str) -> DataFrame:
     """The same answer with every device of more than 50 fixes cut into slices."""
     found = idling.idling_episodes(tables.gps_events(spark, sf), rows_per_slice=50)
-    return _naive(_rounded(found, "idle_duration_minutes"))
+    return _naive(found)
 
 
 def idling_filter(spark: SparkSession, sf: str) -> DataFrame:
     found = hotspots.idling_filter(_episodes(spark, sf), START, END, 10)
-    return _naive(_rounded(found, "idle_duration_minutes"))
+    return _naive(found)
 
 
 def _hotspot_rows(report: DataFrame) -> DataFrame:
     ids = F.array_join("contributing_asset_ids_sample", ",")
-    return _rounded(report.withColumn("contributing_asset_ids_sample", ids), "total_idle_duration_minutes")
+    listed = report.withColumn("contributing_asset_ids_sample", ids)
+    return _rounded(listed, "total_idle_duration_minutes", digits=9)
 
 
 def hotspots_rounded(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,11 +273,11 @@ def hotspots_paged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hotspot_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(hotspots.asset_shares(_episodes(spark, sf), "rounded_lat_lon_0.25"), "minutes")
+    return _rounded(hotspots.asset_shares(_episodes(spark, sf), "rounded_lat_lon_0.25"), "minutes", digits=9)
 
 
 def device_day_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(reports.device_day_stats(tables.gps_events(spark, sf)), "average_speed")
+    return _rounded(reports.device_day_stats(tables.gps_events(spark, sf)), "average_speed", digits=9)
 
 
 def utilization_distance(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,8 +310,11 @@ def page_totals(spark: SparkSession, sf: str) -> DataFrame:
 def _efficiency(granularity: str, asset_ids: list[str] | None, page: tuple[int, int] | None = None) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         found, _ = reports.efficiency_report(_summary(spark, sf), granularity, START, END, asset_ids, page)
+        if granularity == "daily":
+            return found
         doubles = [f.name for f in found.schema.fields if isinstance(f.dataType, T.DoubleType)]
-        return _rounded(found, *doubles)
+        hours = [c for c in doubles if c == "total_operational_hours"]
+        return _rounded(_rounded(found, *[c for c in doubles if c not in hours]), *hours, digits=10)
 
     return query
 
