@@ -24,6 +24,7 @@ ROWS_PER_SLICE = 5_000_000
 # Bounds for what is collected and broadcast, not for what is computed: keys
 # past the first MAX_HOT_KEYS stay whole, and each of those is smaller than
 # total/MAX_HOT_KEYS; slices grow once there would be more than MAX_SLICES.
+# Windows spill, so a larger slice costs time and no memory.
 MAX_HOT_KEYS = 1024
 MAX_SLICES = 4095
 SAMPLES_PER_SLICE = 32
@@ -49,7 +50,12 @@ class Slices:
 
 
 def plan_slices(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    rows_per_slice: int = ROWS_PER_SLICE,
+    max_hot_keys: int = MAX_HOT_KEYS,
+    max_slices: int = MAX_SLICES,
 ) -> Slices:
     """Find the hot keys of ``df`` and cut points inside them.
 
@@ -69,14 +75,14 @@ def plan_slices(
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > enough)
         .orderBy(F.desc("n"))
-        .limit(MAX_HOT_KEYS)
+        .limit(max_hot_keys)
         .collect()
     )
     if not hot:
         return Slices(tuple(keys), tuple(order))
 
     rows = sum(r["n"] for r in hot) / rate
-    size = max(rows_per_slice, math.ceil(rows / MAX_SLICES))
+    size = max(rows_per_slice, math.ceil(rows / max_slices))
     key_schema = T.StructType([df.schema[k] for k in keys])
     hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
 

@@ -12,7 +12,7 @@ which each slice was entered suppressed has to be agreed on:
 
 After ``k`` rounds the first ``k`` slices of a code are final, so this ends with
 the exact answer; where windows are short against slices it ends after two or
-three rounds. The driver holds one number per slice, a few thousand at most.
+three rounds. The driver holds two numbers per slice of a busy code.
 """
 
 from __future__ import annotations
@@ -30,7 +30,12 @@ from roadlake.functions.times import MICROS, micros
 from roadlake.operators import hotkeys
 from roadlake.session import pin
 
+# A slice is walked in memory, so slices stay small and may be many: the table
+# of their cuts is some 12 MB at this bound, which covers 2 * 10**11 faults.
 ROWS_PER_SLICE = 1_000_000
+MAX_HOT_CODES = 20_000
+MAX_SLICES = 200_000
+SLICES_PER_BLOCK = 64
 ORDER = ["us", "device_id"]
 NEVER = np.iinfo(np.int64).min
 
@@ -82,13 +87,14 @@ def _exit_of(key: str) -> Callable[[pa.Table], pa.Table]:
 def _agree_on_entries(rows: DataFrame, slices: hotkeys.Slices, key: str) -> DataFrame:
     """Entry of every slice of the hot codes, as (key, slice, entry)."""
     spark = rows.sparkSession
-    # Stored by slice, so that a round reads the slices it walks and no others.
+    block = F.floor(F.col("slice") / SLICES_PER_BLOCK).cast("int").alias("block")
+    # Stored in blocks of slices, so that a round reads what it walks and little else.
     hot = pin(
         rows.join(F.broadcast(slices.cuts.select(key)), key, "left_semi")
-        .select(key, "slice", *ORDER, "cooldown")
-        .repartition(key, "slice"),
+        .select(key, "slice", *ORDER, "cooldown", block)
+        .repartition(key, "block"),
         "cooldown",
-        partition_by=("slice",),
+        partition_by=("block",),
     )
     schema = T.StructType(
         [rows.schema[key], T.StructField("slice", T.IntegerType()), T.StructField("entry", T.LongType())]
@@ -113,7 +119,8 @@ def _agree_on_entries(rows: DataFrame, slices: hotkeys.Slices, key: str) -> Data
             held[code] = leaving if leaving is not None else entering
         if not changed:
             break
-        todo = hot.join(F.broadcast(spark.createDataFrame(changed, schema)), [key, "slice"])
+        again = spark.createDataFrame(changed, schema).withColumn("block", block)
+        todo = hot.join(F.broadcast(again), [key, "slice", "block"])
     agreed = [(code, part, entry) for (code, part), entry in entries.items()]
     return spark.createDataFrame(agreed, schema)
 
@@ -125,7 +132,7 @@ def mark_suppressed(
     rows = faults.withColumn("us", micros(F.col("timestamp"))).withColumn(
         "cooldown", cooldown_seconds(F.col("payload_bytes"))
     )
-    slices = hotkeys.plan_slices(rows, [key], ORDER, rows_per_slice)
+    slices = hotkeys.plan_slices(rows, [key], ORDER, rows_per_slice, MAX_HOT_CODES, MAX_SLICES)
     rows = hotkeys.assign(rows, slices)
     if slices.any_hot:
         entries = _agree_on_entries(rows, slices, key)
