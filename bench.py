@@ -7,7 +7,7 @@ import os
 import time
 
 from roadlake.queries import QUERIES
-from roadlake.session import build_session
+from roadlake.session import build_session, ensure_shared_dir
 
 HEADLINE = [
     "src_gps_decode",
@@ -43,6 +43,7 @@ def main() -> None:
     }
     spark = build_session("bench", **settings)
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_dir(spark)
     # Start the JVM's compilers and the Python workers on the small queries.
     for name in ("device_day_stats", "fault_suppression"):
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

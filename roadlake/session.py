@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -28,19 +29,24 @@ def build_session(app: str = "roadlake", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def _shared_base(spark: SparkSession) -> str:
-    """The folder that every executor can reach.
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Name a folder of its own where a local session has none.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local
-    session, whose executors all share this machine, may fall back to a
-    temporary folder.
+    All of a local session runs on this machine. A cluster has to name the folder
+    that its executors share.
     """
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="roadlake-"))
+
+
+def _shared_base(spark: SparkSession) -> str:
+    """The folder that every executor can reach, named in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="roadlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return base.rstrip("/")
 
 
