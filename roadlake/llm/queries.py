@@ -156,7 +156,7 @@ WITH turns AS (
   UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}')
 ), placed AS (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns,
-         sum(25 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) OVER w AS upto
+         sum(23 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) OVER w AS upto
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
 )
 SELECT conv_id, count(*) AS n_turns,

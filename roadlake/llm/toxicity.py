@@ -2,8 +2,8 @@
 
 Features of a text are its distinct words, pairs of neighbours and pairs that skip one
 word, hashed to ``2 ** BITS`` places. Training takes at most ``TRAIN_ROWS`` labelled
-rows, those with the least hash of the id; they are dealt to ``WORKERS`` tasks, each of
-which runs FTRL-proximal with per-coordinate rates over its rows, and the weights are
+rows, those with the least hash of the id; they are dealt to tasks of about
+``WORKER_ROWS``, each of which runs FTRL-proximal with per-coordinate rates over its rows, and the weights are
 averaged. L1 leaves few weights, which are broadcast; their number is bounded by the
 number of places.
 
@@ -30,9 +30,11 @@ from roadlake.llm.text import WordHashes, mix, text_bytes
 BITS = 20
 #: Bound of the sample that the classifier is fitted on.
 TRAIN_ROWS = 16_384
-WORKERS = 8
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.5, 0.5
+WORKER_ROWS = 8_192
+EPOCHS = 5
+#: L1 is above what one text can add to a feature in all epochs, so that a weight needs
+#: the evidence of several texts.
+ALPHA, BETA, L1, L2 = 1.5, 1.0, 8.0, 0.05
 MARKS = b".,;:!?\"'()[]{}<>*_-"
 WEIGHTS = "place long, weight double"
 
@@ -80,7 +82,7 @@ def _train(table: pa.Table) -> pa.Table:
     places = np.arange(2**BITS + 1)
     weights = model.weights(places)
     kept = np.flatnonzero(weights)
-    return pa.table({"place": places[kept], "weight": weights[kept] / WORKERS})
+    return pa.table({"place": places[kept], "weight": weights[kept]})
 
 
 def held_out(doc: Column, parts: int = 5) -> Column:
@@ -105,13 +107,14 @@ def fit(
     texts = docs.select(doc.alias("text_doc"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     # At most TRAIN_ROWS rows of three numbers.
     rows = texts.join(F.broadcast(sample), F.col("text_doc") == F.col("doc"))
-    worker = F.pmod("dice", F.lit(WORKERS))
+    workers = max(1, -(-sample.count() // WORKER_ROWS))
+    worker = F.pmod("dice", F.lit(workers))
     weights = (
         rows.select(worker.alias("worker"), "dice", "toxic", "text")
         .groupBy("worker")
         .applyInArrow(_train, WEIGHTS)
         .groupBy("place")
-        .agg(F.sum("weight").alias("weight"))
+        .agg((F.sum("weight") / workers).alias("weight"))
         .orderBy("place")
         .collect()
     )
