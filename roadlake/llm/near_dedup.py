@@ -227,7 +227,8 @@ def near_duplicates(
     )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = clusters.join(blocks, "component").withColumn("block", block)
-    texts = rows.join(members, F.col("doc") == F.col("node"))
+    # The table of members grows with the input, so no size of it is broadcast.
+    texts = rows.join(members.hint("merge"), F.col("doc") == F.col("node"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = texts.select("component", "doc", "text", "block", other.alias("other"))
     task = [
