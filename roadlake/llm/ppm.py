@@ -126,7 +126,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["code", "n"])
 
 
-def frequent_contexts(texts: DataFrame, parts: int = CONTEXT_PARTS) -> list[tuple]:
+def frequent_contexts(texts: DataFrame, parts: int) -> list[tuple]:
     """(length, context, symbols with counts) of the contexts that the trie keeps."""
     grams = texts.select("text").mapInArrow(_count_grams, GRAMS)
     grams = pin(grams.groupBy("code").agg(F.sum("n").alias("n")), "grams")
@@ -320,7 +320,7 @@ def score_documents(
     is_hot = F.col("n") > tokens / HOT_PARTS
     hot = np.array([tuple(r) for r in counts.where(is_hot).collect()], np.int64).reshape(-1, 2)
     hot = hot[np.argsort(hot[:, 0].copy().view(np.uint64))]
-    trie = Trie(frequent_contexts(train))
+    trie = Trie(frequent_contexts(train, CONTEXT_PARTS))
     parts_of = (trie, hot[:, 0].copy().view(np.uint64), hot[:, 1].copy(), ends)
     model = spark.sparkContext.broadcast(parts_of)
     shards = max(1, -(-kinds // SHARD_WORDS))

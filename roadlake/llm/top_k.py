@@ -8,7 +8,8 @@ its blocks for each query from the highest bound down, and stops once the bound
 the k-th score so far. Equal bounds are still scored, since ties go to the smaller id.
 
 Values are whole numbers, ``floor(256 * x)``; scores are exact while the sum of the
-absolute products stays below 2^53, and computed with Python integers beyond.
+absolute products stays below 2^53, computed with Python integers beyond, and stop at
+the ends of a 64-bit number.
 
 Nulls and ties: vectors that are null or hold a null, infinite or undefined component,
 and rows without an id, take no part. Missing components of shorter vectors count as 0.
@@ -35,6 +36,7 @@ QUERIES = 2_048
 #: Blocks that are ordered by bound together.
 TOGETHER = 256
 EXACT = 2.0**53
+LAST = 2**63 - 1
 
 BLOCKS = "block long, size int, terms int, ids binary, vectors binary"
 HITS = "query_block long, query_row int, query_id long, vec_id long, score long"
@@ -109,7 +111,7 @@ class _Best:
 
     def __init__(self, queries: int, k: int, kind) -> None:
         self.scores = np.full((queries, k), -np.inf, kind)
-        self.ids = np.full((queries, k), 2**63 - 1, np.int64)
+        self.ids = np.full((queries, k), LAST, np.int64)
 
     def add(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores = np.concatenate([self.scores[query], scores], axis=1)
@@ -158,7 +160,7 @@ def _search(shared, k: int):
                     break
         if best is not None:
             query, place = np.nonzero(best.scores != -np.inf)
-            scores = [int(x) for x in best.scores[query, place]]
+            scores = [max(-LAST, min(LAST, int(x))) for x in best.scores[query, place]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(q_block[query], pa.int64()),
