@@ -83,9 +83,9 @@ def _subdivide(cuts: list[int], sizes: dict[int, int], limit: int) -> list[int]:
 
 
 def _pack(
-    sizes: dict[int, int], heavy: dict[int, int], shards: int
+    sizes: dict[int, int], heavy: dict[int, int], shards: int, limit: int
 ) -> tuple[dict[int, int], dict[int, list[int]]]:
-    """Shard of each range, and of each part of a heavy key.
+    """Shard of each range, and of each part of a heavy key (parts of about a limit).
 
     Heavy keys and ranges that no cut makes small (a very long text) go first, each to
     the emptiest shard; the other ranges then fill up the shards in order, so that a
@@ -103,7 +103,7 @@ def _pack(
             load[shard] += size / n
             chosen.append(shard)
         if is_key:
-            parts[name] = chosen
+            parts[name] = [chosen[k % n] for k in range(max(n, -(-size // limit)))]
         else:
             at[name] = chosen[0]
     sizes = {k: size for k, size in sizes.items() if k not in at}
@@ -152,7 +152,7 @@ def assign_shards(
     more = _subdivide(cuts, sizes, limit)
     if more != cuts:
         cuts, sizes = more, _sizes(light, more)
-    at, parts = _pack(sizes, heavy, shards)
+    at, parts = _pack(sizes, heavy, shards, limit)
     places = [at.get(k, 0) for k in range(len(cuts) + 1)]
     first, rows = len(places), []
     for key, of_key in sorted(parts.items()):
@@ -167,7 +167,8 @@ def assign_shards(
         joined = rows.join(heavy_parts, "key", "left")
         return joined.withColumn("number", number).drop("parts", "first")
 
-    counted = {r["number"]: r["n"] for r in numbered(slim).groupBy("number").agg(F.count("*").alias("n")).collect()}
+    counts = numbered(slim).groupBy("number").agg(F.count("*").alias("n"))
+    counted = {r["number"]: r["n"] for r in counts.collect()}
     starts, filled = [], [0] * shards
     for number, shard in enumerate(places):
         starts.append(filled[shard])
