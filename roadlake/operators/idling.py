@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 from roadlake.functions.engine import is_idle
 from roadlake.functions.times import MICROS, micros
-from roadlake.operators import hotkeys
+from roadlake.operators.lookback import SPAN_SECONDS, look_back
 
 ORDER = ["us", "ingest_seq"]
 
 
-def idling_episodes(
-    events: DataFrame, rows_per_slice: int = hotkeys.ROWS_PER_SLICE
-) -> DataFrame:
+def idling_episodes(events: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """One row per episode that a later non-idle fix has closed.
 
-    Episodes may cross midnight, so the look-back runs over the whole device;
-    devices too large for one task are cut into slices (``hotkeys``).
+    Episodes may cross midnight, so the look-back runs over the whole device.
     """
     rows = events.select(
         "device_id",
@@ -28,11 +25,10 @@ def idling_episodes(
         "latitude",
         "longitude",
     )
-    slices = hotkeys.plan_slices(rows, ["device_id"], ORDER, rows_per_slice)
     after_idle = F.coalesce(F.col("prev_idle"), F.lit(False))
     starts = F.col("idle") & ~after_idle
     start = F.when(starts, F.struct(F.col("us"), F.col("ingest_seq").alias("seq")))
-    rows = hotkeys.look_back(hotkeys.assign(rows, slices), slices, ["idle"], start, "episode")
+    rows = look_back(rows, ["device_id"], ORDER, ["idle"], start, "episode", span_seconds)
     rows = rows.withColumn("starts", starts).withColumn("closes", ~F.col("idle") & after_idle)
     return (
         rows.where(F.col("idle") | F.col("closes"))

@@ -1,9 +1,8 @@
 """Trips, operating hours and the daily summary of each vehicle.
 
-One pass does all of it: a single shuffle by (device, day) and one sort carry
-the previous fix, the running trip and the first and last position; everything
-after that is hash aggregation on the same partitioning. Device-days that are
-too large for one task are cut into slices (``hotkeys``).
+A look-back (``lookback``) carries the previous fix, the running trip and the first
+and last position over slices of each device-day; everything after that is hash
+aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions.engine import MOVING, OFF, STATIONARY, engine_state, state_name
 from roadlake.functions.times import MICROS, micros
-from roadlake.operators import hotkeys
+from roadlake.operators.lookback import SPAN_SECONDS, look_back
 from roadlake.schemas import SUMMARY_COLUMNS
 
 IDLE_THRESHOLD_SECONDS = 300.0
@@ -60,7 +59,7 @@ def with_engine_state(events: DataFrame) -> DataFrame:
     return events.withColumn("engine_state", state_name(state))
 
 
-def _day_rows(events: DataFrame, payload: list[str], rows_per_slice: int) -> DataFrame:
+def _day_rows(events: DataFrame, payload: list[str], span_seconds: int) -> DataFrame:
     """Fixes of each device-day in order, with the running trip's start."""
     rows = events.select(
         "device_id",
@@ -70,12 +69,11 @@ def _day_rows(events: DataFrame, payload: list[str], rows_per_slice: int) -> Dat
         engine_state(F.col("power_on"), F.col("speed")).alias("state"),
         *payload,
     )
-    slices = hotkeys.plan_slices(rows, DAY_KEYS, ORDER, rows_per_slice)
     # The first fix of a day only opens the summary, and leaves the engine off.
     before = F.when(F.col("rn") == 2, OFF).otherwise(F.col("prev_state"))
     starts = (F.col("rn") > 1) & (F.col("state") == MOVING) & (before != MOVING)
     started = F.when(starts, F.struct(F.col("us"), F.col("ingest_seq").alias("seq")))
-    rows = hotkeys.look_back(hotkeys.assign(rows, slices), slices, ["us", "state"], started, "trip")
+    rows = look_back(rows, DAY_KEYS, ORDER, ["us", "state"], started, "trip", span_seconds)
     return rows.withColumn("trip_us", F.col("trip.us")).withColumn("trip_seq", F.col("trip.seq"))
 
 
@@ -90,10 +88,10 @@ def trips(
     events: DataFrame,
     idle_threshold: float = IDLE_THRESHOLD_SECONDS,
     trip_rule: str = "strategy",
-    rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
+    span_seconds: int = SPAN_SECONDS,
 ) -> DataFrame:
     """Finished trips of every device-day."""
-    rows = _day_rows(events, [], rows_per_slice)
+    rows = _day_rows(events, [], span_seconds)
     done = _per_trip(rows, trip_rule, idle_threshold).where(F.col("end_us").isNotNull())
     return done.select(
         "device_id",
@@ -109,11 +107,11 @@ def daily_state(
     idle_threshold: float = IDLE_THRESHOLD_SECONDS,
     trip_rule: str = "strategy",
     hours_rule: str = "engine_on",
-    rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
+    span_seconds: int = SPAN_SECONDS,
 ) -> DataFrame:
     """The summary of each device-day plus the state a live fold would hold."""
     first_last = ["latitude", "longitude", "odometer", "fuel_gauge"]
-    rows = _day_rows(events, first_last, rows_per_slice)
+    rows = _day_rows(events, first_last, span_seconds)
     first, last = F.col("rn") == 1, F.col("is_last")
     ends = [("first", first, c) for c in first_last] + [("last", last, c) for c in first_last]
     per_trip = _per_trip(

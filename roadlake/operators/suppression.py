@@ -1,23 +1,27 @@
 """Cool-down of repeated faults.
 
-The first fault of a code opens a window as long as its payload says; faults
-inside it are suppressed and do not extend it. That is a walk in time order per
-code, and a handful of codes may hold most faults. So a code of any size is cut
-into slices (``hotkeys``) that are walked in parallel, and only the moment up to
-which each slice was entered suppressed has to be agreed on:
-
-1. walk every slice as if nothing were open at its start, keep only its exit;
-2. hand each exit to the next slice and walk again the slices whose entry changed;
-3. repeat until no entry changes, then mark the rows.
-
-After ``k`` rounds the first ``k`` slices of a code are final, so this ends with
-the exact answer; where windows are short against slices it ends after two or
-three rounds. The driver holds two numbers per slice of a busy code.
+The first fault of a code opens a window as long as its payload says; faults inside it
+are suppressed and do not extend it. That is a walk in time order per code, and a
+handful of codes may hold most faults. So a code is cut into slices of a fixed span of
+time, and only the moment up to which a slice is entered suppressed has to be known:
+
+1. a slice, walked once backwards, gives its step function: the first fault that is
+   free again decides when the slice is left, and neighbours that leave at the same
+   moment are one step;
+2. the steps of a code are followed in slice order, row after row, for the entry of each
+   slice;
+3. each slice marks its rows from its entry.
+
+Tasks read slices in order and hold one batch and the slice it cuts; many small slices
+are worked on at once.
+
+Three jobs' worth of work at any size and for any windows, without the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,121 +31,182 @@ from pyspark.sql import types as T
 
 from roadlake.functions.payload import cooldown_seconds
 from roadlake.functions.times import MICROS, micros
-from roadlake.operators import hotkeys
-from roadlake.session import pin
-
-# A slice is walked in memory, so slices stay small and may be many: the table
-# of their cuts is some 12 MB at this bound, which covers 2 * 10**11 faults.
-ROWS_PER_SLICE = 1_000_000
-MAX_HOT_CODES = 20_000
-MAX_SLICES = 200_000
-SLICES_PER_BLOCK = 64
-ORDER = ["us", "device_id"]
+from roadlake.operators.lookback import with_slice
+
+SPAN_SECONDS = 600
+ORDER = ("us", "device_id", "fault_code")
 NEVER = np.iinfo(np.int64).min
 
 
-def walk(us: np.ndarray, cooldown: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
-    """Which of the time-ordered rows are suppressed, and until when the last window runs.
-
-    Only rows with a cool-down can open a window, and the row that opens the
-    next one is found by bisection, so the loop runs once per opened window.
-    """
-    able = np.flatnonzero(cooldown > 0)
-    times = us[able]
-    opened, until = [], [entry]
-    at = int(np.searchsorted(times, entry))
-    while at < len(able):
-        row = able[at]
-        opened.append(row)
-        until.append(int(us[row]) + int(cooldown[row]) * MICROS)
-        at = int(np.searchsorted(times, until[-1]))
-    windows_before = np.searchsorted(np.array(opened, dtype=np.int64), np.arange(len(us)))
-    return us < np.array(until, dtype=np.int64)[windows_before], until[-1]
-
-
-def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int]:
-    table = table.sort_by([(c, "ascending") for c in ORDER])
-    entry = table["entry"][0].as_py()
-    return table, table["us"].to_numpy(), table["cooldown"].to_numpy(), NEVER if entry is None else entry
-
-
-def _mark(table: pa.Table) -> pa.Table:
-    table, us, cooldown, entry = _ordered(table)
-    suppressed, _ = walk(us, cooldown, entry)
-    kept = table.drop_columns(["us", "cooldown", "slice", "entry"])
-    return kept.append_column("suppressed", pa.array(suppressed))
-
-
-def _exit_of(key: str) -> Callable[[pa.Table], pa.Table]:
-    def leave(table: pa.Table) -> pa.Table:
-        table, us, cooldown, entry = _ordered(table)
-        _, until = walk(us, cooldown, entry)
-        row = table.select([key, "slice"]).slice(0, 1)
-        opened = until if until != NEVER else None
-        row = row.append_column("first_us", pa.array([int(us[0])]))
-        return row.append_column("exit", pa.array([opened], pa.int64()))
-
-    return leave
-
-
-def _agree_on_entries(rows: DataFrame, slices: hotkeys.Slices, key: str) -> DataFrame:
-    """Entry of every slice of the hot codes, as (key, slice, entry)."""
-    spark = rows.sparkSession
-    block = F.floor(F.col("slice") / SLICES_PER_BLOCK).cast("int").alias("block")
-    # Stored in blocks of slices, so that a round reads what it walks and little else.
-    hot = pin(
-        rows.join(F.broadcast(slices.cuts.select(key)), key, "left_semi")
-        .select(key, "slice", *ORDER, "cooldown", block)
-        .repartition(key, "block"),
-        "cooldown",
-        partition_by=("block",),
-    )
-    schema = T.StructType(
-        [rows.schema[key], T.StructField("slice", T.IntegerType()), T.StructField("entry", T.LongType())]
-    )
-    exit_schema = T.StructType(
-        [*schema.fields[:2], T.StructField("first_us", T.LongType()), T.StructField("exit", T.LongType())]
-    )
-    entries: dict[tuple, int | None] = {}
-    exits: dict[tuple, tuple[int, int | None]] = {}
-    todo = hot.withColumn("entry", F.lit(None).cast("bigint"))
-    while True:
-        for r in todo.groupBy(key, "slice").applyInArrow(_exit_of(key), exit_schema).collect():
-            exits[(r[key], r["slice"])] = (r["first_us"], r["exit"])
-        changed, held = [], {}
-        for code, part in sorted(exits, key=lambda k: (str(k[0]), k[1])):
-            first, leaving = exits[(code, part)]
-            entering = held.get(code)
-            entering = entering if entering is not None and entering > first else None
-            if entering != entries.get((code, part)):
-                changed.append((code, part, entering))
-            entries[(code, part)] = entering
-            held[code] = leaving if leaving is not None else entering
-        if not changed:
-            break
-        again = spark.createDataFrame(changed, schema).withColumn("block", block)
-        todo = hot.join(F.broadcast(again), [key, "slice", "block"])
-    agreed = [(code, part, entry) for (code, part), entry in entries.items()]
-    return spark.createDataFrame(agreed, schema)
+@dataclass
+class Slices:
+    """Whole slices, one after the other, their rows in order."""
+
+    new: np.ndarray
+    us: np.ndarray
+    cooldown: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.number = np.cumsum(self.new) - 1
+        self.able = np.flatnonzero(self.cooldown > 0)
+        self.times = self.us[self.able]
+        self.until = self.times + self.cooldown[self.able].astype(np.int64) * MICROS
+        of = self.number[self.able]
+        self.ends = np.searchsorted(of, np.arange(self.number[-1] + 1), side="right")
+        self.next = self.first_free(of, self.until)
+
+    def first_free(self, slices: np.ndarray, moments: np.ndarray) -> np.ndarray:
+        """First row with a cool-down at or after a moment, or the end of its slice's rows."""
+        # One line for all slices: each is as long as its longest stay on it.
+        starts = self.us[self.new]
+        width = max(int((self.us - starts[self.number]).max()), 0) + 2
+        of = self.number[self.able]
+        places = of * width + (self.times - starts[of])
+        asked = slices * width + np.minimum(np.maximum(moments, starts[slices]) - starts[slices], width - 1)
+        return np.minimum(np.searchsorted(places, asked), self.ends[slices])
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slice, last entry and moment of leaving of each step.
+
+        An entry after the last of a slice's steps leaves the slice as it came.
+        """
+        of = self.number[self.able]
+        end = self.ends[of]
+        ahead, until = self.next, self.until
+        # Windows lead to the row that opens the next one; jumps double until none is left.
+        while (open_ := ahead < end).any():
+            at = np.where(open_, ahead, 0)
+            until = np.where(open_, until[at], until)
+            ahead = np.where(open_, ahead[at], ahead)
+        last = np.ones(len(of), bool)
+        last[:-1] = (until[1:] != until[:-1]) | (of[1:] != of[:-1])
+        return of[last], self.times[last], until[last]
+
+    def suppressed(self, entries: np.ndarray) -> np.ndarray:
+        """Rows inside a window, with the entry of each slice given."""
+        opened = np.zeros(len(self.able), bool)
+        slices = np.arange(len(entries))
+        at = self.first_free(slices, entries)
+        while len(at):
+            inside = at < self.ends[slices]
+            slices, at = slices[inside], at[inside]
+            opened[at] = True
+            at = self.next[at]
+        rows = np.zeros(len(self.us), np.int64)
+        rows[self.able[opened]] = np.flatnonzero(opened) + 1
+        before = np.concatenate([[0], np.maximum.accumulate(rows)[:-1]]) - 1
+        in_slice = (before >= 0) & (self.number[self.able[before]] == self.number) if len(self.able) else before >= 0
+        until = entries[self.number]
+        until[in_slice] = self.until[before[in_slice]]
+        return self.us < until
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    encoded = column.combine_chunks().dictionary_encode()
+    return encoded.indices.fill_null(-1).to_numpy()
+
+
+def _starts(table: pa.Table, key: str) -> np.ndarray:
+    new = np.ones(table.num_rows, bool)
+    codes, slices = _codes(table[key]), _codes(table["slice"])
+    new[1:] = (np.diff(codes) != 0) | (np.diff(slices) != 0)
+    return new
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, Slices]]:
+    """Tables of whole slices, from rows that come in order."""
+    held = None
+
+    def done(table: pa.Table, new: np.ndarray) -> tuple[pa.Table, Slices]:
+        return table, Slices(new, table["us"].to_numpy(), table["cooldown"].to_numpy())
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        new = _starts(table, key)
+        last = int(np.flatnonzero(new)[-1]) if len(new) else 0
+        if last:
+            yield done(table.slice(0, last), new[:last])
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield done(held, _starts(held, key))
+
+
+def _find_steps(key: str):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, slices in _whole(batches, key):
+            of, times, until = slices.steps()
+            offsets = np.searchsorted(of, np.arange(slices.number[-1] + 2)).astype(np.int32)
+            rows = table.select([key, "slice"]).filter(pa.array(slices.new))
+            for name, values in (("times", times), ("until", until)):
+                rows = rows.append_column(name, pa.ListArray.from_arrays(offsets, values))
+            yield from rows.to_batches()
+
+    return find
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entry of each slice; rows come by key and slice."""
+    now, entry = None, NEVER
+    for batch in batches:
+        entries = []
+        for row in range(batch.num_rows):
+            key = (batch.column(0)[row].as_py(),)
+            if key != now:
+                now, entry = key, NEVER
+            entries.append(entry)
+            times = batch.column(2)[row].values.to_numpy()
+            step = int(np.searchsorted(times, entry))
+            if step < len(times):
+                entry = batch.column(3)[row].values[step].as_py()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(entries, pa.int64())],
+            names=[batch.schema.names[0], "slice", "entry"],
+        )
+
+
+def _mark(key: str):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, slices in _whole(batches, key):
+            entries = table["entry"].to_numpy()[slices.new]
+            kept = table.drop_columns(["us", "cooldown", "slice", "entry"])
+            marked = kept.append_column("suppressed", pa.array(slices.suppressed(entries)))
+            yield from marked.combine_chunks().to_batches()
+
+    return mark
 
 
 def mark_suppressed(
-    faults: DataFrame, key: str = "fault_code", rows_per_slice: int = ROWS_PER_SLICE
+    faults: DataFrame, key: str = "fault_code", span_seconds: int = SPAN_SECONDS
 ) -> DataFrame:
-    """Add ``suppressed`` to assembled faults (``timestamp``, ``payload_bytes``, ``key``)."""
+    """Add ``suppressed`` to assembled faults (``timestamp``, ``payload_bytes``, ``key``).
+
+    The faults are read twice, so costly ones are better stored first.
+    """
     rows = faults.withColumn("us", micros(F.col("timestamp"))).withColumn(
         "cooldown", cooldown_seconds(F.col("payload_bytes"))
     )
-    slices = hotkeys.plan_slices(rows, [key], ORDER, rows_per_slice, MAX_HOT_CODES, MAX_SLICES)
-    rows = hotkeys.assign(rows, slices)
-    if slices.any_hot:
-        entries = _agree_on_entries(rows, slices, key)
-        rows = rows.join(F.broadcast(entries), [key, "slice"], "left")
-    else:
-        rows = rows.withColumn("slice", F.lit(0)).withColumn("entry", F.lit(None).cast("bigint"))
+    rows = with_slice(rows, "us", span_seconds)
+    slice_key = [rows.schema[key], T.StructField("slice", T.LongType())]
+    longs = T.ArrayType(T.LongType())
+    step_schema = T.StructType([*slice_key, T.StructField("times", longs), T.StructField("until", longs)])
+    entry_schema = T.StructType([*slice_key, T.StructField("entry", T.LongType())])
+    order = list(dict.fromkeys([key, "slice", *(c for c in ORDER if c in rows.columns)]))
+    entries = (
+        rows.select(*order, "cooldown")
+        .repartition(key, "slice")
+        .sortWithinPartitions(*order)
+        .mapInArrow(_find_steps(key), step_schema)
+        .repartition(key)
+        .sortWithinPartitions(key, "slice")
+        .mapInArrow(_follow, entry_schema)
+    )
+    own = entries.select(F.col(key).alias("own_key"), F.col("slice").alias("own_slice"), "entry")
+    same = rows[key].eqNullSafe(own["own_key"]) & rows["slice"].eqNullSafe(own["own_slice"])
+    entered = rows.join(own, same).select(*faults.columns, "us", "cooldown", "slice", "entry")
     schema = T.StructType([*faults.schema.fields, T.StructField("suppressed", T.BooleanType())])
-    ordered = [*faults.columns, "us", "cooldown", "slice", "entry"]
-    return rows.select(*ordered).groupBy(key, "slice").applyInArrow(_mark, schema)
+    ordered = entered.repartition(key, "slice").sortWithinPartitions(*order)
+    return ordered.mapInArrow(_mark(key), schema)
 
 
 def unsuppressed(faults: DataFrame, **options: object) -> DataFrame:

@@ -204,8 +204,8 @@ def daily_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_summary_sliced(spark: SparkSession, sf: str) -> DataFrame:
-    """The same answer with every device-day of more than six fixes cut into slices."""
-    return summary.daily_summary(tables.gps_events(spark, sf), rows_per_slice=6)
+    """The same answer from slices of 20 minutes."""
+    return summary.daily_summary(tables.gps_events(spark, sf), span_seconds=1200)
 
 
 def daily_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +242,7 @@ def idling_episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def idling_episodes_sliced(spark: SparkSession, sf: str) -> DataFrame:
     """The same answer with every device of more than 50 fixes cut into slices."""
-    found = idling.idling_episodes(tables.gps_events(spark, sf), rows_per_slice=50)
+    found = idling.idling_episodes(tables.gps_events(spark, sf), span_seconds=7200)
     return _naive(found)
 
 
@@ -336,7 +336,7 @@ def fault_suppression(spark: SparkSession, sf: str) -> DataFrame:
 
 def fault_suppression_sliced(spark: SparkSession, sf: str) -> DataFrame:
     """The same answer with every code of more than ten faults cut into slices."""
-    marked = suppression.mark_suppressed(_kept_faults(spark, sf), rows_per_slice=10)
+    marked = suppression.mark_suppressed(_kept_faults(spark, sf), span_seconds=60)
     return _naive(marked.select(*faults.FAULT_KEY, "suppressed"))
 
 

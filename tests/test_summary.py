@@ -1,9 +1,12 @@
 import datetime as dt
 import random
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
-from roadlake.operators import hotkeys, summary
+from roadlake.operators import idling, lookback, summary
+from roadlake.sources import tables
 from tests.helpers import at, fixes, fold_days, gps_frame
 
 
@@ -71,30 +74,48 @@ def test_fold(spark, seed):
     check_against_fold(spark, fixes(random.Random(seed), 4, 60, 40 * 3600))
 
 
-@pytest.mark.parametrize("seed, size", [(11, 1), (12, 33), (13, 70), (14, 150)])
+@pytest.mark.parametrize("seed, size", [(11, 1), (12, 60), (13, 900), (14, 86_400)])
 def test_fold_on_hot_days(spark, seed, size):
     rng = random.Random(seed)
     rows = fixes(rng, 1, 900, 20 * 3600) + [(f"x{r[0]}", *r[1:]) for r in fixes(rng, 3, 20, 40 * 3600)]
-    check_against_fold(spark, rows, rows_per_slice=size)
+    check_against_fold(spark, rows, span_seconds=size)
 
 
-def test_slices_are_bounded_and_whole(spark):
-    few = [(f"x{r[0]}", *r[1:]) for r in fixes(random.Random(2), 1, 30, 3600)]
-    rows = fixes(random.Random(1), 1, 5000, 24 * 3600) + few
-    frame = gps_frame(spark, rows)
-    slices = hotkeys.plan_slices(frame, ["device_id"], ["timestamp", "ingest_seq"], 400)
-    sizes = hotkeys.assign(frame, slices).groupBy("device_id", "slice").count().collect()
+def test_no_slice_holds_a_hot_day(spark):
+    """A day with most rows is spread over the day's hours."""
+    rows = fixes(random.Random(1), 1, 5000, 24 * 3600)
+    rows += [(f"x{r[0]}", *r[1:]) for r in fixes(random.Random(2), 1, 30, 3600)]
+    frame = gps_frame(spark, rows).withColumn("us", F.unix_micros("timestamp"))
+    sizes = lookback.with_slice(frame, "us", 3600).groupBy("device_id", "slice").count().collect()
     hot = [r["count"] for r in sizes if r.device_id == "dev0"]
-    assert sum(hot) == 5000 and max(hot) < 1600 and len(hot) > 5
-    assert [r.slice for r in sizes if r.device_id == "xdev0"] == [0]
+    assert sum(hot) == 5000 and max(hot) < 2 * 5000 / 24
+    check_against_fold(spark, rows)
+
+
+def jobs_started(spark, build):
+    group = f"building-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "building")
+    frame = build()
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return frame, len(started)
 
 
-def test_plain_days_shuffle_once(spark, given):
-    from roadlake.sources import tables
+def test_building_a_plan_starts_no_job(spark, given):
+    events = tables.gps_events(spark, given)
+    for operator in (summary.daily_summary, summary.trips, summary.daily_state, idling.idling_episodes):
+        _, started = jobs_started(spark, lambda: operator(events))
+        assert started == 0
 
-    frame = summary.daily_summary(tables.gps_events(spark, given))
-    plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "Join" not in plan
+
+def test_a_lookup_reads_its_vehicle_only(spark, tmp_path):
+    """The key's filter goes through the look-back to the scan, on rows and seams alike."""
+    path = f"{tmp_path}/events"
+    gps_frame(spark, fixes(random.Random(3), 3, 50, 3600)).write.parquet(path)
+    events = spark.read.parquet(path)
+    found = summary.summary_by_key(summary.daily_summary(events), "dev1", dt.date(2024, 1, 1))
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert scans and all("EqualTo(device_id,dev1)" in x for x in scans)
 
 
 def test_merge_keeps_the_stored_start(spark):
@@ -123,26 +144,8 @@ def test_increments(spark):
 
 
 def test_own_rules(spark):
-    from pyspark.sql import functions as F
-
     summary.register_trip_rule("at_once", lambda threshold: F.col("state") != 3)
     summary.register_hours_rule("always", lambda: F.col("us") - F.col("prev_us"))
     rows = [fix(0, 0.0, power=False), fix(10, 40.0), fix(3600, 0.0, power=False)]
     (day,) = one(spark, rows, trip_rule="at_once", hours_rule="always")
     assert (day.trip_count, day.total_operational_hours) == (1, 1.0)
-
-
-def test_sampled_plan_finds_the_hot_key(spark):
-    from pyspark.sql import functions as F
-
-    key = F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 97).cast("string"))
-    frame = spark.range(120_000).select(key.alias("k"), (F.col("id") * 7 % 120_000).alias("at"))
-    slices = hotkeys.plan_slices(frame, ["k"], ["at"], 4000)
-    sizes = hotkeys.assign(frame, slices).groupBy("k", "slice").count().collect()
-    hot = [r["count"] for r in sizes if r.k == "hot"]
-    assert sum(hot) == 40_000 and len(hot) > 5 and max(hot) < 12_000
-    assert {r.slice for r in sizes if r.k != "hot"} == {0}
-    ranges = (
-        hotkeys.assign(frame, slices).where("k = 'hot'").groupBy("slice").agg(F.min("at"), F.max("at")).orderBy("slice").collect()
-    )
-    assert all(a[2] < b[1] for a, b in zip(ranges, ranges[1:]))

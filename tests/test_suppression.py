@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from roadlake.operators import suppression
@@ -33,7 +34,7 @@ def test_short_payloads(spark):
 
 @pytest.mark.parametrize(
     "seed, longest, step, size",
-    [(1, 50, 9, 10**6), (2, 50, 9, 100), (3, 60_000, 9, 100), (4, 400, 1, 60), (5, 0, 5, 60), (6, 3000, 2, 200)],
+    [(1, 50, 9, 10**6), (2, 50, 9, 100), (3, 60_000, 9, 100), (4, 400, 1, 7), (5, 0, 5, 60), (6, 3000, 2, 20)],
 )
 def test_fold(spark, seed, longest, step, size):
     rng = random.Random(seed)
@@ -45,4 +46,40 @@ def test_fold(spark, seed, longest, step, size):
             key = (code, f"dev{rng.randrange(5)}", at(second))
             rows[key] = (*key, rng.choice([0, rng.randrange(longest + 1)]))
     frame = frame_of(spark, list(rows.values()))
-    assert suppressed(frame, rows_per_slice=size) == fold_cooldown(rows.values())
+    assert suppressed(frame, span_seconds=size) == fold_cooldown(rows.values())
+
+
+def test_a_regular_train_takes_as_many_jobs_for_any_number_of_slices(spark):
+    jobs = []
+    for seconds in (64, 2_000):
+        rows = [("1", "a", at(k), 7) for k in range(seconds)]
+        group = f"train-{seconds}"
+        spark.sparkContext.setJobGroup(group, "train")
+        assert suppressed(frame_of(spark, rows), span_seconds=32) == fold_cooldown(rows)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_steps_lead_where_a_walk_does():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        sizes = rng.integers(1, 12, 4)
+        new = np.concatenate([np.arange(n) == 0 for n in sizes])
+        parts = [np.sort(rng.integers(0, 60, n)) + 60 * k for k, n in enumerate(sizes)]
+        us = np.concatenate(parts).astype(np.int64) * 10**6
+        cooldown = rng.integers(0, 9, len(us)).astype(np.int32)
+        cooldown[0] = 60_000
+        slices = suppression.Slices(new, us, cooldown)
+        of, times, until = slices.steps()
+        for entry in range(-1, 250, 3):
+            marks = slices.suppressed(np.full(4, entry * 10**6))
+            for part in range(4):
+                left, rows = entry * 10**6, np.flatnonzero(slices.number == part)
+                for row in rows:
+                    assert marks[row] == (us[row] < left)
+                    if us[row] >= left and cooldown[row]:
+                        left = int(us[row]) + int(cooldown[row]) * 10**6
+                own, leave = times[of == part], until[of == part]
+                step = int(np.searchsorted(own, entry * 10**6))
+                assert left == (leave[step] if step < len(own) else entry * 10**6)
