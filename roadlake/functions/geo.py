@@ -38,8 +38,8 @@ def geohash(latitude: Column, longitude: Column, precision: int) -> Column:
 
 
 def grid_decimals(step: float) -> int:
-    """Decimals shown for a grid step: 1.0 -> 1, 0.01 -> 2, 5e-05 -> 5."""
-    return abs(int(Decimal(str(step)).as_tuple().exponent))
+    """Digits after the point in plain notation: 1.0 -> 1, 0.01 -> 2, 5e-05 -> 5."""
+    return len(f"{Decimal(repr(step)):f}".partition(".")[2])
 
 
 def grid_key(latitude: Column, longitude: Column, step: float) -> Column:

@@ -198,6 +198,7 @@ def _matches(rule: AlertRule, data: _Typed | _Variant) -> Column:
 
 
 def _subject(rule: AlertRule, data: _Typed | _Variant) -> Column:
+    """The wording of a subject line."""
     parts = [
         F.concat(F.lit(f"{key}="), data.text(key), F.lit(f" (threshold={threshold})"))
         for key, threshold in rule.thresholds.items()

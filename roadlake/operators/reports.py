@@ -90,9 +90,9 @@ def of_assets(df: DataFrame, column: str, asset_ids: list[str] | None) -> DataFr
 
 def _checked_target(target: float | None, name: str) -> float:
     if target is None:
-        raise ValueError(f"{name} is required")
+        raise ValueError(f"give {name}: utilization is measured against it")
     if target == 0:
-        raise ValueError(f"{name} must not be 0")
+        raise ValueError(f"{name} is 0; nothing can be measured against it")
     return float(target)
 
 
@@ -136,7 +136,7 @@ def sort_order(report_by: str, sort_by: str, direction: str) -> list[Column]:
     if sort_by == "utilization_score_primary":
         sort_by = UTILIZATION[report_by][0]
     if sort_by not in SUMMARY_COLUMNS:
-        raise ValueError(f"Invalid sort_by field: {sort_by}")
+        raise ValueError(f"no column {sort_by!r} to sort by; the columns are {', '.join(SUMMARY_COLUMNS)}")
     column = F.col(sort_by)
     down = direction.lower() == "desc"
     first = column.desc_nulls_first() if down else column.asc_nulls_last()

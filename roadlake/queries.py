@@ -241,7 +241,7 @@ def idling_episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def idling_episodes_sliced(spark: SparkSession, sf: str) -> DataFrame:
-    """The same answer with every device of more than 50 fixes cut into slices."""
+    """The same answer from slices of two hours."""
     found = idling.idling_episodes(tables.gps_events(spark, sf), span_seconds=7200)
     return _naive(found)
 
@@ -335,7 +335,7 @@ def fault_suppression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fault_suppression_sliced(spark: SparkSession, sf: str) -> DataFrame:
-    """The same answer with every code of more than ten faults cut into slices."""
+    """The same answer from slices of a minute."""
     marked = suppression.mark_suppressed(_kept_faults(spark, sf), span_seconds=60)
     return _naive(marked.select(*faults.FAULT_KEY, "suppressed"))
 

@@ -61,8 +61,14 @@ class Lookup:
 
 
 def dedup(events: DataFrame, memory: str = DEDUP_MEMORY) -> DataFrame:
-    """First arrival per (device, timestamp), remembered for ``memory``."""
-    return events.withWatermark("timestamp", memory).dropDuplicatesWithinWatermark(clean.EVENT_KEY)
+    """First arrival per (device, timestamp), remembered for ``memory`` of wall-clock time.
+
+    The watermark runs on the time of arrival, behind which no event can fall: late
+    events stay, however old they are, and only what is remembered goes.
+    """
+    arrived = events.withColumn("arrived", F.current_timestamp())
+    fresh = arrived.withWatermark("arrived", memory).dropDuplicatesWithinWatermark(clean.EVENT_KEY)
+    return fresh.drop("arrived")
 
 
 def daily_summary(events: DataFrame, lateness: str = LATENESS, idle_threshold: float = 300.0) -> DataFrame:

@@ -8,23 +8,23 @@ from tests.helpers import at
 
 GPS = ("gps",)
 CASES = [
-    ("gps", {"speed": 70}, GPS, {"speed": 60.0}, True),
-    ("gps", {"speed": 50}, GPS, {"speed": 60.0}, False),
-    ("fault", {"fault_code": "2"}, ("fault",), {"fault_code": ["1", "2", "3"]}, True),
-    ("fault", {"fault_code": "999"}, ("fault",), {"fault_code": ["1", "2", "3"]}, False),
-    ("gps", {"fault_code": "1"}, ("fault",), {"fault_code": ["1"]}, False),
-    ("gps", {}, GPS, {"speed": 60.0}, False),
-    ("gps", {"speed": None}, GPS, {"speed": 60.0}, False),
-    ("custom", {"status": "OK"}, ("custom",), {"status": "OK"}, True),
-    ("custom", {"status": "FAIL"}, ("custom",), {"status": "OK"}, False),
-    ("gps", {"speed": "fast"}, GPS, {"speed": 70.0}, False),
-    ("gps", {"speed": "71.5"}, GPS, {"speed": 70.0}, True),
-    ("gps", {"speed": True}, GPS, {"speed": 1}, True),
-    ("fault", {"fault_code": 2}, ("fault",), {"fault_code": ["2"]}, False),
-    ("fault", {"fault_code": 2}, ("fault",), {"fault_code": [2, 3]}, True),
-    ("gps", {"speed": 80, "zone": "A"}, GPS, {"speed": 60.0, "zone": "B"}, False),
-    ("gps", {"speed": 80, "zone": "A"}, GPS, {"speed": 60.0, "zone": "A"}, True),
     ("gps", {"anything": 1}, GPS, {}, True),
+    ("gps", {"odometer": 12.5, "speed": None}, GPS, {"odometer": 12.5}, True),
+    ("gps", {"odometer": 12.4}, GPS, {"odometer": 12.5}, False),
+    ("gps", {"speed": None}, GPS, {"speed": 10.0}, False),
+    ("gps", {"odometer": 3.0}, GPS, {"speed": 10.0}, False),
+    ("gps", {"speed": "11.5"}, GPS, {"speed": 11.0}, True),
+    ("gps", {"speed": "quick"}, GPS, {"speed": 11.0}, False),
+    ("gps", {"speed": True}, GPS, {"speed": 1}, True),
+    ("gps", {"speed": 31, "zone": "north"}, GPS, {"speed": 30.0, "zone": "south"}, False),
+    ("gps", {"speed": 31, "zone": "north"}, GPS, {"speed": 30.0, "zone": "north"}, True),
+    ("fault", {"fault_code": "41"}, ("fault", "gps"), {"fault_code": ["40", "41"]}, True),
+    ("fault", {"fault_code": "42"}, ("fault", "gps"), {"fault_code": ["40", "41"]}, False),
+    ("fault", {"fault_code": 41}, ("fault",), {"fault_code": ["41"]}, False),
+    ("fault", {"fault_code": 41}, ("fault",), {"fault_code": [40, 41]}, True),
+    ("door", {"side": "left"}, ("fault",), {"side": "left"}, False),
+    ("door", {"side": "left"}, ("door",), {"side": "left"}, True),
+    ("door", {"side": "right"}, ("door",), {"side": "left"}, False),
 ]
 
 
