@@ -102,6 +102,21 @@ def test_summary_and_idling(spark, tmp_path):
         assert [getattr(got, c) for c in expected.columns] == pytest.approx(list(row))
 
 
+def test_duplicates_go_and_late_fixes_stay(spark, tmp_path):
+    def fix(hour, seq):
+        return ("d", dt.datetime(2024, 5, 1, hour), 10.0, 1.0, True, 1.0, 2.0, 3.0, seq)
+
+    path = str(tmp_path / "fixes")
+    for i, rows in enumerate([[fix(12, 1)], [fix(13, 2)], [fix(13, 3)], [fix(9, 4)], [fix(12, 5), fix(2, 6)]]):
+        gps_frame(spark, rows).coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            if name.startswith("part-") and os.path.getmtime(f"{path}/{name}") > 10_000:
+                os.utime(f"{path}/{name}", (2000 + i, 2000 + i))
+    stream = jobs.stream_table(spark, path, gps_frame(spark, []), files_per_batch=1)
+    kept = collected(jobs.dedup(stream), str(tmp_path / "c")).collect()
+    assert sorted(r.timestamp.hour for r in kept) == [2, 9, 12, 13]
+
+
 def test_late_fixes_do_not_reopen_a_day(spark, tmp_path):
     def fix(day, hour, seq):
         return ("d", dt.datetime(2024, 5, day, hour), 10.0, float(seq), True, 1.0, 2.0, 3.0, seq)
