@@ -3,9 +3,9 @@
 Features of a text are its distinct words, pairs of neighbours and pairs that skip one
 word, hashed to ``2 ** BITS`` places. Training takes at most ``TRAIN_ROWS`` labelled
 rows, those with the least hash of the id; they are dealt to tasks of about
-``WORKER_ROWS``, each of which runs FTRL-proximal with per-coordinate rates over its rows, and the weights are
-averaged. L1 leaves few weights, which are broadcast; their number is bounded by the
-number of places.
+``WORKER_ROWS``, each of which runs FTRL-proximal with per-coordinate rates over its
+rows, and the weights are averaged. L1 leaves few weights, which are broadcast; their
+number is bounded by the number of places.
 
 Scores use the text alone. Nulls and ties: a null or empty text has no features and gets
 the score of the bias. Rows of labels without an id or a label are left out; of several
