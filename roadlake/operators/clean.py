@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roadlake.operators.decode import DUPLICATE, UNKNOWN_DEVICE
 
 EVENT_KEY = ["device_id", "timestamp"]
+UNKNOWN_LABEL = "unknown_label"
 
 
 def dedup(events: DataFrame, keys: list[str] = EVENT_KEY, seq: str = "ingest_seq") -> DataFrame:
@@ -62,7 +63,7 @@ def enrich_label(faults: DataFrame, labels: DataFrame) -> DataFrame:
 
 def unlabelled(faults: DataFrame, labels: DataFrame) -> DataFrame:
     return faults.join(labels, "fault_code", "left_anti").withColumn(
-        "reject_reason", F.lit("unknown_label")
+        "reject_reason", F.lit(UNKNOWN_LABEL)
     )
 
 

@@ -23,6 +23,7 @@ UNKNOWN_DEVICE, DUPLICATE, UNKNOWN_ROUTE = "unknown_device", "duplicate", "unkno
 
 ROUTES = ("gps", "fault")
 MAX_FIELDS = 9
+QUARANTINE = ["body", "routing_key", "ingest_seq", "reject_reason"]
 
 
 def route(messages: DataFrame, key: str) -> DataFrame:
@@ -129,6 +130,4 @@ def good(decoded: DataFrame, columns: list[str]) -> DataFrame:
 
 def refused(decoded: DataFrame) -> DataFrame:
     """Quarantine rows: the message as it came, and why it was refused."""
-    return decoded.where(F.col("reject_reason").isNotNull()).select(
-        "body", "routing_key", "ingest_seq", "reject_reason"
-    )
+    return decoded.where(F.col("reject_reason").isNotNull()).select(*QUARANTINE)

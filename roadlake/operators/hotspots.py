@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.functions.geo import geohash, grid_key
@@ -13,8 +13,6 @@ from roadlake.operators.paging import check_page, page_counts, page_of
 from roadlake.operators.reports import in_dates
 
 LARGEST_PAGE = 100
-# Ids are spread over this many sub-groups before the few shown are chosen.
-SALTS = 64
 # The prefixes of the two kinds of level.
 GRID, GEOHASH = "rounded_lat_lon_", "geohash_level_"
 
@@ -70,29 +68,30 @@ def hotspots(episodes: DataFrame, level: str) -> DataFrame:
     """Incidents, minutes and asset ids by location.
 
     Episodes are first folded per (location, asset), so a busy location never
-    meets one task as single episodes, and then per (location, salt). The grid
-    lists every asset of a location once, as the report asks; ``asset_shares``
-    has the same facts as rows. Geohash keeps the first five at each step.
+    meets one task as single episodes. Where a level shows a few ids, those are
+    ranked before any is collected: a location is spread over as many parts as
+    a shuffle has, and each part gives no more ids than are shown. The grid lists
+    every asset of a location once, as the report asks; ``asset_shares`` has the
+    same facts as rows, for locations with more assets than a row can hold.
     """
     _, shown = grouping(level)
-    salt = F.pmod(F.xxhash64("asset_id"), F.lit(SALTS))
-
-    def first(ids: Column) -> Column:
-        return F.slice(F.array_sort(ids), 1, shown) if shown else F.array_sort(ids)
-
-    part = (
-        asset_shares(episodes, level)
-        .groupBy("location_identifier", salt.alias("salt"))
-        .agg(
-            F.sum("incidents").alias("incidents"),
-            F.sum("minutes").alias("minutes"),
-            first(F.collect_list("asset_id")).alias("ids"),
-        )
-    )
-    return part.groupBy("location_identifier").agg(
+    shares = asset_shares(episodes, level)
+    totals = [
         F.sum("incidents").alias("total_idle_incidents"),
         F.sum("minutes").alias("total_idle_duration_minutes"),
-        first(F.flatten(F.collect_list("ids"))).alias("contributing_asset_ids_sample"),
+    ]
+    ids = F.array_sort(F.collect_list("asset_id")).alias("contributing_asset_ids_sample")
+    if shown is None:
+        return shares.groupBy("location_identifier").agg(*totals, ids)
+    parts = int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = shares.withColumn("part", F.pmod(F.xxhash64("asset_id"), F.lit(parts)))
+    by_id = Window.partitionBy("location_identifier", "part").orderBy("asset_id")
+    early = F.when(F.row_number().over(by_id) <= shown, F.col("asset_id"))
+    first = F.slice(F.array_sort(F.collect_list("early")), 1, shown)
+    return (
+        spread.withColumn("early", early)
+        .groupBy("location_identifier")
+        .agg(*totals, first.alias("contributing_asset_ids_sample"))
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from roadlake.operators.alerts import RULES
-from roadlake.queries import ASSETS, TARGET_HOURS, TARGET_KM
-
+# The selections and targets that the queries ask for.
+ASSETS = ["truck_1", "truck_2", "truck_3", "truck_5", "truck_8"]
+TARGET_KM, TARGET_HOURS = 250.0, 6.0
 DATES = "BETWEEN DATE '2024-01-04' AND DATE '2024-01-24'"
 EPOCH = "epoch_us(TIMESTAMP '2024-01-01 00:00:00')"
 
@@ -155,7 +155,7 @@ SELECT *, CASE WHEN t IS NULL THEN 'decode' WHEN len(f) <> 6 THEN 'field_count'
     WHEN timestamp IS NULL OR sequence IS NULL OR total_number IS NULL THEN 'number'
     WHEN length(device_id) < 1 OR length(fault_bits) < 1 OR length(fault_code) < 1 OR sequence < 0
       OR total_number < 0 THEN 'range' END AS reject_reason
-FROM (SELECT ingest_seq, t, f, f[1] AS device_id, make_timestamp(CAST(round(TRY_CAST(f[2] AS DOUBLE) * 1000000) AS BIGINT)) AS timestamp,
+FROM (SELECT ingest_seq, body, t, f, f[1] AS device_id, make_timestamp(CAST(round(TRY_CAST(f[2] AS DOUBLE) * 1000000) AS BIGINT)) AS timestamp,
     f[3] AS fault_bits, f[4] AS fault_code, TRY_CAST(f[5] AS INTEGER) AS sequence, TRY_CAST(f[6] AS INTEGER) AS total_number
   FROM (SELECT *, string_split(t, ':') AS f FROM ({TEXT.format(raw='raw_faults')})))""",
 )
@@ -223,10 +223,13 @@ summary_parts("_afternoon", "gps_afternoon")
 
 # Idling
 
-part(
-    "episodes",
-    ("gps",),
-    """
+
+
+def episode_part(tag: str, source: str) -> None:
+    part(
+        f"episodes{tag}",
+        (source,),
+        f"""
 SELECT asset_id, CAST(make_timestamp(start_us) AS DATE) AS date, (end_us - start_us) / 6e7 AS minutes,
   latitude, longitude, make_timestamp(start_us) AS start_time, make_timestamp(end_us) AS end_time
 FROM (SELECT device_id AS asset_id, run, min(us) AS start_us, max(us) AS end_us,
@@ -234,10 +237,14 @@ FROM (SELECT device_id AS asset_id, run, min(us) AS start_us, max(us) AS end_us,
   FROM (SELECT *, max(CASE WHEN NOT idle THEN rn END) OVER (PARTITION BY device_id) AS newest,
           coalesce(max(CASE WHEN NOT idle THEN rn END) OVER (PARTITION BY device_id ORDER BY rn ROWS UNBOUNDED PRECEDING), 0) AS run
         FROM (SELECT *, power_on AND speed = 0 AS idle, epoch_us(timestamp) AS us,
-                row_number() OVER (PARTITION BY device_id ORDER BY timestamp, ingest_seq) AS rn FROM gps))
+                row_number() OVER (PARTITION BY device_id ORDER BY timestamp, ingest_seq) AS rn FROM {source}))
   WHERE idle GROUP BY device_id, run)
 WHERE newest > last_rn""",
-)
+    )
+
+
+episode_part("", "gps")
+episode_part("_raw", "gps_clean")
 EPISODE = "SELECT asset_id, date, minutes AS idle_duration_minutes, latitude, longitude, start_time, end_time FROM episodes"
 
 
@@ -351,11 +358,13 @@ def body_sql(event_type: str, data: str) -> str:
   || '","timestamp":"' || {iso('epoch_us(timestamp)')} || '","data":' || {data} || '}}'"""
 
 
-CODES = str(RULES[0].thresholds["fault_code"])
+CODES = str([str(code) for code in range(1, 101)])
 CODES_SQL = CODES.replace("'", "''")
 FAULT_MATCH = "TRY_CAST(fault_code AS INTEGER) BETWEEN 1 AND 100"
 FAULT_LETTER = f"""'example@gmail.com' AS "to", 'Alert: fault [fault_code=' || fault_code || ' (threshold={CODES_SQL})]' AS subject,
   {body_sql('fault', FAULT_DATA)} AS body"""
+GPS_LETTER = f"""'example@gmail.com' AS "to", 'Alert: gps [speed=' || CAST(speed AS VARCHAR) || ' (threshold=70.0)]' AS subject,
+  {body_sql('gps', GPS_DATA)} AS body"""
 ENVELOPE_TIME = iso("epoch_us(timestamp)")
 
 
@@ -411,11 +420,28 @@ FROM gps WHERE speed > 50 GROUP BY ALL""",
 )
 part(
     "rejected",
-    ("gps_decoded", "gps_ranked", "gps_first", "known"),
+    ("raw_gps", "gps_decoded", "gps_ranked", "gps_first", "known"),
+    """
+SELECT body, ingest_seq, 'gps' AS routing_key, reject_reason FROM raw_gps JOIN (
+  SELECT ingest_seq, reject_reason FROM gps_decoded WHERE reject_reason IS NOT NULL
+  UNION ALL SELECT ingest_seq, 'duplicate' FROM gps_ranked WHERE arrival > 1
+  UNION ALL SELECT ingest_seq, 'unknown_device' FROM gps_first ANTI JOIN known USING (device_id)) USING (ingest_seq)""",
+)
+part(
+    "faults_refused",
+    ("faults_decoded", "known"),
     """
-SELECT ingest_seq, 'gps' AS routing_key, reject_reason FROM gps_decoded WHERE reject_reason IS NOT NULL
-UNION ALL SELECT ingest_seq, 'gps', 'duplicate' FROM gps_ranked WHERE arrival > 1
-UNION ALL SELECT ingest_seq, 'gps', 'unknown_device' FROM gps_first ANTI JOIN known USING (device_id)""",
+SELECT body, ingest_seq, 'fault' AS routing_key, coalesce(reject_reason, 'unknown_device') AS reject_reason
+FROM faults_decoded d LEFT JOIN known k USING (device_id) WHERE reject_reason IS NOT NULL OR k.device_name IS NULL""",
+)
+part(
+    "faults_rejected",
+    ("fault_all_raw", "code_labels"),
+    """
+SELECT device_id, fault_code, timestamp, received, total,
+  CASE WHEN status = 'error' THEN 'assembly' ELSE 'unknown_label' END AS reject_reason
+FROM fault_all_raw LEFT JOIN code_labels USING (fault_code)
+WHERE status = 'error' OR (status = 'complete' AND fault_label IS NULL)""",
 )
 part(
     "routed",
@@ -453,6 +479,7 @@ FROM routed GROUP BY 1""",
         "SELECT ingest_seq, routing_key, 'unknown_route' AS reject_reason FROM routed WHERE routing_key = 'status'", "routed"
     ),
     "sink_gps_events": build("SELECT *, CAST(timestamp AS DATE) AS event_date FROM named_gps", "named_gps"),
+    "sink_fault_events": build("SELECT *, CAST(timestamp AS DATE) AS event_date FROM fault_stored", "fault_stored"),
     "sink_idling": build(EPISODE, "episodes"),
     "upsert_daily_summary": build(
         """SELECT vehicle_id, summary_date, coalesce(e.start_latitude, s.start_latitude) AS start_latitude,
@@ -465,6 +492,13 @@ FROM summary s LEFT JOIN summary_afternoon e USING (vehicle_id, summary_date)"""
     "validate_events": build(f"SELECT rule, count(*) AS messages FROM ({BROKEN}) GROUP BY rule", "gps_decoded"),
     "reject_counts": build("SELECT reject_reason, count(*) AS messages FROM rejected GROUP BY reject_reason", "rejected"),
     "quarantine": build("SELECT * FROM rejected", "rejected"),
+    "fault_quarantine": build("SELECT * FROM faults_refused", "faults_refused"),
+    "fault_reject_counts": build(
+        """SELECT reject_reason, count(*) AS refused FROM (SELECT reject_reason FROM faults_refused
+UNION ALL SELECT reject_reason FROM faults_rejected) GROUP BY reject_reason""",
+        "faults_refused",
+        "faults_rejected",
+    ),
     "alert_envelope_parse": build(
         f"""SELECT CASE WHEN bad THEN 'bad field: device_name' END AS error, CASE WHEN NOT bad THEN 'gps' END AS event_type,
   CASE WHEN NOT bad THEN device_id END AS device_id, CASE WHEN NOT bad THEN device_name END AS device_name,
@@ -605,14 +639,21 @@ UNION ALL SELECT 'code@example.com', 'Alert: fault [fault_code=5 (threshold=5)]'
         "fault_stored",
     ),
     "alert_notifications": build(
-        f"""SELECT 'example@gmail.com' AS "to", 'Alert: gps [speed=' || CAST(speed AS VARCHAR) || ' (threshold=70.0)]' AS subject,
-  {body_sql('gps', GPS_DATA)} AS body FROM named_gps WHERE speed >= 70""",
-        "named_gps",
+        f"SELECT {GPS_LETTER} FROM named_gps WHERE speed >= 70", "named_gps"
     ),
     "alert_path": build(
         f"SELECT {FAULT_LETTER} FROM fault_marked_stored WHERE NOT suppressed AND {FAULT_MATCH}", "fault_marked_stored"
     ),
     "gps_path": build(f"SELECT {SUMMARY_COLUMNS} FROM summary_raw", "summary_raw"),
+    "gps_path_events": build("SELECT * FROM gps_clean", "gps_clean"),
+    "gps_path_quarantine": build("SELECT * FROM rejected", "rejected"),
+    "gps_path_episodes": build(EPISODE + "_raw", "episodes_raw"),
+    "gps_path_notifications": build(f"SELECT {GPS_LETTER} FROM gps_clean WHERE speed >= 70", "gps_clean"),
+    "fault_path_events": build("SELECT *, CAST(timestamp AS DATE) AS event_date FROM fault_stored_raw", "fault_stored_raw"),
+    "fault_path_status": build(
+        "SELECT device_id, fault_code, timestamp, received, total, status FROM fault_all_raw", "fault_all_raw"
+    ),
+    "fault_path_rejected": build("SELECT * FROM faults_rejected", "faults_rejected"),
     "fault_path": build(
         f"SELECT {FAULT_LETTER} FROM fault_marked_stored_raw WHERE NOT suppressed AND {FAULT_MATCH}",
         "fault_marked_stored_raw",

@@ -13,13 +13,54 @@ from roadlake.session import pin
 from roadlake.sources import stores
 
 
+# Reasons why the parts of a fault made no event.
+ASSEMBLY = "assembly"
+
+
 @dataclass(frozen=True)
 class FaultOutputs:
     faults: DataFrame
     status: DataFrame
+    quarantine: DataFrame
+    rejected: DataFrame
     notifications: DataFrame
 
 
+def judged_messages(messages: DataFrame, devices: DataFrame) -> DataFrame:
+    """Decoded fault messages; those of unknown devices are refused as well."""
+    decoded = decode.decode_faults(decode.route(messages, "fault"))
+    known = clean.known_devices(devices).select("device_id", F.lit(True).alias("known"))
+    nameless = F.when(F.col("known").isNull(), decode.UNKNOWN_DEVICE)
+    return (
+        decoded.join(known, "device_id", "left")
+        .withColumn("reject_reason", F.coalesce("reject_reason", nameless))
+        .drop("known")
+    )
+
+
+def quarantine_faults(messages: DataFrame, devices: DataFrame) -> DataFrame:
+    """Every fault message that is no part of a fault, as it came, with the reason."""
+    return decode.refused(judged_messages(messages, devices))
+
+
+def rejected_faults(status: DataFrame, labels: DataFrame) -> DataFrame:
+    """Faults that were not stored: not to be put together, or of an unlisted code."""
+    listed = labels.select("fault_code", F.lit(True).alias("listed"))
+    failed = F.when(F.col("status") == faults.ERROR, ASSEMBLY)
+    strange = F.when((F.col("status") == faults.COMPLETE) & F.col("listed").isNull(), clean.UNKNOWN_LABEL)
+    judged = status.join(listed, "fault_code", "left").withColumn("reject_reason", F.coalesce(failed, strange))
+    return judged.where(F.col("reject_reason").isNotNull()).select(
+        *faults.FAULT_KEY, "received", "total", "reject_reason"
+    )
+
+
+def reject_counts(quarantine: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Messages, and faults put together from them, per reason."""
+    early = quarantine.groupBy("reject_reason").agg(F.count("*").alias("refused"))
+    late = rejected.groupBy("reject_reason").agg(F.count("*").alias("refused"))
+    return early.unionByName(late)
+
+
 def known_segments(messages: DataFrame, devices: DataFrame) -> DataFrame:
     """Decoded parts of named devices; the name itself joins the finished fault."""
     decoded = decode.decode_faults(decode.route(messages, "fault"))
@@ -48,5 +89,11 @@ def fault_path(
         stored = pin(stored, "fault-events")
     else:
         stores.append_faults(stored, faults_path)
-        stored = stores.read_table(messages.sparkSession, faults_path)
-    return FaultOutputs(faults=stored, status=status, notifications=fault_alerts(stored))
+        stored = stores.read_days(faults_path, stored)
+    return FaultOutputs(
+        faults=stored,
+        status=status,
+        quarantine=quarantine_faults(messages, devices),
+        rejected=rejected_faults(status, labels),
+        notifications=fault_alerts(stored),
+    )

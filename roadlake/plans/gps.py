@@ -12,26 +12,32 @@ from roadlake.schemas import GPS_COLUMNS
 from roadlake.session import pin
 from roadlake.sources import stores
 
-QUARANTINE = ["ingest_seq", "routing_key", "reject_reason"]
-
 
 def gps_decoded(messages: DataFrame) -> DataFrame:
     return decode.decode_gps(decode.route(messages, "gps"))
 
 
+def stored_decoded(messages: DataFrame) -> DataFrame:
+    """The decoded feed, written once for the several readers of it."""
+    kept = [*GPS_COLUMNS, "routing_key", "body", "reject_reason"]
+    return pin(gps_decoded(messages).select(*kept), "gps-decoded")
+
+
 def clean_gps(decoded: DataFrame, devices: DataFrame) -> DataFrame:
     """Good messages, first arrivals only, with the device name."""
     return clean.enrich_device(clean.dedup(decode.good(decoded, GPS_COLUMNS)), devices)
 
 
 def quarantine_gps(decoded: DataFrame, devices: DataFrame) -> DataFrame:
-    """Every GPS message that made no event, with the reason."""
-    passed = decode.good(decoded, [*clean.EVENT_KEY, "ingest_seq", "routing_key"])
-    refused = decoded.where(F.col("reject_reason").isNotNull())
-    nameless = clean.unknown_devices(clean.dedup(passed), devices)
-    found = refused.select(*QUARANTINE)
+    """Every GPS message that made no event, as it came, with the reason.
+
+    Read several times, so ``decoded`` should be a stored table.
+    """
+    passed = decode.good(decoded, [*clean.EVENT_KEY, "ingest_seq", "routing_key", "body"])
+    nameless = clean.dedup(clean.unknown_devices(passed, devices))
+    found = decode.refused(decoded)
     for later in (clean.duplicates(passed), nameless):
-        found = found.unionByName(later.select(*QUARANTINE))
+        found = found.unionByName(later.select(*decode.QUARANTINE))
     return found
 
 
@@ -76,14 +82,13 @@ def gps_path(messages: DataFrame, devices: DataFrame, events_path: str | None =
     Decoding and cleaning run once: the events are stored (at ``events_path``, or
     in the shared folder) and everything after reads the stored columns it needs.
     """
-    kept = [*GPS_COLUMNS, "routing_key", "reject_reason"]
-    decoded = pin(gps_decoded(messages).select(*kept), "gps-decoded")
+    decoded = stored_decoded(messages)
     events = clean_gps(decoded, devices)
     if events_path is None:
         events = pin(events, "gps-events")
     else:
         stores.append_gps_events(events, events_path)
-        events = stores.read_table(messages.sparkSession, events_path)
+        events = stores.read_days(events_path, events)
     return GpsOutputs(
         events=events,
         quarantine=quarantine_gps(decoded, devices),

@@ -71,6 +71,24 @@ def _stored_faults(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _with_hex(stored: DataFrame) -> DataFrame:
+    return stored.withColumn("payload_hex", F.hex("payload_bytes")).drop("payload_bytes")
+
+
+def _gps_path(spark: SparkSession, sf: str) -> gps_plan.GpsOutputs:
+    return gps_plan.gps_path(tables.raw_gps(spark, sf), tables.devices(spark, sf))
+
+
+def _fault_path(spark: SparkSession, sf: str) -> fault_plan.FaultOutputs:
+    """The faults go through their stored table."""
+    return fault_plan.fault_path(
+        tables.raw_faults(spark, sf),
+        tables.devices(spark, sf),
+        tables.fault_labels(spark, sf),
+        shared_dir(spark, "fault-events"),
+    )
+
+
 def _named_gps(spark: SparkSession, sf: str) -> DataFrame:
     return clean.enrich_device(tables.gps_events(spark, sf), tables.devices(spark, sf))
 
@@ -127,16 +145,31 @@ def validate_events(spark: SparkSession, sf: str) -> DataFrame:
     return broken.groupBy("rule").agg(F.count("*").alias("messages"))
 
 
+def sink_fault_events(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "fault-events")
+    stores.append_faults(_stored_faults(spark, sf), path)
+    return _naive(_with_hex(stores.read_table(spark, path)))
+
+
 def reject_counts(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = gps_plan.gps_decoded(tables.raw_gps(spark, sf))
+    decoded = gps_plan.stored_decoded(tables.raw_gps(spark, sf))
     return gps_plan.reject_counts(decoded, tables.devices(spark, sf))
 
 
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = gps_plan.gps_decoded(tables.raw_gps(spark, sf))
+    decoded = gps_plan.stored_decoded(tables.raw_gps(spark, sf))
     return gps_plan.quarantine_gps(decoded, tables.devices(spark, sf))
 
 
+def fault_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    return fault_plan.quarantine_faults(tables.raw_faults(spark, sf), tables.devices(spark, sf))
+
+
+def fault_reject_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = _fault_path(spark, sf)
+    return fault_plan.reject_counts(found.quarantine, found.rejected)
+
+
 def alert_envelope_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Envelopes written as JSON, every seventh spoiled, and read again."""
     messages = alerts.to_messages(alerts.gps_envelopes(_named_gps(spark, sf)))
@@ -373,13 +406,39 @@ def alert_path(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gps_path(spark: SparkSession, sf: str) -> DataFrame:
-    return gps_plan.gps_path(tables.raw_gps(spark, sf), tables.devices(spark, sf)).summaries
+    return _gps_path(spark, sf).summaries
+
+
+def gps_path_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _naive(_gps_path(spark, sf).events)
+
+
+def gps_path_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    return _gps_path(spark, sf).quarantine
+
+
+def gps_path_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _naive(_gps_path(spark, sf).episodes)
+
+
+def gps_path_notifications(spark: SparkSession, sf: str) -> DataFrame:
+    return _gps_path(spark, sf).notifications
 
 
 def fault_path(spark: SparkSession, sf: str) -> DataFrame:
-    return fault_plan.fault_path(
-        tables.raw_faults(spark, sf), tables.devices(spark, sf), tables.fault_labels(spark, sf)
-    ).notifications
+    return _fault_path(spark, sf).notifications
+
+
+def fault_path_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _naive(_with_hex(_fault_path(spark, sf).faults))
+
+
+def fault_path_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _naive(_fault_path(spark, sf).status.drop("fault_payload", "payload_bytes"))
+
+
+def fault_path_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return _naive(_fault_path(spark, sf).rejected)
 
 
 QUERIES: dict[str, Query] = {
@@ -391,10 +450,13 @@ QUERIES: dict[str, Query] = {
         unrouted_events,
         sink_gps_events,
         sink_idling,
+        sink_fault_events,
         upsert_daily_summary,
         validate_events,
         reject_counts,
         quarantine,
+        fault_quarantine,
+        fault_reject_counts,
         alert_envelope_parse,
         enrich_device,
         unknown_devices,
@@ -433,7 +495,14 @@ QUERIES: dict[str, Query] = {
         alert_notifications,
         alert_path,
         gps_path,
+        gps_path_events,
+        gps_path_quarantine,
+        gps_path_episodes,
+        gps_path_notifications,
         fault_path,
+        fault_path_events,
+        fault_path_status,
+        fault_path_rejected,
     )
 }
 QUERIES["page_counts"] = page_totals

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadlake.operators.summary import merge_summaries
 from roadlake.schemas import RAW_MESSAGE
@@ -57,6 +58,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_days(path: str, like: DataFrame) -> DataFrame:
+    """A table appended by day, with the columns of ``like``; it may have no rows yet."""
+    schema = T.StructType([*like.schema.fields, T.StructField("event_date", T.DateType())])
+    return like.sparkSession.read.schema(schema).parquet(path)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """Replace the days that occur in ``summary``; other days stay."""
     (
