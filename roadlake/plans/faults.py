@@ -43,12 +43,18 @@ def quarantine_faults(messages: DataFrame, devices: DataFrame) -> DataFrame:
     return decode.refused(judged_messages(messages, devices))
 
 
-def rejected_faults(status: DataFrame, labels: DataFrame) -> DataFrame:
-    """Faults that were not stored: not to be put together, or of an unlisted code."""
+def rejected_faults(status: DataFrame, labels: DataFrame, devices: DataFrame) -> DataFrame:
+    """Faults that were not stored: of unknown devices, not to be put together, or of an unlisted code."""
+    known = clean.known_devices(devices).select("device_id", F.lit(True).alias("known"))
     listed = labels.select("fault_code", F.lit(True).alias("listed"))
-    failed = F.when(F.col("status") == faults.ERROR, ASSEMBLY)
-    strange = F.when((F.col("status") == faults.COMPLETE) & F.col("listed").isNull(), clean.UNKNOWN_LABEL)
-    judged = status.join(listed, "fault_code", "left").withColumn("reject_reason", F.coalesce(failed, strange))
+    reason = (
+        F.when(F.col("known").isNull(), decode.UNKNOWN_DEVICE)
+        .when(F.col("status") == faults.ERROR, ASSEMBLY)
+        .when(F.col("listed").isNull(), clean.UNKNOWN_LABEL)
+    )
+    ended = status.where(F.col("status") != faults.PENDING)
+    named = ended.join(known, "device_id", "left").join(listed, "fault_code", "left")
+    judged = named.withColumn("reject_reason", reason)
     return judged.where(F.col("reject_reason").isNotNull()).select(
         *faults.FAULT_KEY, "received", "total", "reject_reason"
     )
@@ -94,6 +100,6 @@ def fault_path(
         faults=stored,
         status=status,
         quarantine=quarantine_faults(messages, devices),
-        rejected=rejected_faults(status, labels),
+        rejected=rejected_faults(status, labels, devices),
         notifications=fault_alerts(stored),
     )

@@ -19,8 +19,9 @@ from roadlake.functions.payload import cooldown_seconds, is_byte_bits, pack_byte
 from roadlake.functions.times import MICROS, micros
 from roadlake.operators import alerts, clean, decode
 from roadlake.operators.faults import COMPLETE, ERROR, MAX_PAYLOAD, PENDING
-from roadlake.plans.faults import labelled_faults
+from roadlake.plans.faults import labelled_faults, rejected_faults
 from roadlake.schemas import FAULT_COLUMNS, GPS_COLUMNS
+from roadlake.session import pin
 from roadlake.sources import stores
 from roadlake.streaming.processors import (
     DAY_OUTPUT,
@@ -38,22 +39,28 @@ FLUSH_PERIOD = "10 seconds"
 LOOKUP_LIFE_SECONDS = 300.0
 
 
+def snapshot(dimension: DataFrame) -> DataFrame:
+    """The rows as they are now, so that batches neither read the source again nor see it change."""
+    return pin(dimension, "lookup")
+
+
 class Lookup:
-    """A dimension that is read again once it is older than its life."""
+    """A dimension whose rows are taken again once they are older than their life."""
 
     def __init__(
         self,
         read: Callable[[], DataFrame],
         life_seconds: float = LOOKUP_LIFE_SECONDS,
         clock: Callable[[], float] = time.monotonic,
+        hold: Callable[[DataFrame], DataFrame] = snapshot,
     ) -> None:
-        self._read, self._life, self._clock = read, life_seconds, clock
+        self._read, self._life, self._clock, self._hold = read, life_seconds, clock, hold
         self._frame: DataFrame | None = None
         self._read_at = 0.0
 
     def get(self) -> DataFrame:
         if self._frame is None or self._clock() - self._read_at >= self._life:
-            self._frame, self._read_at = self._read(), self._clock()
+            self._frame, self._read_at = self._hold(self._read()), self._clock()
         return self._frame
 
     def invalidate(self) -> None:
@@ -215,7 +222,7 @@ def _append_batch(df: DataFrame, path: str, batch_id: int, day: str | None = Non
     rows = df.withColumn("batch", F.lit(batch_id))
     parts = ["batch"]
     if day is not None:
-        rows, parts = rows.withColumn("event_date", F.to_date(day)), ["batch", "event_date"]
+        rows, parts = rows.withColumn("event_date", F.to_date(day)), ["event_date", "batch"]
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -273,19 +280,30 @@ def start_fault_ingest(
     faults_path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    rejected_path: str | None = None,
 ) -> StreamingQuery:
     """Raw fault messages to stored, named and labelled faults.
 
+    Faults that end otherwise go to ``rejected_path`` with the reason, if given.
     Its processing-time timers ask for a batch at every trigger, so it runs with
     a period; ``availableNow`` would not end.
     """
     decoded = decode.decode_faults(decode.route(messages, "fault"))
-    complete = fault_status(decode.good(decoded, FAULT_COLUMNS)).where(F.col("status") == COMPLETE)
+    ended = fault_status(decode.good(decoded, FAULT_COLUMNS)).where(F.col("status") != PENDING)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        _append_batch(labelled_faults(batch, devices.get(), labels.get()), faults_path, batch_id, day="timestamp")
+        batch = batch.persist()
+        try:
+            complete = batch.where(F.col("status") == COMPLETE)
+            stored = labelled_faults(complete, devices.get(), labels.get())
+            _append_batch(stored, faults_path, batch_id, day="timestamp")
+            if rejected_path is not None:
+                rejected = rejected_faults(batch, labels.get(), devices.get())
+                _append_batch(rejected, rejected_path, batch_id)
+        finally:
+            batch.unpersist()
 
-    return _start(complete, store, checkpoint, "append", trigger or {"processingTime": FLUSH_PERIOD})
+    return _start(ended, store, checkpoint, "append", trigger or {"processingTime": FLUSH_PERIOD})
 
 
 def start_fault_alerts(

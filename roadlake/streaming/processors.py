@@ -8,6 +8,7 @@ rates per batch). Times cross into Python as microseconds.
 from __future__ import annotations
 
 import datetime as dt
+from collections import namedtuple
 from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
@@ -28,6 +29,10 @@ DAY_OUTPUT = """
     end_latitude double, end_longitude double, total_distance_km double,
     total_operational_hours double, trip_count long, fuel_consumed_liters double
 """
+FIX_STATE = """
+    us long, ingest_seq long, state int, latitude double, longitude double, odometer double, fuel_gauge double
+"""
+Fix = namedtuple("Fix", [field.split()[0] for field in FIX_STATE.split(",")])
 DAY_FIELDS = [field.split()[0] for field in DAY_STATE.replace("\n", " ").split(",")]
 
 EPISODE_STATE = "start_us long, end_us long, latitude double, longitude double"
@@ -80,8 +85,11 @@ def first_fix(fix: object) -> dict:
 class DayProcessor(StatefulProcessor):
     """Running summary of one (device, day); emits it after every batch.
 
-    The state ends with its day: the timer stands at the next midnight and fires
-    once the watermark has passed it.
+    Fixes are folded in the order of their times. Those the watermark has not
+    passed may still be preceded by others, so they are kept as rows and folded
+    into what is emitted, but not into the state. The state ends with its day:
+    the timer stands at the next midnight and fires once the watermark has passed
+    it.
     """
 
     def __init__(self, idle_threshold: float = 300.0, zone: str = "UTC") -> None:
@@ -91,20 +99,33 @@ class DayProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.day = handle.getValueState("day", DAY_STATE)
+        self.recent = handle.getListState("recent", FIX_STATE)
+
+    def _fold(self, day: dict | None, fixes: list[Fix]) -> dict | None:
+        for fix in fixes:
+            if day is None:
+                day = first_fix(fix)
+            else:
+                add_fix(day, fix, self.idle_threshold_us)
+        return day
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         vehicle, date = key
         held = self.day.get()
         day = None if held is None else dict(zip(DAY_FIELDS, held))
-        if day is None:
+        recent = [Fix(*row) for row in self.recent.get()]
+        if day is None and not recent:
             midnight = dt.datetime.combine(date + dt.timedelta(days=1), dt.time(), ZoneInfo(self.zone))
             self.handle.registerTimer(int(midnight.timestamp() * 1000))
-        for fix in in_order(rows, "us", "ingest_seq").itertuples():
-            if day is None:
-                day = first_fix(fix)
-            else:
-                add_fix(day, fix, self.idle_threshold_us)
-        self.day.update(tuple(day[f] for f in DAY_FIELDS))
+        fresh = pd.concat(list(rows), ignore_index=True)[list(Fix._fields)]
+        fixes = sorted([*recent, *fresh.itertuples(index=False, name="Fix")], key=lambda f: f[:2])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        settled = [f for f in fixes if f.us < passed]
+        day = self._fold(day, settled)
+        if day is not None:
+            self.day.update(tuple(day[f] for f in DAY_FIELDS))
+        self.recent.put([tuple(f) for f in fixes[len(settled) :]])
+        day = self._fold(day, fixes[len(settled) :])
         yield pd.DataFrame(
             {
                 "vehicle_id": [vehicle],
@@ -119,6 +140,7 @@ class DayProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.day.clear()
+        self.recent.clear()
         return iter([])
 
     def close(self) -> None:

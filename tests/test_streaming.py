@@ -117,6 +117,26 @@ def test_duplicates_go_and_late_fixes_stay(spark, tmp_path):
     assert sorted(r.timestamp.hour for r in kept) == [2, 9, 12, 13]
 
 
+def test_disorder_within_the_lateness_is_as_in_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = sorted(fixes(rng, 2, 150, 6 * 3600), key=lambda r: r[1])
+    arrivals = sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(580)))
+    path = str(tmp_path / "fixes")
+    for i in range(6):
+        part = arrivals[i * len(rows) // 6 : (i + 1) * len(rows) // 6]
+        gps_frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            if name.startswith("part-") and os.path.getmtime(f"{path}/{name}") > 10_000:
+                os.utime(f"{path}/{name}", (2000 + i, 2000 + i))
+    events = gps_frame(spark, rows)
+    stream = jobs.stream_table(spark, path, events, files_per_batch=1)
+    table = str(tmp_path / "summary")
+    jobs.start_summary_flush(stream, table, str(tmp_path / "c"), NOW).awaitTermination()
+    got = {r.vehicle_id: r.asDict() for r in spark.read.parquet(table).collect()}
+    for row in summary.daily_summary(events).collect():
+        assert got[row.vehicle_id] == pytest.approx(row.asDict())
+
+
 def test_late_fixes_do_not_reopen_a_day(spark, tmp_path):
     def fix(day, hour, seq):
         return ("d", dt.datetime(2024, 5, day, hour), 10.0, float(seq), True, 1.0, 2.0, 3.0, seq)
@@ -224,7 +244,9 @@ def test_ingest(spark, given, tmp_path):
 
     table = str(tmp_path / "faults")
     until_read(
-        jobs.start_fault_ingest(messages, devices, labels, table, str(tmp_path / "c3"), SOON),
+        jobs.start_fault_ingest(
+            messages, devices, labels, table, str(tmp_path / "c3"), SOON, rejected_path=str(tmp_path / "rejected")
+        ),
         raw.where("routing_key = 'fault'").count(),
     )
     assert len(reads) == 1
@@ -240,11 +262,17 @@ def test_ingest(spark, given, tmp_path):
     codes = {r.fault_code for r in tables.fault_labels(spark, given).collect()}
     complete = fold_parts(decode.good(bad, FAULT_COLUMNS).collect())
     assert got == sorted(c for c in complete if c[0] in names and c[1] in codes)
+    lost = spark.read.parquet(str(tmp_path / "rejected")).where("reject_reason <> 'assembly'").collect()
+    unnamed = [c[:3] for c in complete if c[0] not in names or c[1] not in codes]
+    assert len(unnamed) > 0
+    left_out = [(r.device_id, r.fault_code, r.timestamp) for r in lost if r.device_id in names]
+    assert sorted(left_out) == sorted(c for c in unnamed if c[0] in names)
+    assert {c for c in unnamed if c[0] not in names} <= {(r.device_id, r.fault_code, r.timestamp) for r in lost}
 
 
 def test_lookup_life():
     now, reads = [0.0], []
-    lookup = jobs.Lookup(lambda: reads.append(1) or len(reads), 300.0, lambda: now[0])
+    lookup = jobs.Lookup(lambda: reads.append(1) or len(reads), 300.0, lambda: now[0], hold=lambda n: n)
     assert [lookup.get(), lookup.get()] == [1, 1]
     now[0] = 299.0
     assert lookup.get() == 1
