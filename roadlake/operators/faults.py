@@ -9,25 +9,27 @@ from roadlake.functions.once import once
 from roadlake.functions.payload import is_byte_bits, pack_bytes
 
 FAULT_KEY = ["device_id", "fault_code", "timestamp"]
-# The payload column holds 100 characters and each part at least one, so a
-# complete fault has at most 100 parts.
+# Fixed value: characters of the payload column. Each part has at least one, so a
+# complete fault has at most as many parts.
 MAX_PAYLOAD = 100
 PENDING, COMPLETE, ERROR = "pending", "complete", "error"
 
 
-def fault_status(segments: DataFrame) -> DataFrame:
+def fault_status(segments: DataFrame, max_payload: int = MAX_PAYLOAD) -> DataFrame:
     """One row per fault: parts received, status, and the payload when complete.
 
     The last arrival of a part wins. Parts are counted for any sequence number,
-    but only those below 100 can belong to a payload, so what is collected per
-    fault is bounded, however often or under how many numbers parts are re-sent.
+    but only those below ``max_payload`` can belong to a payload, so what is
+    collected per fault is bounded, however often or under how many numbers parts
+    are re-sent; ``ignored`` counts the others.
     """
     parts = segments.groupBy(*FAULT_KEY, "sequence").agg(
         F.max(F.struct("ingest_seq", "fault_bits", "total_number")).alias("last")
     )
-    usable = F.when(F.col("sequence") < MAX_PAYLOAD, F.struct("sequence", "last.fault_bits"))
+    usable = F.when(F.col("sequence") < max_payload, F.struct("sequence", "last.fault_bits"))
     grouped = parts.groupBy(*FAULT_KEY).agg(
         F.count("*").alias("received"),
+        F.count_if(F.col("sequence") >= max_payload).alias("ignored"),
         F.max(F.struct("last.ingest_seq", "last.total_number")).alias("newest"),
         F.array_sort(F.collect_list(usable)).alias("got"),
     )
@@ -38,13 +40,14 @@ def fault_status(segments: DataFrame) -> DataFrame:
     whole = (
         (F.size("bits") == F.col("total"))
         & F.forall("bits", is_byte_bits)
-        & (F.length("joined") <= MAX_PAYLOAD)
+        & (F.length("joined") <= max_payload)
     )
     status = F.when(F.col("received") < F.col("total"), PENDING).when(whole, COMPLETE).otherwise(ERROR)
     done = F.col("status") == COMPLETE
     return once(joined, status=status).select(
         *FAULT_KEY,
         "received",
+        "ignored",
         "total",
         "status",
         F.when(done, F.col("joined")).alias("fault_payload"),

@@ -298,7 +298,7 @@ SELECT * FROM {source} QUALIFY row_number() OVER (
         (f"fault_last{tag}",),
         f"""
 SELECT *, CASE WHEN received < total THEN 'pending' WHEN usable = total THEN 'complete' ELSE 'error' END AS status
-FROM (SELECT device_id, fault_code, timestamp, count(*) AS received, arg_max(total_number, ingest_seq) AS total,
+FROM (SELECT device_id, fault_code, timestamp, count(*) AS received, count(*) FILTER (sequence >= 100) AS ignored, arg_max(total_number, ingest_seq) AS total,
     count(*) FILTER (sequence < total_number) AS usable,
     string_agg(fault_bits, '' ORDER BY sequence) FILTER (sequence < total_number) AS fault_payload,
     string_agg(printf('%02X', CAST('0b' || fault_bits AS INTEGER)), '' ORDER BY sequence) FILTER (sequence < total_number) AS payload_hex
@@ -592,6 +592,12 @@ FROM episodes GROUP BY 1, 2""",
         utilization_sql("total_distance_km", TARGET_KM, "actual_traveled_km", "target_km_met", "utilization_page"),
         "utilization_page",
     ),
+    "summary_next_page": build(
+        """SELECT * FROM summary WHERE total_distance_km < 150 OR (total_distance_km = 150 AND
+  (vehicle_id > 'truck_5' OR (vehicle_id = 'truck_5' AND summary_date > DATE '2024-01-10')))
+ORDER BY total_distance_km DESC NULLS FIRST, vehicle_id, summary_date LIMIT 50""",
+        "summary",
+    ),
     "page_counts": build(
         "SELECT count(*) AS total_records, CAST(ceil(count(*) / 2e1) AS BIGINT) AS total_pages FROM chosen", "chosen"
     ),
@@ -607,7 +613,7 @@ FROM episodes GROUP BY 1, 2""",
     "efficiency_monthly_asset": build(period_sql("month", "chosen_assets", True), "chosen_assets"),
     "efficiency_paged": build(period_sql("week", "chosen_page", False), "chosen_page"),
     "fault_status": build(
-        "SELECT device_id, fault_code, timestamp, received, total, status FROM fault_all", "fault_all"
+        "SELECT device_id, fault_code, timestamp, received, ignored, total, status FROM fault_all", "fault_all"
     ),
     "fault_events": build("SELECT * FROM fault_done", "fault_done"),
     "fault_suppression": build(
@@ -651,7 +657,7 @@ UNION ALL SELECT 'code@example.com', 'Alert: fault [fault_code=5 (threshold=5)]'
     "gps_path_notifications": build(f"SELECT {GPS_LETTER} FROM gps_clean WHERE speed >= 70", "gps_clean"),
     "fault_path_events": build("SELECT *, CAST(timestamp AS DATE) AS event_date FROM fault_stored_raw", "fault_stored_raw"),
     "fault_path_status": build(
-        "SELECT device_id, fault_code, timestamp, received, total, status FROM fault_all_raw", "fault_all_raw"
+        "SELECT device_id, fault_code, timestamp, received, ignored, total, status FROM fault_all_raw", "fault_all_raw"
     ),
     "fault_path_rejected": build("SELECT * FROM faults_rejected", "faults_rejected"),
     "fault_path": build(

@@ -20,7 +20,7 @@ from roadlake.operators import (
     summary,
     suppression,
 )
-from roadlake.operators.paging import page_counts
+from roadlake.operators.paging import page_after, page_counts
 from roadlake.plans import faults as fault_plan
 from roadlake.plans import gps as gps_plan
 from roadlake.schemas import FAULT_COLUMNS, GPS_COLUMNS, SUMMARY_COLUMNS
@@ -336,6 +336,12 @@ def utilization_sorted_page(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+def summary_next_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 days that follow a given one in the order of the sorted report."""
+    last = (150.0, "truck_5", dt.date(2024, 1, 10))
+    return page_after(_summary(spark, sf), ["-total_distance_km", "vehicle_id", "summary_date"], last, 50)
+
+
 def page_totals(spark: SparkSession, sf: str) -> DataFrame:
     return page_counts(reports.in_dates(_summary(spark, sf), "summary_date", START, END), 20)
 
@@ -485,6 +491,7 @@ QUERIES: dict[str, Query] = {
         utilization_distance,
         utilization_hours,
         utilization_sorted_page,
+        summary_next_page,
         fault_status,
         fault_events,
         fault_suppression,

@@ -47,3 +47,11 @@ def test_key_includes_time_and_code(spark):
     ]
     found = faults.fault_events(spark.createDataFrame(rows, FAULT_SEGMENT)).collect()
     assert len(found) == 4 and all(isinstance(r.timestamp, dt.datetime) for r in found)
+
+
+def test_parts_past_the_payload_are_counted(spark):
+    row = status(spark, [(0, "1", 2), (1, "1", 2), (100, "1", 2), (250, "1", 2)])
+    assert (row.status, row.received, row.ignored) == ("complete", 4, 2)
+    rows = [("d", at(0), "1", "7", i, 3, i) for i in range(3)]
+    (row,) = faults.fault_status(spark.createDataFrame(rows, FAULT_SEGMENT), max_payload=2).collect()
+    assert (row.status, row.ignored) == ("error", 1)

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadlake.operators import hotspots, paging, reports
 from roadlake.schemas import DAILY_SUMMARY, GPS_EVENT, IDLING
@@ -108,6 +109,41 @@ def test_pages(spark):
             paging.page_of(frame, ["id"], page, size)
 
 
+def test_next_page_with_nulls_and_directions(spark):
+    rows = [(i, float(i // 3) if i % 4 else None) for i in range(12)]
+    frame = spark.createDataFrame(rows, "id long, km double")
+    for order in (["km", "id"], ["-km", "id"], ["-km", "-id"]):
+        whole = paging.page_after(frame, order, None, 12).collect()
+        last, seen = None, []
+        while page := paging.page_after(frame, order, last, 5).collect():
+            seen += page
+            last = (page[-1].km, page[-1].id)
+        assert seen == whole and len(seen) == 12
+
+
+def test_own_reports_plug_in(spark, monkeypatch):
+    day = dt.date(2024, 5, 1)
+    rows = [("a", day, 1.0, 2.0, 1.0, 2.0, 100.0, 5.0, 2, 10.0), ("b", day, 1.0, 2.0, 1.0, 2.0, 60.0, 3.0, 1, 4.0)]
+    frame = spark.createDataFrame(rows, DAILY_SUMMARY)
+    monkeypatch.setattr(reports, "UTILIZATION", dict(reports.UTILIZATION))
+    reports.register_utilization(
+        "trips", "trip_count", lambda df, target: df.selectExpr("vehicle_id", f"trip_count / {target} AS score")
+    )
+    by = {"sort_by": "utilization_score_primary", "direction": "desc"}
+    found, _ = reports.utilization_report(frame, "trips", day, day, 4.0, **by)
+    assert [tuple(r) for r in found.collect()] == [("a", 0.5), ("b", 0.25)]
+    monkeypatch.setattr(reports, "GRANULARITIES", dict(reports.GRANULARITIES))
+    listed = lambda df, ids: reports.of_assets(df, "vehicle_id", ids)
+    reports.register_granularity("all", lambda df, ids: listed(df, ids).selectExpr("sum(trip_count) AS trips"))
+    found, _ = reports.efficiency_report(frame, "all", day, day, ["a"])
+    assert found.first().trips == 2
+    monkeypatch.setattr(hotspots, "GROUPERS", dict(hotspots.GROUPERS))
+    hotspots.register_grouper("half_", lambda level: (F.when(F.col("latitude") < 0, "south").otherwise("north"), None))
+    rows = [("a", 1, 5.0, -1.0, 9.0), ("b", 1, 2.0, 1.0, 9.0), ("c", 1, 3.0, 2.0, 9.0)]
+    found = hotspots.hotspots(episodes(spark, rows), "half_globe").collect()
+    assert sorted(tuple(r) for r in found) == [("north", 2, 5.0, ["b", "c"]), ("south", 1, 5.0, ["a"])]
+
+
 def bisected(lat, lon, precision):
     letters, spans, bits = "0123456789bcdefghjkmnpqrstuvwxyz", [[-180.0, 180.0], [-90.0, 90.0]], ""
     for i in range(5 * precision):
