@@ -1,9 +1,13 @@
 """Language-model scores: prediction by partial matching over bytes, and a word baseline.
 
-The model is a trie of byte contexts of up to ``ORDER`` bytes, counted over all training
-texts. It keeps the contexts met in more than one ``CONTEXT_PARTS``-th of all places, so
-it has less than ``CONTEXT_PARTS`` contexts of each length however large the corpus is,
-and the size of what is broadcast is bounded by that.
+The model has every byte context of up to ``ORDER`` bytes that the training texts have, so
+it grows with them. Its counts are a table in shards by the last three bytes of the
+context. Every task has the contexts of up to ``SHORT`` bytes, which are at most 256^2
+with 256 symbols each however large the corpus is, and a trie of those met in more than
+one ``HOT_CONTEXT_PARTS``-th of all places. Where the trie has the whole context of a place,
+it has the answer; documents send blocks of the other places to copies of the shards, as many as
+the places need, and get back sums by document. With ``CONTEXT_PARTS`` set, contexts met in no more than such a part of
+all places are left out of the model; by default none is.
 
 A symbol seen in a context has probability n / (T + D), with T its count and D its
 distinct symbols; D / (T + D) is left to the next shorter context, where the symbols
@@ -37,14 +41,23 @@ from roadlake.llm.text import WordHashes, slices, text_bytes
 from roadlake.session import pin
 
 ORDER = 4
-CONTEXT_PARTS = 8_192
+SHORT = 2
+CONTEXT_PARTS: int | None = None
+HOT_CONTEXT_PARTS = 8_192
 HOT_PARTS = 65_536
 SHARD_WORDS = 262_144
-#: Words of rare tokens, or bytes, that a task works on at once.
+#: Grams of a shard, and places of the corpus for which a task has a copy of it. A document
+#: gets a sum from each shard that it asks, so shards grow with the grams alone.
+SHARD_GRAMS = 262_144
+SHARD_PLACES = 32_000_000
+#: Words of rare tokens, places of rare contexts, or bytes, that a task works on at once.
 BLOCK_WORDS = 500_000
+BLOCK_PLACES = 1_000_000
 BLOCK_BYTES = 2_000_000
 COUNTED_WORDS = 300_000
 END = 255
+#: Odd, near 2^32 over the golden ratio.
+SPREAD = 0x9E3779B1
 
 COUNTS = "hash long, n long"
 GRAMS = "code long, n long"
@@ -98,6 +111,16 @@ def _streams(part: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np
         yield stream[start - ORDER : stop], row
 
 
+def _codes(stream: np.ndarray) -> np.ndarray:
+    """Each byte from ORDER on with the ORDER bytes before it, as one number."""
+    wide = stream.astype(np.int64)
+    code = np.zeros(len(wide) - ORDER, np.int64)
+    for back in range(ORDER, -1, -1):
+        code <<= 8
+        code |= wide[ORDER - back : len(wide) - back]
+    return code
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values, places = np.unique(np.concatenate(codes), return_inverse=True)
@@ -106,12 +129,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, counts = [], []
     for part in slices(batches, 200):
         for stream, row in _streams(part, 0):
-            wide = stream.astype(np.int64)
-            code = np.zeros(len(row), np.int64)
-            for back in range(ORDER, -1, -1):
-                code <<= 8
-                code |= wide[ORDER - back : len(wide) - back]
-            found = np.unique(code[row >= 0], return_counts=True)
+            found = np.unique(_codes(stream)[row >= 0], return_counts=True)
             codes.append(found[0])
             counts.append(found[1])
             if len(codes) > 16:
@@ -126,11 +144,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["code", "n"])
 
 
-def frequent_contexts(texts: DataFrame, parts: int) -> list[tuple]:
-    """(length, context, symbols with counts) of the contexts that the trie keeps."""
+def gram_counts(texts: DataFrame) -> DataFrame:
     grams = texts.select("text").mapInArrow(_count_grams, GRAMS)
-    grams = pin(grams.groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    places = grams.agg(F.sum("n")).first()[0] or 0
+    return pin(grams.groupBy("code").agg(F.sum("n").alias("n")), "grams")
+
+
+def frequent_contexts(grams: DataFrame, least: float) -> list[tuple]:
+    """(length, context, symbols with counts) of the contexts met in more than ``least`` places."""
     contexts = F.array(
         *(
             F.struct(F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(2 ** (8 * k) - 1).alias("context"))
@@ -143,7 +163,7 @@ def frequent_contexts(texts: DataFrame, parts: int) -> list[tuple]:
         .agg(F.sum("n").alias("n"))
         .groupBy("k", "context")
         .agg(F.sum("n").alias("places"), F.collect_list(F.struct("symbol", "n")).alias("symbols"))
-        .where((F.col("places") > places / parts) | (F.col("k") == 0))
+        .where((F.col("places") > least) | (F.col("k") == 0))
     )
     return [(r["k"], r["context"], r["symbols"]) for r in found.orderBy("k", "context").collect()]
 
@@ -183,14 +203,13 @@ class Trie:
                 chance[state] = np.where(new, lower[state] * escape, own / max(1, total + kinds))
         self.log10 = np.log10(chance).astype(np.float32)
 
-    def score(self, stream: np.ndarray) -> np.ndarray:
-        """log10 of each byte from ORDER on, given those before it."""
-        n = len(stream) - ORDER
-        state, best = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
+    def score(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each byte from ORDER on, where the trie has the whole context; and where."""
+        state = np.zeros(len(stream) - ORDER, np.uint16)
         for back in range(1, ORDER + 1):
             state = self.child[state, stream[ORDER - back : len(stream) - back]]
-            best = np.where(state != self.dead, state, best)
-        return self.log10[best, stream[ORDER:]]
+        whole = state != self.dead
+        return self.log10[np.where(whole, state, 0), stream[ORDER:]], whole
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -201,15 +220,78 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nda
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def _ask(model, shards: int):
-    """Per document the score and what hot words say; blocks of rare words by shard."""
+class Level:
+    """Contexts of ``k`` bytes: their grams with counts, sorted; places and kinds of each,
+    and the places in which the next shorter context has one of its symbols."""
+
+    def __init__(self, k: int, codes: np.ndarray, n: np.ndarray, least: float, shorter: Level | None) -> None:
+        grams, at = np.unique(codes & (2 ** (8 * k + 8) - 1), return_inverse=True)
+        counts = np.bincount(at, n, len(grams)).astype(np.int64)
+        _, of = np.unique(grams >> 8, return_inverse=True)
+        kept = np.bincount(of, counts)[of] > (least if k else 0)
+        self.grams, self.counts = grams[kept], counts[kept]
+        self.contexts, of = np.unique(self.grams >> 8, return_inverse=True)
+        size = len(self.contexts)
+        self.places = np.bincount(of, self.counts, size).astype(np.int64)
+        self.kinds = np.bincount(of, minlength=size)
+        self.below = np.zeros(size, np.int64)
+        if shorter:
+            same = _look_up(shorter.grams, shorter.counts, self.grams & (2 ** (8 * k) - 1))
+            self.below = np.bincount(of, same, size).astype(np.int64)
+
+
+def grow(levels: list[Level], codes: np.ndarray, n: np.ndarray, upto: int, least: float) -> list[Level]:
+    """``levels`` and the longer ones up to ``upto``, of the places in ``codes``."""
+    out = list(levels)
+    for k in range(len(levels), upto + 1):
+        out.append(Level(k, codes, n, least, out[-1] if out else None))
+    return out
+
+
+def log10_of(levels: list[Level], codes: np.ndarray) -> np.ndarray:
+    """log10 of the last byte of each code, given those before it."""
+    logs, left = np.zeros(len(codes)), np.ones(len(codes), bool)
+    offered = below = np.zeros(len(codes), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        level, grams = levels[k], codes & (2 ** (8 * k + 8) - 1)
+        places, all_kinds, next_below = (
+            _look_up(level.contexts, x, grams >> 8) for x in (level.places, level.kinds, level.below)
+        )
+        counts = _look_up(level.grams, level.counts, grams)
+        kinds = all_kinds - offered
+        whole = places - below + np.where(all_kinds < 256, kinds, 0)
+        here = left & (kinds > 0)
+        logs[here] += np.log10(np.where(counts > 0, counts, kinds)[here] / whole[here])
+        left &= counts == 0
+        offered, below = all_kinds, next_below
+    logs[left] -= np.log10(256 - offered[left])
+    return logs
+
+
+def _word_shard(shards: int):
+    return lambda words: (words % np.uint64(shards)).astype(np.int64)
+
+
+def _gram_shard(shards: int):
+    """By the last three bytes of the context, so a shard has all of its two longest levels."""
+    return lambda codes: ((((codes >> 8) & 0xFFFFFF) * SPREAD & 0xFFFFFFFF) >> 8) % shards
+
+
+def _ask(model, shards: int, gram_shards: int, copies: int):
+    """Per document what hot contexts and hot words say; blocks of rare ones by shard."""
+    word_shard, most = _word_shard(shards), max(shards, gram_shards * copies)
+
+    def places_block(held: list[tuple], number: int) -> pa.RecordBatch:
+        copy = (int(held[0][1][0]) + number) % copies
+        return _block(held, 3, lambda codes: _gram_shard(gram_shards)(codes) * copies + copy)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot, hot_counts, ends = model.value
+        trie, _, hot, hot_counts, ends, _ = model.value
         hashes = WordHashes()
         hot_logs = np.log10(hot_counts + 0.1)
         held: list[tuple] = []
-        size = 0
+        held_places: list[tuple] = []
+        size = n_places = sent = 0
         for part in slices(batches, 200):
             texts = part.column(2).to_pylist()
             docs, text_hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -225,42 +307,55 @@ def _ask(model, shards: int):
             known += np.bincount(row[is_hot], minlength=len(texts))
             score = np.zeros(len(texts))
             for stream, of in _streams(part, 2):
-                keep = of >= 0
-                score += np.bincount(of[keep], trie.score(stream)[keep], len(texts))
+                log, whole = trie.score(stream)
+                keep, rare = whole & (of >= 0), ~whole & (of >= 0)
+                score += np.bincount(of[keep], log[keep], len(texts))
+                held_places.append((docs, text_hashes, of[rare], _codes(stream)[rare]))
+                n_places += len(held_places[-1][2])
+                if n_places >= BLOCK_PLACES:
+                    yield places_block(held_places, sent)
+                    held_places, n_places, sent = [], 0, sent + 1
             arrays = [docs, text_hashes, logs, known, tokens, score]
-            shard = int(docs[0] % shards) if len(docs) else 0
+            shard = int(docs[0] % most) if len(docs) else 0
             yield pa.RecordBatch.from_pylist(
-                [{"shard": shard, "kind": 2, **dict(zip("abcdef", (x.tobytes() for x in arrays), strict=True))}],
+                [{"shard": shard, "kind": 4, **dict(zip("abcdef", (x.tobytes() for x in arrays), strict=True))}],
                 _MESSAGES,
             )
             held.append((docs, text_hashes, row[~is_hot], found[~is_hot]))
             size += len(held[-1][2])
             if size >= BLOCK_WORDS:
-                yield _block(held, shards)
+                yield _block(held, 2, word_shard)
                 held, size = [], 0
         if held:
-            yield _block(held, shards)
+            yield _block(held, 2, word_shard)
+        if held_places:
+            yield places_block(held_places, sent)
 
     return ask
 
 
-def _block(held: list[tuple], shards: int) -> pa.RecordBatch:
-    """One message per shard: documents, distinct words, and who has each how often."""
+def _place_type(docs: int) -> type:
+    return np.uint16 if docs <= 2**16 else np.uint32
+
+
+def _block(held: list[tuple], kind: int, shard_of) -> pa.RecordBatch:
+    """One message per shard: documents, distinct words or grams, and who has each how often."""
     starts = np.cumsum([0] + [len(h[0]) for h in held])
     docs, text_hashes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
     row = np.concatenate([h[2] + s for h, s in zip(held, starts, strict=False)])
     words = np.concatenate([h[3] for h in held])
-    order = np.lexsort((words, words % np.uint64(shards)))
-    row, words = row[order], words[order]
-    shard = (words % np.uint64(shards)).astype(np.int64)
+    shard = shard_of(words)
+    order = np.lexsort((words, shard))
+    row, words, shard = row[order], words[order], shard[order]
     out = []
     for at in np.split(np.arange(len(words)), np.flatnonzero(np.diff(shard)) + 1):
         if len(at):
             distinct, counts = np.unique(words[at], return_counts=True)
-            used, places = np.unique(row[at], return_inverse=True)
-            arrays = (docs[used], text_hashes[used], distinct, counts.astype(np.uint32), places.astype(np.uint32))
+            used = np.flatnonzero(np.bincount(row[at], minlength=len(docs)))
+            places = np.searchsorted(used, row[at]).astype(_place_type(len(used)))
+            arrays = (docs[used], text_hashes[used], distinct, counts.astype(np.uint32), places)
             message = dict(zip("abcde", (x.tobytes() for x in arrays), strict=True))
-            out.append({"shard": int(shard[at[0]]), "kind": 1, **message, "f": b""})
+            out.append({"shard": int(shard[at[0]]), "kind": kind, **message, "f": b""})
     return pa.RecordBatch.from_pylist(out, _MESSAGES)
 
 
@@ -273,9 +368,26 @@ def _pack_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], _MESSAGES)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_grams(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    message = {"a": table.column("code").to_numpy().tobytes(), "b": table.column("n").to_numpy().tobytes()}
+    row = {"shard": key[0].as_py(), "kind": 1, **dict.fromkeys("cdef", b""), **message}
+    return pa.Table.from_pylist([row], _MESSAGES)
+
+
+def _answer(model):
     """Rows come by shard, its counts first; sums by document go out."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _answers(batches, *model.value)
+
+    return answer
+
+
+def _answers(batches: Iterator[pa.RecordBatch], _, short, *rest) -> Iterator[pa.RecordBatch]:
     now, hashes, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    least, nothing = rest[-1], np.zeros(0, np.int64)
+    none_met = levels = grow(short, nothing, nothing, ORDER, least)
+    levels_of = None
     for batch in batches:
         for k in range(batch.num_rows):
             row = {c: batch.column(i)[k].as_py() for i, c in enumerate(["shard", "kind", *"abcdef"])}
@@ -283,18 +395,30 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now = row["shard"]
                 hashes, counts = np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.int64)
                 continue
+            if row["kind"] == 1:
+                levels_of = row["shard"]
+                codes, n_codes = (np.frombuffer(row[c], np.int64) for c in "ab")
+                levels = grow(short, codes, n_codes, ORDER, least)
+                continue
             docs, text_hashes = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)
             n, none = len(docs), np.zeros(len(docs), np.int64)
-            if row["kind"] == 2:
+            if row["kind"] == 4:
                 logs, known, tokens, score = (
                     np.frombuffer(row[c], t) for c, t in zip("cdef", (float, int, int, float), strict=True)
                 )
                 own = none + 1
+            elif row["kind"] == 3:
+                codes = np.frombuffer(row["c"], np.int64)
+                found = log10_of(levels if levels_of == row["shard"] else none_met, codes)
+                found = np.repeat(found, np.frombuffer(row["d"], np.uint32))
+                score = np.bincount(np.frombuffer(row["e"], _place_type(n)), found, n)
+                own = known = tokens = none
+                logs = np.zeros(n)
             else:
                 words = np.frombuffer(row["c"], np.uint64)
                 found = _look_up(hashes, counts, words) if now == row["shard"] else np.zeros(len(words), np.int64)
                 found = np.repeat(found, np.frombuffer(row["d"], np.uint32))
-                places = np.frombuffer(row["e"], np.uint32)
+                places = np.frombuffer(row["e"], _place_type(n))
                 logs = np.bincount(places, np.log10(found + 0.1), n)
                 known, tokens = np.bincount(places, found > 0, n).astype(np.int64), none
                 own, score = none, np.zeros(n)
@@ -320,8 +444,14 @@ def score_documents(
     is_hot = F.col("n") > tokens / HOT_PARTS
     hot = np.array([tuple(r) for r in counts.where(is_hot).collect()], np.int64).reshape(-1, 2)
     hot = hot[np.argsort(hot[:, 0].copy().view(np.uint64))]
-    trie = Trie(frequent_contexts(train, CONTEXT_PARTS))
-    parts_of = (trie, hot[:, 0].copy().view(np.uint64), hot[:, 1].copy(), ends)
+    grams = gram_counts(train)
+    places, gram_kinds = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least = places / CONTEXT_PARTS if CONTEXT_PARTS else 0
+    trie = Trie(frequent_contexts(grams, max(least, places / HOT_CONTEXT_PARTS)))
+    short_code = F.col("code").bitwiseAND(2 ** (8 * SHORT + 8) - 1).alias("code")
+    short = grams.groupBy(short_code).agg(F.sum("n").alias("n")).toArrow()
+    short = grow([], short.column("code").to_numpy(), short.column("n").to_numpy(), SHORT, least)
+    parts_of = (trie, short, hot[:, 0].copy().view(np.uint64), hot[:, 1].copy(), ends, least)
     model = spark.sparkContext.broadcast(parts_of)
     shards = max(1, -(-kinds // SHARD_WORDS))
     shard = F.pmod(F.col("hash"), F.lit(shards))
@@ -331,21 +461,33 @@ def score_documents(
     packed = (
         counts.where(~is_hot).withColumn("shard", shard).groupBy("shard").applyInArrow(_pack_counts, MESSAGES)
     )
+    gram_shards = max(1, -(-gram_kinds // SHARD_GRAMS))
+    copies = max(1, -(-places // (SHARD_PLACES * gram_shards)))
+    spread = (F.shiftright("code", 8).bitwiseAND(0xFFFFFF) * F.lit(SPREAD)).bitwiseAND(0xFFFFFFFF)
+    packed_grams = (
+        grams.withColumn("shard", F.pmod(F.shiftright(spread, 8), F.lit(gram_shards)))
+        .groupBy("shard")
+        .applyInArrow(_pack_grams, MESSAGES)
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        .withColumn("shard", F.col("shard") * copies + F.col("copy"))
+        .drop("copy")
+    )
     rows = docs.select(
         F.coalesce(doc, F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
     sums = (
-        packed.unionByName(rows.mapInArrow(_ask(model, shards), MESSAGES))
+        packed.unionByName(packed_grams)
+        .unionByName(rows.mapInArrow(_ask(model, shards, gram_shards, copies), MESSAGES))
         .repartition("shard")
         .sortWithinPartitions("shard", "kind")
-        .mapInArrow(_answer, SUMS)
+        .mapInArrow(_answer(model), SUMS)
         .groupBy("doc", "text_hash")
         .agg(
             F.sum("m").alias("m"),
             F.sum("logs").alias("logs"),
             F.sum("known").alias("known"),
             F.max("n_tokens").alias("n_tokens"),
-            F.min("score").alias("score"),
+            F.sum("score").alias("score"),
         )
     )
     whole = F.col("n_tokens") * F.log10(F.lit(tokens + 0.1 * (distinct + 1)))
@@ -357,5 +499,5 @@ def score_documents(
         (F.col("known") / F.col("m")).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") / F.col("m") - whole).alias("base_score"),
-        "score",
+        (F.col("score") / F.col("m")).alias("score"),
     )

@@ -180,6 +180,29 @@ def test_scores_follow_the_definition(spark, monkeypatch):
         assert row["score"] == pytest.approx(wanted, rel=1e-5)
 
 
+@pytest.mark.parametrize("hot_context_parts", [8_192, 60, 1])
+def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch, hot_context_parts):
+    monkeypatch.setattr(ppm, "HOT_CONTEXT_PARTS", hot_context_parts)
+    monkeypatch.setattr(ppm, "SHARD_GRAMS", 1_000)
+    monkeypatch.setattr(ppm, "SHARD_PLACES", 1_500)
+    monkeypatch.setattr(ppm, "BLOCK_PLACES", 300)
+    rng = random.Random(11)
+    rows = [(k, " ".join(words(rng, 200, 9_000))) for k in range(40)] + [(99, ""), (100, "Ünlike «all»")]
+    rows += [(5, rows[5][1]), (101, "w1 w2 w3" * 3)]
+    train = [t.encode() for d, t in rows if crc(d) % 10]
+    found = ppm.score_documents(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        wanted = plain_ppm(train, dict(rows)[row["doc_id"]].encode(), ppm.ORDER, math.inf)
+        assert row["score"] == pytest.approx(wanted, rel=1e-5)
+
+
+def test_scores_without_training_texts_make_every_symbol_alike(spark):
+    rows = [(k, "some text") for k in range(60) if crc(k) % 10 == 0]
+    for row in ppm.score_documents(documents(spark, rows)).collect():
+        assert row["score"] == pytest.approx(-10 * math.log10(256))
+
+
 def test_probabilities_of_each_context_sum_to_one():
     contexts = [(0, 0, [(97, 5), (98, 3), (255, 2)]), (1, 97, [(98, 3), (97, 2)]), (1, 98, [(255, 3)])]
     assert (10.0 ** ppm.Trie(contexts).log10.astype(float)).sum(axis=1) == pytest.approx(1)
