@@ -29,9 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share the id and the text are one document, of which one row stays.
     """
-    found = near_dedup.near_duplicates(docs, near_dedup.NearDuplicates(5, 80))
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return near_dedup.drop_near_duplicates(docs, near_dedup.NearDuplicates(5, 80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

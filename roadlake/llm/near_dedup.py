@@ -2,7 +2,7 @@
 
 A document's set has the hashes of its distinct word shingles; its signature has the
 least value of each of ``bands * rows`` hash functions. Documents with equal sets are
-one class, known by its smallest document. Classes that agree on a band are candidates;
+one class with a number of its own. Classes that agree on a band are candidates;
 chains of candidates form clusters, and a cluster is where the comparing is done:
 
 1. signatures of a banded candidate pair are compared batch by batch; with a uniform
@@ -17,6 +17,9 @@ holds an unbounded group and no pairs within a group are listed.
 With 20 bands of 5 rows a pair at similarity 0.85 shares no band once in 100,000, at
 0.8 once in 2,500.
 
+Ids only name the result: a component has the smallest id of its rows, and one row of a
+class, found by its id and two hashes of its text, brings the text to be compared.
+
 Nulls and ties: a null or empty text, or one without words, has an empty set and is
 linked with nothing. With fewer words than a shingle the whole sequence is the one
 shingle. Each row is judged by its own text; a null id counts as after all others.
@@ -45,7 +48,9 @@ BLOCK = 1_000
 #: Values of a signature compared at once.
 BATCH = 20
 
-SKETCH = "doc long, n_shingles long, d1 long, d2 long, signature binary"
+#: What tells rows apart: the id, and two hashes of the text.
+ROW = ["doc", "h1", "h2"]
+SKETCH = "doc long, h1 long, h2 long, n_shingles long, d1 long, d2 long, signature binary"
 LINKS = "a long, b long"
 
 
@@ -98,7 +103,7 @@ def _sketch(how: NearDuplicates):
         hashes = WordHashes()
         for part in slices(batches):
             sizes, sums, signatures = [], [], []
-            for text in part.column(1).to_pylist():
+            for text in part.column(3).to_pylist():
                 found = how.shingles(text, hashes)
                 sizes.append(len(found))
                 sums.append((mix(found, 3).sum(), mix(found, 4).sum()))
@@ -106,13 +111,13 @@ def _sketch(how: NearDuplicates):
             digests = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0),
+                    *(part.column(k) for k in range(3)),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests[:, 0]),
                     pa.array(digests[:, 1]),
                     pa.array(signatures, pa.binary()),
                 ],
-                names=["doc", "n_shingles", "d1", "d2", "signature"],
+                names=[*ROW, "n_shingles", "d1", "d2", "signature"],
             )
 
     return sketch
@@ -173,15 +178,15 @@ def _verify(how: NearDuplicates):
 
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, left, right = (k.as_py() for k in key)
-        docs = table.column("doc").to_numpy()
+        nodes = table.column("node").to_numpy()
         blocks = table.column("block").to_numpy()
-        order = np.argsort(docs, kind="stable")
+        order = np.argsort(nodes, kind="stable")
         members = _Members(how, table.column("text").to_pylist(), hashes)
         own = order[blocks[order] == left]
         other = None if left == right else order[blocks[order] == right]
         found = list(members.links(how, own, other))
         rows = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": docs[rows[:, 0]], "b": docs[rows[:, 1]]})
+        return pa.table({"a": nodes[rows[:, 0]], "b": nodes[rows[:, 1]]})
 
     return verify
 
@@ -192,34 +197,37 @@ def _bands(classes: DataFrame, how: NearDuplicates) -> DataFrame:
         F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width))
         for k in range(how.bands)
     ]
-    return classes.select(F.col("rep"), F.explode(F.array(*keys)).alias("band"))
+    return classes.select("node", F.explode(F.array(*keys)).alias("band"))
 
 
 def _clusters(classes: DataFrame, how: NearDuplicates) -> DataFrame:
     bands = _bands(classes, how)
-    shared = bands.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most"))
+    shared = bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most"))
     shared = shared.where("b <> most").select("band", "b")
-    links = bands.join(shared, "band").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    links = bands.join(shared, "band").where("node <> b").select(F.col("node").alias("a"), "b")
     return components(links)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    how: NearDuplicates | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Per row: the id, ``n_shingles``, ``component_id``, ``kept``."""
-    how = how or NearDuplicates()
-    content: Column = text_bytes(F.col(f"`{text_col}`"))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """The columns ``ROW`` of a document."""
+    content = text_bytes(F.col(f"`{text_col}`"))
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    rows = docs.select(doc.alias("doc"), content.alias("text"))
+    return [doc.alias("doc"), F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(1), content).alias("h2")]
+
+
+def judged(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``ROW``, ``n_shingles``, and ``least``, the smallest id of its component."""
+    content = text_bytes(F.col(f"`{text_col}`")).alias("text")
+    rows = docs.select(*row_key(id_col, text_col), content)
     sketches = pin(rows.mapInArrow(_sketch(how), SKETCH), "sketches")
     classes = (
         sketches.where("n_shingles > 0")
         .groupBy("d1", "d2", "n_shingles")
-        .agg(F.min("doc").alias("rep"), F.first("signature").alias("signature"))
+        .agg(F.min(F.struct(*ROW)).alias("rep"), F.first("signature").alias("signature"))
+        .select("d1", "d2", "n_shingles", "rep.*", "signature")
     )
+    # Numbers rise with the ids, so the bands of one cluster mostly link to the same class.
+    classes = classes.orderBy(*ROW).withColumn("node", F.monotonically_increasing_id())
     classes = pin(classes, "classes")
     clusters = _clusters(classes, how)
     blocks = clusters.groupBy("component").agg(
@@ -227,10 +235,13 @@ def near_duplicates(
     )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = clusters.join(blocks, "component").withColumn("block", block)
-    # The table of members grows with the input, so no size of it is broadcast.
-    texts = rows.join(members.hint("merge"), F.col("doc") == F.col("node"))
+    members = members.join(classes.select("node", *ROW), "node")
+    # Repeated rows are folded before they meet; of each class one text goes on. The table of
+    # members grows with the input, so no size of it is broadcast.
+    each = rows.groupBy(*ROW).agg(F.first("text").alias("text"))
+    texts = each.join(members.hint("merge"), ROW)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = texts.select("component", "doc", "text", "block", other.alias("other"))
+    spread = texts.select("component", "node", "text", "block", other.alias("other"))
     task = [
         F.col("component"),
         F.least("block", "other").alias("left"),
@@ -238,14 +249,40 @@ def near_duplicates(
     ]
     links = spread.groupBy(*task).applyInArrow(_verify(how), LINKS)
     found = components(links)
-    return (
-        sketches.join(classes.drop("signature"), ["d1", "d2", "n_shingles"], "left")
-        .join(found, F.col("rep") == F.col("node"), "left")
-        .withColumn("least", F.coalesce("component", "rep", "doc"))
-        .select(
-            F.nullif("doc", F.lit(LAST)).alias(id_col),
-            "n_shingles",
-            F.nullif("least", F.lit(LAST)).alias("component_id"),
-            (F.col("doc") == F.col("least")).alias("kept"),
-        )
+    ids = found.join(classes.select("node", F.col("doc").alias("rep")), "node")
+    least = ids.groupBy("component").agg(F.min("rep").alias("least"))
+    found = found.join(least, "component").select("node", "least")
+    of = classes.join(found, "node", "left").select(
+        "d1", "d2", "n_shingles", F.coalesce("least", "doc").alias("least")
+    )
+    return sketches.join(of, ["d1", "d2", "n_shingles"], "left").select(
+        *ROW, "n_shingles", F.coalesce("least", "doc").alias("least")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    how: NearDuplicates | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Per row: the id, ``n_shingles``, ``component_id``, ``kept``."""
+    return judged(docs, how or NearDuplicates(), id_col, text_col).select(
+        F.nullif("doc", F.lit(LAST)).alias(id_col),
+        "n_shingles",
+        F.nullif("least", F.lit(LAST)).alias("component_id"),
+        (F.col("doc") == F.col("least")).alias("kept"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    how: NearDuplicates | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` calls kept, each by its own text."""
+    found = judged(docs, how or NearDuplicates(), id_col, text_col)
+    kept = found.where("doc = least").select(F.struct(*ROW).alias("_kept")).distinct()
+    keyed = docs.withColumn("_row", F.struct(*row_key(id_col, text_col)))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")

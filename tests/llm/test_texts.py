@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from roadlake.llm import (
     decontamination,
     line_dedup,
@@ -101,6 +102,20 @@ def test_near_duplicates(spark, monkeypatch, k, percent, block):
     assert near_dedup.near_duplicates(documents(spark, []), how).collect() == []
 
 
+def test_near_duplicates_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(12)
+    near, own, again = (words(rng, 60, 10**6) for _ in range(3))
+    rows = [(7, " ".join(near)), (None, " ".join([*near, "more"])), (None, " ".join(own))]
+    rows += [(None, " ".join(own)), (9, " ".join([*near, "end"])), (9, " ".join(again))]
+    how = near_dedup.NearDuplicates(3, 85, bands=40, rows=3)
+    found = near_dedup.near_duplicates(documents(spark, rows), how)
+    assert as_rows(found) == linked(rows, 3, 85)
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    wanted = {rows[0], rows[2], rows[5]}
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == wanted
+    assert kept.columns == documents(spark, rows).columns
+
+
 def test_posterior_needs_more_matches_for_a_higher_threshold():
     low, high = (near_dedup.NearDuplicates(percent=p).least_matches() for p in (60, 90))
     assert all(a[1] < b[1] for a, b in zip(low, high))
