@@ -11,6 +11,7 @@ from roadlake.llm import (
     chat,
     decontamination,
     line_dedup,
+    merkle,
     mixing,
     near_dedup,
     ppm,
@@ -18,6 +19,8 @@ from roadlake.llm import (
     top_k,
     toxicity,
     urls,
+    vector_dedup,
+    whitening,
 )
 
 #: Fixed: the rules that the url query is asked to apply.
@@ -103,6 +106,18 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verified_leaves(_table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten_embeddings(_table(spark, sf, "embeddings"))
+
+
+def op13_vector_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(_table(spark, sf, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_top_products,
         op10_decontamination,
+        op11_merkle_manifest,
+        op12_whitening,
+        op13_vector_duplicates,
         pipeline,
     )
 }
@@ -131,6 +149,14 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ESCAPED = (
     r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]))', '\1\\\2\3', 'g')"
 )
+_TAGGED = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(
+    _TAGGED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+) + ")"
+# One step per bit of the text's bytes, which are digits.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, byte: xor(xor(crc, byte) >> 1, 3988292384 * (xor(crc, byte) & 1))), 4294967295)"""
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": f"""
@@ -194,4 +220,72 @@ WITH vectors AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'n') AS tree,
+         {_LEAF.format(text="text")} AS leaf,
+         CASE WHEN {_CRC32} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")}
+              ELSE {_LEAF.format(text="text")} END AS told
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), up AS (
+  SELECT tree, 0 AS level, place, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM up WHERE n > 1 GROUP BY tree, level, place // 3
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n
+  FROM up WHERE n = 1
+), over AS (
+  SELECT 0 AS level, place, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM over WHERE n > 1 GROUP BY level, place // 3
+), runs AS (
+  SELECT tree, level, place // 3 AS run, list(digest ORDER BY place) AS digests
+  FROM up WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, level, place // 3, list(digest ORDER BY place) FROM over WHERE n > 1 GROUP BY ALL
+), walk AS (
+  SELECT r, tree, 0 AS level, place, n, told AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.r, w.tree, w.level + 1, w.place // 3, (w.n + 2) // 3,
+         sha256(array_to_string(digests[:w.place % 3], '') || folded || array_to_string(digests[w.place % 3 + 2:], '')),
+         proof || array_to_string(digests[:w.place % 3], '') || array_to_string(digests[w.place % 3 + 2:], '')
+  FROM walk w JOIN runs u ON u.tree = w.tree AND u.level = w.level AND u.run = w.place // 3
+  WHERE w.n > 1
+), climb AS (
+  SELECT w.r, w.tree, s.digest AS subroot, 0 AS level, s.place, s.n, folded, proof
+  FROM walk w JOIN subroots s USING (tree) WHERE w.n = 1
+  UNION ALL
+  SELECT c.r, c.tree, subroot, c.level + 1, c.place // 3, (c.n + 2) // 3,
+         sha256(array_to_string(digests[:c.place % 3], '') || folded || array_to_string(digests[c.place % 3 + 2:], '')),
+         proof || array_to_string(digests[:c.place % 3], '') || array_to_string(digests[c.place % 3 + 2:], '')
+  FROM climb c JOIN runs u ON u.tree IS NULL AND u.level = c.level AND u.run = c.place // 3
+  WHERE c.n > 1
+), root AS (SELECT digest AS root FROM over WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = root AS verified
+FROM climb c JOIN leaves l USING (r), root WHERE c.n = 1""",
+    "op13_vector_duplicates": """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+  SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS length FROM vectors
+  WHERE len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(v, v) > 0
+), links AS (
+  SELECT a.r, b.r AS other, b.vec_id FROM usable a JOIN usable b
+  ON a.r <> b.r AND list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.9
+), reach AS (
+  SELECT r, r AS other, vec_id FROM vectors
+  UNION
+  SELECT reach.r, links.other, links.vec_id FROM reach JOIN links ON links.r = reach.other
+), least AS (SELECT r, min(vec_id) AS component_id FROM reach GROUP BY r),
+counted AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
+       component_id IS NOT DISTINCT FROM vec_id AS kept
+FROM vectors JOIN least USING (r) LEFT JOIN counted USING (r)""",
 }
