@@ -10,9 +10,12 @@ chains of candidates form clusters, and a cluster is where the comparing is done
    and the pair is dropped once that leaves the threshold less than ``miss``;
 2. survivors are verified on their whole sets, unless other links already join them.
 
-Large clusters are cut into blocks that are compared block against block, each in a
-task of its own, and a task gives back only links that join something. So no task
-holds an unbounded group and no pairs within a group are listed.
+Clusters too large for one task are cut by set size into steps that each end where sets are too large to be
+linked with the step's smallest, so that a class meets those of its own step and of the
+next alone. Steps are cut into blocks, by their number of classes and by the size of their
+sets together, which are compared block against block, each in a task of its own; a task
+gives back only links that join something. So no task holds an unbounded group and no
+pairs within a group are listed.
 
 With 20 bands of 5 rows a pair at similarity 0.85 shares no band once in 100,000, at
 0.8 once in 2,500.
@@ -29,6 +32,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
@@ -43,8 +47,9 @@ from roadlake.llm.text import WordHashes, mix, shingle_hashes, slices, text_byte
 from roadlake.session import pin
 
 LAST = 2**63 - 1
-#: Classes of a cluster that one block has on average.
+#: Classes of a cluster's step that one block has on average, and shingles of their sets.
 BLOCK = 1_000
+BLOCK_SHINGLES = 2_000_000
 #: Values of a signature compared at once.
 BATCH = 20
 
@@ -177,7 +182,7 @@ def _verify(how: NearDuplicates):
     hashes = WordHashes()
 
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, left, right = (k.as_py() for k in key)
+        left, right = (k.as_py() for k in key[-2:])
         nodes = table.column("node").to_numpy()
         blocks = table.column("block").to_numpy()
         order = np.argsort(nodes, kind="stable")
@@ -201,11 +206,22 @@ def _bands(classes: DataFrame, how: NearDuplicates) -> DataFrame:
 
 
 def _clusters(classes: DataFrame, how: NearDuplicates) -> DataFrame:
+    """(node, component) of the classes that share a band with another.
+
+    A class is linked with the least class of each of its bands. Of these it keeps the least;
+    that one is linked with the others in its place, which says the same with far fewer
+    links, as the classes of a large group have few least ones.
+    """
     bands = _bands(classes, how)
     shared = bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most"))
     shared = shared.where("b <> most").select("band", "b")
-    links = bands.join(shared, "band").where("node <> b").select(F.col("node").alias("a"), "b")
-    return components(links)
+    meets = bands.join(shared, "band").groupBy("node").agg(F.collect_set("b").alias("least"))
+    meets = meets.select("node", "least", F.array_min("least").alias("to"))
+    meets = pin(meets, "meets")
+    others = meets.select(F.explode("least").alias("a"), F.col("to").alias("b"))
+    among = components(others.where("a <> b")).withColumnRenamed("node", "to")
+    joined = meets.select("node", "to").join(among, "to", "left")
+    return joined.select("node", F.coalesce("component", "to").alias("component"))
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -230,18 +246,35 @@ def judged(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) ->
     classes = classes.orderBy(*ROW).withColumn("node", F.monotonically_increasing_id())
     classes = pin(classes, "classes")
     clusters = _clusters(classes, how)
-    blocks = clusters.groupBy("component").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    members = clusters.join(classes.select("node", "n_shingles", *ROW), "node")
+    # Sizes of linked sets differ by the threshold at most, so by one step.
+    width = -math.log(how.percent / 100) + 1e-9
+    filled = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    fill = members.groupBy("component").agg(filled.alias("fill"))
+    step = F.when(F.col("fill") > 1, F.floor(F.log("n_shingles") / width)).otherwise(0)
+    members = members.join(fill, "component").withColumn("step", step.cast("int"))
+    blocks = members.groupBy("component", "step").agg(
+        F.least(F.ceil(filled), F.count("*")).cast("int").alias("blocks")
     )
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = clusters.join(blocks, "component").withColumn("block", block)
-    members = members.join(classes.select("node", *ROW), "node")
+    higher = blocks.select("component", (F.col("step") - 1).alias("step"), F.col("blocks").alias("above"))
+    lower = blocks.select("component", (F.col("step") + 1).alias("step"), F.col("blocks").alias("under"))
+    blocks = blocks.join(higher, ["component", "step"], "left").join(lower, ["component", "step"], "left")
+    members = members.join(blocks, ["component", "step"])
     # Repeated rows are folded before they meet; of each class one text goes on. The table of
     # members grows with the input, so no size of it is broadcast.
     each = rows.groupBy(*ROW).agg(F.first("text").alias("text"))
     texts = each.join(members.hint("merge"), ROW)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = texts.select("component", "node", "text", "block", other.alias("other"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    texts = texts.withColumn("block", F.col("step") * F.lit(2**32) + block)
+
+    def meets(step: Column, number: Column) -> Column:
+        last = F.coalesce(number, F.lit(0)) - 1
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: step * F.lit(2**32) + k)
+
+    step = F.col("step")
+    others = F.concat(meets(step, F.col("blocks")), meets(step + 1, F.col("above")), meets(step - 1, F.col("under")))
+    spread = texts.select("component", "node", "text", "block", F.explode(others).alias("other"))
     task = [
         F.col("component"),
         F.least("block", "other").alias("left"),
@@ -281,8 +314,15 @@ def drop_near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` calls kept, each by its own text."""
+    """The rows of ``docs`` that ``near_duplicates`` calls kept, each by its own text.
+
+    Of rows that share id and text one stays, chosen by a hash of its columns.
+    """
     found = judged(docs, how or NearDuplicates(), id_col, text_col)
-    kept = found.where("doc = least").select(F.struct(*ROW).alias("_kept")).distinct()
-    keyed = docs.withColumn("_row", F.struct(*row_key(id_col, text_col)))
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    kept = found.where("doc = least").select(*ROW).distinct()
+    # The input's columns travel inside one, so that no name of theirs can clash.
+    rows = docs.select(*row_key(id_col, text_col), F.struct("*").alias("row"))
+    simple = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    picked = F.xxhash64(*(F.col("row").getField(c) for c in simple))
+    rows = rows.groupBy(*ROW).agg(F.min_by("row", picked).alias("row"))
+    return rows.join(kept, ROW, "left_semi").select("row.*")
