@@ -1,8 +1,8 @@
 """Trips, operating hours and the daily summary of each vehicle.
 
-A look-back (``lookback``) carries the previous fix, the running trip and the first
-and last position over slices of each device-day; everything after that is hash
-aggregation.
+The rules of the service fold each slice of a device-day to a partial and merge those
+(``partials``). Rules of one's own may look at any earlier fix, so they run on rows that a
+look-back (``lookback``) gave the previous fix and the running trip.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.engine import MOVING, OFF, STATIONARY, engine_state, state_name
-from roadlake.functions.times import MICROS, micros
+from roadlake.functions.times import MICROS
+from roadlake.operators import partials
 from roadlake.operators.lookback import SPAN_SECONDS, look_back
+from roadlake.operators.partials import DAY_KEYS, ORDER, day_rows
 from roadlake.schemas import SUMMARY_COLUMNS
 
 IDLE_THRESHOLD_SECONDS = 300.0
-DAY_KEYS = ["device_id", "summary_date"]
-ORDER = ["us", "ingest_seq"]
 
 # A trip rule says when the row ends the running trip; the earliest such row of
 # a trip counts. An hours rule says how many microseconds the row adds.
@@ -42,18 +42,31 @@ def _gap_while_on() -> Column:
 
 
 # "as_run": the state is overwritten before the comparison, so no trip starts.
-TRIP_RULES: dict[str, TripRule] = {"strategy": _ends_after_threshold, "as_run": _never_ends}
-HOURS_RULES: dict[str, HoursRule] = {"engine_on": _gap_while_on}
+STRATEGY, AS_RUN, ENGINE_ON = "strategy", "as_run", "engine_on"
+TRIP_RULES: dict[str, TripRule] = {STRATEGY: _ends_after_threshold, AS_RUN: _never_ends}
+HOURS_RULES: dict[str, HoursRule] = {ENGINE_ON: _gap_while_on}
 
 
 def register_trip_rule(name: str, rule: TripRule) -> None:
+    _check_free(name, (STRATEGY, AS_RUN))
     TRIP_RULES[name] = rule
 
 
 def register_hours_rule(name: str, rule: HoursRule) -> None:
+    _check_free(name, (ENGINE_ON,))
     HOURS_RULES[name] = rule
 
 
+def _check_free(name: str, taken: tuple[str, ...]) -> None:
+    if name in taken:
+        raise ValueError(f"{name} is a rule of the service")
+
+
+def threshold_of(trip_rule: str, idle_threshold: float) -> int | None:
+    """Microseconds after which a trip may end; None where it never does."""
+    return None if trip_rule == AS_RUN else int(idle_threshold * MICROS)
+
+
 def with_engine_state(events: DataFrame) -> DataFrame:
     state = engine_state(F.col("power_on"), F.col("speed"))
     return events.withColumn("engine_state", state_name(state))
@@ -61,14 +74,7 @@ def with_engine_state(events: DataFrame) -> DataFrame:
 
 def _day_rows(events: DataFrame, payload: list[str], span_seconds: int) -> DataFrame:
     """Fixes of each device-day in order, with the running trip's start."""
-    rows = events.select(
-        "device_id",
-        F.to_date("timestamp").alias("summary_date"),
-        micros(F.col("timestamp")).alias("us"),
-        "ingest_seq",
-        engine_state(F.col("power_on"), F.col("speed")).alias("state"),
-        *payload,
-    )
+    rows = day_rows(events, payload)
     # The first fix of a day only opens the summary, and leaves the engine off.
     before = F.when(F.col("rn") == 2, OFF).otherwise(F.col("prev_state"))
     starts = (F.col("rn") > 1) & (F.col("state") == MOVING) & (before != MOVING)
@@ -91,14 +97,33 @@ def trips(
     span_seconds: int = SPAN_SECONDS,
 ) -> DataFrame:
     """Finished trips of every device-day."""
-    rows = _day_rows(events, [], span_seconds)
-    done = _per_trip(rows, trip_rule, idle_threshold).where(F.col("end_us").isNotNull())
+    if trip_rule == STRATEGY:
+        done = partials.trips_of_days(events, threshold_of(trip_rule, idle_threshold), span_seconds)
+    else:
+        per_trip = _per_trip(_day_rows(events, [], span_seconds), trip_rule, idle_threshold)
+        done = per_trip.where(F.col("end_us").isNotNull()).withColumn("start_us", F.col("trip_us"))
     return done.select(
         "device_id",
         "summary_date",
-        F.timestamp_micros("trip_us").alias("start_time"),
+        F.timestamp_micros("start_us").alias("start_time"),
         F.timestamp_micros("end_us").alias("end_time"),
-        ((F.col("end_us") - F.col("trip_us")) / (3600.0 * MICROS)).alias("operational_hours"),
+        ((F.col("end_us") - F.col("start_us")) / (3600.0 * MICROS)).alias("operational_hours"),
+    )
+
+
+def state_of_partials(
+    slices: DataFrame, idle_threshold: float = IDLE_THRESHOLD_SECONDS, trip_rule: str = STRATEGY
+) -> DataFrame:
+    """``daily_state`` from partials of slices, which may have been stored."""
+    threshold_us = threshold_of(trip_rule, idle_threshold)
+    part = F.col("part")
+    said = partials.settled(part, threshold_us)
+    days = partials.merged_days(slices, threshold_us).select(
+        *DAY_KEYS, "part.*", *[c.alias(f"day_{name}") for name, c in said.items()]
+    )
+    return _day_columns(
+        days.withColumn("trip_count", F.col("day_trip_count")).withColumn("last_state", F.col("day_state")),
+        F.timestamp_micros("day_open_us"),
     )
 
 
@@ -110,6 +135,10 @@ def daily_state(
     span_seconds: int = SPAN_SECONDS,
 ) -> DataFrame:
     """The summary of each device-day plus the state a live fold would hold."""
+    if trip_rule in (STRATEGY, AS_RUN) and hours_rule == ENGINE_ON:
+        rows = day_rows(events, partials.PLACE)
+        slices = partials.partial_days(rows, threshold_of(trip_rule, idle_threshold), span_seconds)
+        return state_of_partials(slices, idle_threshold, trip_rule)
     first_last = ["latitude", "longitude", "odometer", "fuel_gauge"]
     rows = _day_rows(events, first_last, span_seconds)
     first, last = F.col("rn") == 1, F.col("is_last")
@@ -134,7 +163,10 @@ def daily_state(
         F.max(F.when(F.col("end_us").isNotNull(), started)).alias("newest_done"),
     )
     running = F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("newest_done"))
-    open_since = F.when(running, F.timestamp_micros("newest.trip_us"))
+    return _day_columns(days, F.when(running, F.timestamp_micros("newest.trip_us")))
+
+
+def _day_columns(days: DataFrame, open_since: Column) -> DataFrame:
     return days.select(
         F.col("device_id").alias("vehicle_id"),
         "summary_date",
@@ -152,7 +184,7 @@ def daily_state(
         F.timestamp_micros("last_us").alias("last_event_time"),
         state_name(F.col("last_state")).alias("state"),
         F.when(
-            running,
+            open_since.isNotNull(),
             F.struct(
                 open_since.alias("start_time"),
                 F.lit(None).cast("timestamp").alias("end_time"),
@@ -162,6 +194,13 @@ def daily_state(
     )
 
 
+def running_days(events: DataFrame, idle_threshold: float = IDLE_THRESHOLD_SECONDS) -> DataFrame:
+    """Each device-day as a stream holds it that goes on with it (``jobs.daily_summary``)."""
+    threshold_us = threshold_of(STRATEGY, idle_threshold)
+    slices = partials.partial_days(day_rows(events, partials.PLACE), threshold_us)
+    return partials.running_days(partials.merged_days(slices, threshold_us), threshold_us)
+
+
 def daily_summary(events: DataFrame, **options: object) -> DataFrame:
     """One row per vehicle and day, as stored in ``daily_vehicle_summary``."""
     return daily_state(events, **options).select(*SUMMARY_COLUMNS)
@@ -187,6 +226,19 @@ def merge_summaries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.join(new, keys, "full_outer").select(*keys, *[pick(c) for c in rest])
 
 
+def newest_of_log(versions: DataFrame) -> DataFrame:
+    """Of all ``versions`` of a (vehicle, day) one row: the newest, but with the oldest start.
+
+    The result has the same form, so versions may be folded in any grouping.
+    """
+    keys = ["vehicle_id", "summary_date"]
+    rest = [c for c in SUMMARY_COLUMNS if c not in keys]
+    picked = [
+        (F.min_by if c.startswith("start_") else F.max_by)(c, "version").alias(c) for c in rest
+    ]
+    return versions.groupBy(*keys).agg(*picked, F.max("version").alias("version"))
+
+
 def apply_increments(summary: DataFrame, deltas: DataFrame) -> DataFrame:
     """Add batched changes (``trips``, ``km``, ``seconds``) to existing rows.
 

@@ -3,9 +3,10 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from roadlake.operators import idling, lookback, summary
+from roadlake.operators import idling, lookback, partials, summary
 from roadlake.sources import tables
 from tests.helpers import at, fixes, fold_days, gps_frame
 
@@ -92,6 +93,32 @@ def test_no_slice_holds_a_hot_day(spark):
     check_against_fold(spark, rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_partials_merge_in_any_grouping(spark, seed):
+    """Stretches of a day merged two by two from either end, and all at once."""
+    rng = random.Random(seed)
+    rows = fixes(rng, 3, 40, 9 * 3600)
+    frame = gps_frame(spark, rows)
+    threshold_us = summary.threshold_of(summary.STRATEGY, 300.0)
+    slices = partials.partial_days(partials.day_rows(frame, partials.PLACE), threshold_us, 1800)
+    slices = slices.withColumn("place", F.row_number().over(Window.partitionBy(*partials.DAY_KEYS).orderBy("slice")))
+    expected = {r.device_id: r.part for r in partials.merged_days(slices, threshold_us).collect()}
+    for size in (2, 3, 7):
+        groups = slices.withColumn("slice", F.floor(F.col("place") / size) * 1000 + F.col("place") % size)
+        groups = groups.withColumn("part_of", F.floor(F.col("place") / size))
+        inner = partials.merged_days(groups, threshold_us, [*partials.DAY_KEYS, "part_of"])
+        outer = inner.select(*partials.DAY_KEYS, F.col("part_of").alias("slice"), "part.*")
+        found = {r.device_id: r.part for r in partials.merged_days(outer, threshold_us).collect()}
+        assert found == expected
+
+
+def test_two_exchanges_fold_a_day(spark, given):
+    events = tables.gps_events(spark, given)
+    for operator in (summary.daily_summary, summary.trips, idling.idling_episodes):
+        plan = operator(events)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 2
+
+
 def jobs_started(spark, build):
     group = f"building-{uuid.uuid4()}"
     spark.sparkContext.setJobGroup(group, "building")
