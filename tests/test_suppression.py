@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadlake.operators import suppression
 from tests.helpers import at, fold_cooldown
@@ -83,3 +84,56 @@ def test_steps_lead_where_a_walk_does():
                 own, leave = times[of == part], until[of == part]
                 step = int(np.searchsorted(own, entry * 10**6))
                 assert left == (leave[step] if step < len(own) else entry * 10**6)
+
+
+def leave(steps, entry):
+    times, until = steps
+    at = int(np.searchsorted(times, entry))
+    return int(until[at]) if at < len(times) else entry
+
+
+def test_composed_steps_lead_where_the_neighbours_do():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        edges, parts = np.cumsum(rng.integers(5, 30, 6)), []
+        for start, end in zip(edges, edges[1:]):
+            times = np.unique(rng.integers(start, end, rng.integers(0, 8)))
+            until = times + rng.integers(1, 40, len(times))
+            parts.append((times, np.maximum.accumulate(until)))
+        whole, latest = (np.zeros(0, np.int64), np.zeros(0, np.int64)), int(edges[0]) + 40
+        for part in parts:
+            whole = suppression.within_reach(suppression.compose(whole, part), latest)
+        for entry in range(int(edges[0]) - 2, latest + 1):
+            expected = entry
+            for part in parts:
+                expected = leave(part, expected)
+            assert leave(whole, entry) == expected
+
+
+@pytest.mark.parametrize("fan_in", [2, 5])
+def test_blocks_of_slices(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(suppression, "FAN_IN", fan_in)
+    test_fold(spark, 3, 60_000, 9, 100)
+    test_fold(spark, 4, 400, 1, 7)
+
+
+def test_a_long_regular_train(spark):
+    """Two faults in each of 10^5 slices of one code; no step function grows with the train."""
+    slices, span = 100_000, 20
+    seconds = F.col("id") * 10 + F.lit(1_700_000_000)
+    train = spark.range(2 * slices).select(
+        F.lit("d").alias("device_id"),
+        F.lit("1").alias("fault_code"),
+        F.timestamp_seconds(seconds).alias("timestamp"),
+        F.unhex(F.lit("000019")).alias("payload_bytes"),
+        "id",
+    )
+    marked = suppression.mark_suppressed(train, span_seconds=span)
+    # A window of 25 s hides the two faults after the one that opens it.
+    wrong = marked.where(F.col("suppressed") == (F.col("id") % 3 == 0)).count()
+    assert (marked.count(), wrong) == (2 * slices, 0)
+    blocks = [(np.arange(0, 50, 10), np.arange(25, 75, 10))] * 3
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for k, (times, until) in enumerate(blocks * 300):
+        held = suppression.within_reach(suppression.compose(held, (times + 50 * k, until + 50 * k)), 25)
+        assert len(held[0]) <= 4
