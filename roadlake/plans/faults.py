@@ -76,8 +76,9 @@ def known_segments(messages: DataFrame, devices: DataFrame) -> DataFrame:
 def labelled_faults(complete: DataFrame, devices: DataFrame, labels: DataFrame) -> DataFrame:
     named = clean.enrich_device(complete, devices)
     return clean.enrich_label(named, labels).select(
-        "device_id", "device_name", "timestamp", "fault_payload", "fault_code", "fault_label", "payload_bytes"
-    )
+        "device_id", "device_name", "timestamp", "fault_payload", "fault_code", "fault_label",
+        "payload_bytes", "ended_seq",
+    )
 
 
 def fault_alerts(stored: DataFrame, **options: object) -> DataFrame:
