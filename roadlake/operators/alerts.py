@@ -22,6 +22,8 @@ from roadlake.functions.once import once
 from roadlake.functions.payload import base64_of
 from roadlake.functions.times import iso_text
 
+#: A value of an event: its text or number, the number a lower bound sees, and what is shown.
+VALUE = "struct<key: string, is_text: boolean, text: string, plain: double, number: double, shown: string>"
 ENVELOPE = ["event_type", "device_id", "device_name", "timestamp"]
 
 
@@ -139,6 +141,24 @@ class _Typed:
             return F.when(value, "True").otherwise("False")
         return value.cast("string")
 
+    def value(self, key: str) -> Column:
+        """What a rule of a table (``rule_table``) asks of a key; null where it is missing."""
+        if key not in self.types:
+            return F.lit(None).cast(VALUE)
+        own = F.col(f"data.`{key}`")
+        is_text = self._is_text(key)
+        return F.when(
+            own.isNotNull(),
+            F.struct(
+                F.lit(key).alias("key"),
+                F.lit(is_text).alias("is_text"),
+                (own if is_text else F.lit(None).cast("string")).alias("text"),
+                (F.lit(None) if is_text else own).cast("double").alias("plain"),
+                self.number(key).alias("number"),
+                self.text(key).alias("shown"),
+            ),
+        )
+
     def _is_text(self, key: str) -> bool:
         return isinstance(self.types[key], T.StringType)
 
@@ -169,6 +189,22 @@ class _Variant:
             found = found | (~is_text & value.isin(numbers))
         return found
 
+    def value(self, key: str) -> Column:
+        own = F.try_variant_get("data", f"$['{key}']", "string")
+        is_text = self._kind(key) == "STRING"
+        plain = F.try_variant_get("data", f"$['{key}']", "double")
+        return F.when(
+            self._value(key).isNotNull() & (self._kind(key) != "VOID"),
+            F.struct(
+                F.lit(key).alias("key"),
+                is_text.alias("is_text"),
+                F.when(is_text, own).alias("text"),
+                F.when(~is_text, plain).alias("plain"),
+                self.number(key).alias("number"),
+                self.text(key).alias("shown"),
+            ),
+        )
+
     def text(self, key: str) -> Column:
         kind = self._kind(key)
         plain = F.try_variant_get("data", f"$['{key}']", "string")
@@ -179,7 +215,7 @@ class _Variant:
         ).otherwise(plain)
 
 
-def _reader(envelopes: DataFrame) -> _Typed | _Variant:
+def reader(envelopes: DataFrame) -> _Typed | _Variant:
     data = envelopes.schema["data"].dataType
     return _Typed(data) if isinstance(data, T.StructType) else _Variant()
 
@@ -210,13 +246,13 @@ def _subject(rule: AlertRule, data: _Typed | _Variant) -> Column:
 
 def match_any(envelopes: DataFrame, rules: tuple[AlertRule, ...] = RULES) -> DataFrame:
     """Envelopes that at least one rule matches; a test on a missing value is NULL, which fails."""
-    data = _reader(envelopes)
+    data = reader(envelopes)
     return envelopes.where(reduce(or_, [_matches(r, data) for r in rules], F.lit(False)))
 
 
 def notifications(envelopes: DataFrame, rules: tuple[AlertRule, ...] = RULES) -> DataFrame:
     """One row (``to``, ``subject``, ``body``) per event and matching rule."""
-    data = _reader(envelopes)
+    data = reader(envelopes)
     letters = [
         F.when(_matches(rule, data), F.struct(F.lit(rule.email).alias("to"), _subject(rule, data).alias("subject")))
         for rule in rules

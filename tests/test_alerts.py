@@ -1,8 +1,10 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 
-from roadlake.operators import alerts
+from roadlake.operators import alerts, rule_table
 from roadlake.operators.alerts import AlertRule
 from tests.helpers import at
 
@@ -126,3 +128,66 @@ def test_speed_rule_reaches_the_scan(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "fixes"))
     plan = alerts.notifications(alerts.gps_envelopes(stored))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(speed,70.0)" in plan
+
+
+def as_letters(frame):
+    return Counter((r["to"], r["subject"], r["body"]) for r in frame.collect())
+
+
+def test_a_table_of_rules_says_what_the_rules_say(spark):
+    """All cases on all rules at once, on both forms of envelopes."""
+    rules = tuple(
+        AlertRule(f"{k}@example.com", types, thresholds) for k, (_, _, types, thresholds, _) in enumerate(CASES)
+    ) + (AlertRule("any@example.com", ("gps", "door", "gps"), {}), *alerts.RULES)
+    table = rule_table.rules_frame(spark, rules)
+    read = parsed(spark, *[envelope(kind, data) for kind, data, *_ in CASES]).where("error is null")
+    found = as_letters(rule_table.notifications(read, table))
+    assert found == as_letters(alerts.notifications(read, rules)) and found.total() > len(CASES)
+    typed = alerts.gps_envelopes(named_fixes(spark))
+    found = as_letters(rule_table.notifications(typed, table))
+    assert found == as_letters(alerts.notifications(typed, rules)) and found.total() > 2
+    none = rule_table.rules_frame(spark, ())
+    assert rule_table.notifications(typed, none).count() == 0
+    assert rule_table.notifications(typed.limit(0), table).count() == 0
+
+
+def test_ten_thousand_rules(spark):
+    rng = random.Random(3)
+    rules = []
+    for k in range(10_000):
+        kind = k % 4
+        tests = {"speed": float(rng.randrange(300))} if kind else {}
+        if kind != 1:
+            tests["device_id"] = rng.sample([f"d{n}" for n in range(300)], rng.randrange(1, 4))
+        if kind == 3:
+            tests["power_on"] = True
+        rules.append(AlertRule(f"{k}@example.com", GPS if k % 9 else ("fault",), tests))
+    rows = [
+        (f"d{rng.randrange(300)}", "n", at(k), rng.choice([float("nan"), *map(float, range(0, 300, 7))]), 1.0,
+         rng.random() < 0.5, 1.0, 2.0, 3.0)
+        for k in range(60)
+    ]
+    shape = named_fixes(spark).schema
+    envelopes = alerts.gps_envelopes(spark.createDataFrame(rows, shape))
+    wanted = Counter()
+    for device, _, time, speed, _, power, *_ in rows:
+        for rule in rules:
+            passes = "gps" in rule.event_types
+            for key, threshold in rule.thresholds.items():
+                if key == "device_id":
+                    passes &= device in threshold
+                else:
+                    passes &= not (speed if key == "speed" else float(power)) < float(threshold)
+            wanted[rule.email, at_text(time)] += passes
+    found = rule_table.notifications(envelopes, rule_table.rules_frame(spark, rules)).collect()
+    assert Counter((r["to"], json.loads(r["body"])["timestamp"]) for r in found) == +wanted
+    parsed_again = alerts.parse_messages(alerts.to_messages(envelopes.where("not isnan(data.speed)")))
+    again = rule_table.notifications(parsed_again, rule_table.rules_frame(spark, rules)).collect()
+    slow = {at_text(r[2]) for r in rows if r[3] == r[3]}
+    assert Counter((r["to"], json.loads(r["body"])["timestamp"]) for r in again) == Counter(
+        {k: n for k, n in wanted.items() if n and k[1] in slow}
+    )
+
+
+def at_text(time):
+    return time.isoformat()
