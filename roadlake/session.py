@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import tempfile
 import uuid
@@ -55,22 +54,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{_shared_base(spark)}/roadlake/{name}-{uuid.uuid4().hex}"
 
 
-def pin(
-    df: DataFrame, name: str, at: str | None = None, partition_by: tuple[str, ...] = ()
-) -> DataFrame:
+def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table scan.
 
     Used where several later jobs read the same costly frame: the copy survives
-    lost executors, and its parquet columns are pruned per reader. With ``at``
-    the copy replaces an earlier one of the same path.
+    lost executors, and its parquet columns are pruned per reader.
     """
-    path = at or shared_dir(df.sparkSession, name)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer.partitionBy(*partition_by).parquet(path)
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def staging_dir(spark: SparkSession, table_path: str, name: str) -> str:
-    """A fixed path per table, so that repeated staging reuses its space."""
-    label = hashlib.md5(table_path.encode()).hexdigest()
-    return f"{_shared_base(spark)}/roadlake/staging/{label}/{name}"
