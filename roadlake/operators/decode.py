@@ -19,6 +19,7 @@ from roadlake.schemas import FAULT_COLUMNS, GPS_COLUMNS
 
 # Reasons in the order in which a message meets them.
 DECODE, FIELD_COUNT, NUMBER, RANGE = "decode", "field_count", "number", "range"
+EARLY_REASONS = (DECODE, FIELD_COUNT, NUMBER, RANGE)
 UNKNOWN_DEVICE, DUPLICATE, UNKNOWN_ROUTE = "unknown_device", "duplicate", "unknown_route"
 
 ROUTES = ("gps", "fault")

@@ -286,28 +286,46 @@ FROM {source} GROUP BY 1"""
 
 
 def fault_parts(tag: str, source: str) -> None:
+    # Part by part in order of arrival; whatever ends a fault, its parts are forgotten.
     part(
-        f"fault_last{tag}",
+        f"fault_arrivals{tag}",
         (source,),
         f"""
-SELECT * FROM {source} QUALIFY row_number() OVER (
-  PARTITION BY device_id, fault_code, timestamp, sequence ORDER BY ingest_seq DESC, fault_bits DESC) = 1""",
+SELECT *, row_number() OVER (PARTITION BY device_id, fault_code, timestamp ORDER BY ingest_seq, sequence, fault_bits) AS rn,
+  {{'s': sequence, 'b': fault_bits}} AS one
+FROM {source}""",
+    )
+    part(
+        f"fault_fold{tag}",
+        (f"fault_arrivals{tag}",),
+        f"""
+SELECT device_id, fault_code, timestamp, rn, ingest_seq, total_number AS total, [one] AS held, 1 >= total_number AS ended
+FROM fault_arrivals{tag} WHERE rn = 1
+UNION ALL
+SELECT device_id, fault_code, timestamp, rn, ingest_seq, total_number, held, len(held) >= total_number
+FROM (SELECT a.device_id, a.fault_code, a.timestamp, a.rn, a.ingest_seq, a.total_number,
+        list_append(CASE WHEN f.ended THEN [] ELSE [p for p in f.held if p.s <> a.sequence] END, a.one) AS held
+      FROM fault_fold{tag} f JOIN fault_arrivals{tag} a ON a.device_id = f.device_id AND a.fault_code = f.fault_code
+        AND a.timestamp = f.timestamp AND a.rn = f.rn + 1)""",
     )
     part(
         f"fault_all{tag}",
-        (f"fault_last{tag}",),
+        (f"fault_fold{tag}",),
         f"""
-SELECT *, CASE WHEN received < total THEN 'pending' WHEN usable = total THEN 'complete' ELSE 'error' END AS status
-FROM (SELECT device_id, fault_code, timestamp, count(*) AS received, count(*) FILTER (sequence >= 100) AS ignored, arg_max(total_number, ingest_seq) AS total,
-    count(*) FILTER (sequence < total_number) AS usable,
-    string_agg(fault_bits, '' ORDER BY sequence) FILTER (sequence < total_number) AS fault_payload,
-    string_agg(printf('%02X', CAST('0b' || fault_bits AS INTEGER)), '' ORDER BY sequence) FILTER (sequence < total_number) AS payload_hex
-  FROM fault_last{tag} GROUP BY device_id, fault_code, timestamp)""",
+SELECT device_id, fault_code, timestamp, ingest_seq AS ended_seq, len(held) AS received,
+  len([p for p in held if p.s >= 100]) AS ignored, total,
+  CASE WHEN NOT ended THEN 'pending' WHEN len(used) = total THEN 'complete' ELSE 'error' END AS status,
+  array_to_string([p.b for p in used], '') AS fault_payload,
+  array_to_string([printf('%02X', CAST('0b' || p.b AS INTEGER)) for p in used], '') AS payload_hex
+FROM (SELECT *, list_sort([p for p in held if p.s < total]) AS used,
+        row_number() OVER (PARTITION BY device_id, fault_code, timestamp ORDER BY rn DESC) = 1 AS newest
+      FROM fault_fold{tag})
+WHERE ended OR newest""",
     )
     part(
         f"fault_done{tag}",
         (f"fault_all{tag}",),
-        f"SELECT device_id, fault_code, timestamp, fault_payload, payload_hex FROM fault_all{tag} WHERE status = 'complete'",
+        f"SELECT device_id, fault_code, timestamp, ended_seq, fault_payload, payload_hex FROM fault_all{tag} WHERE status = 'complete'",
     )
     part(
         f"fault_stored{tag}",
@@ -320,7 +338,7 @@ FROM (SELECT device_id, fault_code, timestamp, count(*) AS received, count(*) FI
             (f"fault_{kind}{tag}",),
             f"""
 SELECT *, epoch_us(timestamp) AS us, CAST('0x' || right(payload_hex, 4) AS BIGINT) * 1000000 AS cooldown,
-  row_number() OVER (PARTITION BY fault_code ORDER BY timestamp, device_id) AS rn FROM fault_{kind}{tag}""",
+  row_number() OVER (PARTITION BY fault_code ORDER BY timestamp, device_id, ended_seq) AS rn FROM fault_{kind}{tag}""",
         )
         part(
             f"fault_walk_{kind}{tag}",
@@ -491,6 +509,9 @@ FROM summary s LEFT JOIN summary_afternoon e USING (vehicle_id, summary_date)"""
     ),
     "validate_events": build(f"SELECT rule, count(*) AS messages FROM ({BROKEN}) GROUP BY rule", "gps_decoded"),
     "reject_counts": build("SELECT reject_reason, count(*) AS messages FROM rejected GROUP BY reject_reason", "rejected"),
+    "reject_counts_in_passing": build(
+        "SELECT reject_reason, count(*) AS messages FROM rejected GROUP BY reject_reason", "rejected"
+    ),
     "quarantine": build("SELECT * FROM rejected", "rejected"),
     "fault_quarantine": build("SELECT * FROM faults_refused", "faults_refused"),
     "fault_reject_counts": build(
@@ -613,7 +634,7 @@ ORDER BY total_distance_km DESC NULLS FIRST, vehicle_id, summary_date LIMIT 50""
     "efficiency_monthly_asset": build(period_sql("month", "chosen_assets", True), "chosen_assets"),
     "efficiency_paged": build(period_sql("week", "chosen_page", False), "chosen_page"),
     "fault_status": build(
-        "SELECT device_id, fault_code, timestamp, received, ignored, total, status FROM fault_all", "fault_all"
+        "SELECT device_id, fault_code, timestamp, ended_seq, received, ignored, total, status FROM fault_all", "fault_all"
     ),
     "fault_events": build("SELECT * FROM fault_done", "fault_done"),
     "fault_suppression": build(
@@ -647,6 +668,15 @@ UNION ALL SELECT 'code@example.com', 'Alert: fault [fault_code=5 (threshold=5)]'
     "alert_notifications": build(
         f"SELECT {GPS_LETTER} FROM named_gps WHERE speed >= 70", "named_gps"
     ),
+    "alert_rule_table": build(
+        f"""SELECT "to", count(*) AS letters, min(body) AS first_body FROM (
+  SELECT CAST(c_custkey AS VARCHAR) || '@example.com' AS "to", {body_sql('gps', GPS_DATA)} AS body
+  FROM named_gps JOIN customer ON
+    (c_custkey % 50 = 0 AND speed >= c_custkey % 83 + 40)
+    OR (c_custkey % 50 <> 0 AND speed >= c_custkey % 83 AND device_id = 'truck_' || (c_custkey % 100)))
+GROUP BY "to\"""",
+        "named_gps",
+    ),
     "alert_path": build(
         f"SELECT {FAULT_LETTER} FROM fault_marked_stored WHERE NOT suppressed AND {FAULT_MATCH}", "fault_marked_stored"
     ),
@@ -657,7 +687,7 @@ UNION ALL SELECT 'code@example.com', 'Alert: fault [fault_code=5 (threshold=5)]'
     "gps_path_notifications": build(f"SELECT {GPS_LETTER} FROM gps_clean WHERE speed >= 70", "gps_clean"),
     "fault_path_events": build("SELECT *, CAST(timestamp AS DATE) AS event_date FROM fault_stored_raw", "fault_stored_raw"),
     "fault_path_status": build(
-        "SELECT device_id, fault_code, timestamp, received, ignored, total, status FROM fault_all_raw", "fault_all_raw"
+        "SELECT device_id, fault_code, timestamp, ended_seq, received, ignored, total, status FROM fault_all_raw", "fault_all_raw"
     ),
     "fault_path_rejected": build("SELECT * FROM faults_rejected", "faults_rejected"),
     "fault_path": build(

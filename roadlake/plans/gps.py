@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roadlake.operators import alerts, clean, decode, idling, summary
@@ -67,6 +67,35 @@ def reject_counts(decoded: DataFrame, devices: DataFrame) -> DataFrame:
     return early.unionByName(late.where(F.col("messages") > 0))
 
 
+def observed(decoded: DataFrame, name: str | Observation) -> DataFrame:
+    """``decoded`` with the number of messages per reason, counted as they pass.
+
+    With a name, each batch of a stream reports them in its progress.
+    """
+    reason = F.col("reject_reason")
+    kinds = [F.count_if(reason == r).alias(r) for r in decode.EARLY_REASONS]
+    return decoded.observe(name, F.count_if(reason.isNull()).alias("good"), *kinds)
+
+
+def store_events(
+    messages: DataFrame, devices: DataFrame, path: str, write: str | None = None
+) -> dict[str, int]:
+    """Decode, clean and store the events in one pass; returns the refused messages per reason.
+
+    What is lost from step to step is counted as it passes. Work that is done again after an
+    executor was lost may count twice; ``reject_counts`` does not.
+    """
+    seen, unique, named = Observation(), Observation(), Observation()
+    events = clean.dedup(decode.good(observed(gps_decoded(messages), seen), GPS_COLUMNS))
+    events = events.observe(unique, F.count("*").alias("n"))
+    events = clean.enrich_device(events, devices).observe(named, F.count("*").alias("n"))
+    stores.append_gps_events(events, path, write)
+    counts = seen.get
+    counts[decode.DUPLICATE] = counts.pop("good") - unique.get["n"]
+    counts[decode.UNKNOWN_DEVICE] = unique.get["n"] - named.get["n"]
+    return {reason: n for reason, n in counts.items() if n}
+
+
 @dataclass(frozen=True)
 class GpsOutputs:
     events: DataFrame

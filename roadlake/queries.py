@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from roadlake.operators import (
     hotspots,
     idling,
     reports,
+    rule_table,
     summary,
     suppression,
 )
@@ -133,9 +134,9 @@ def upsert_daily_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Afternoons are stored first; the whole days then keep their stored start."""
     path = shared_dir(spark, "daily-summary")
     events = tables.gps_events(spark, sf)
-    stores.write_summary(summary.daily_summary(events.where(F.hour("timestamp") >= 12)), path)
+    stores.upsert_summary(summary.daily_summary(events.where(F.hour("timestamp") >= 12)), path)
     stores.upsert_summary(summary.daily_summary(events), path)
-    return stores.read_table(spark, path).select(*SUMMARY_COLUMNS)
+    return stores.read_summary(spark, path)
 
 
 def validate_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,6 +157,13 @@ def reject_counts(spark: SparkSession, sf: str) -> DataFrame:
     return gps_plan.reject_counts(decoded, tables.devices(spark, sf))
 
 
+def reject_counts_in_passing(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts, taken while the events are stored."""
+    path = shared_dir(spark, "gps-events")
+    counts = gps_plan.store_events(tables.raw_gps(spark, sf), tables.devices(spark, sf), path)
+    return spark.createDataFrame(sorted(counts.items()), "reject_reason string, messages long")
+
+
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
     decoded = gps_plan.stored_decoded(tables.raw_gps(spark, sf))
     return gps_plan.quarantine_gps(decoded, tables.devices(spark, sf))
@@ -199,11 +207,11 @@ def device_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enrich_fault_label(spark: SparkSession, sf: str) -> DataFrame:
-    return _naive(clean.enrich_label(_faults(spark, sf), tables.fault_labels(spark, sf)).drop("payload_bytes"))
+    return _naive(clean.enrich_label(_faults(spark, sf), tables.fault_labels(spark, sf)).drop("payload_bytes", "ended_seq"))
 
 
 def unlabelled_faults(spark: SparkSession, sf: str) -> DataFrame:
-    return _naive(clean.unlabelled(_faults(spark, sf), tables.fault_labels(spark, sf)).drop("payload_bytes"))
+    return _naive(clean.unlabelled(_faults(spark, sf), tables.fault_labels(spark, sf)).drop("payload_bytes", "ended_seq"))
 
 
 def dedup_gps(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +373,7 @@ def fault_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def fault_events(spark: SparkSession, sf: str) -> DataFrame:
     packed = F.hex("payload_bytes").alias("payload_hex")
-    return _naive(_faults(spark, sf).select(*faults.FAULT_KEY, "fault_payload", packed))
+    return _naive(_faults(spark, sf).select(*faults.FAULT_KEY, "ended_seq", "fault_payload", packed))
 
 
 def fault_suppression(spark: SparkSession, sf: str) -> DataFrame:
@@ -407,6 +415,33 @@ def alert_notifications(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.notifications(alerts.gps_envelopes(_named_gps(spark, sf)))
 
 
+def alert_rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule per customer: one device at a speed of its own, or any device at a high one."""
+    customers = tables.load(spark, sf, "customer").where(F.col("c_custkey").isNotNull())
+    number = F.col("c_custkey")
+    bound = (number % 83).cast("double")
+    own = F.concat(F.lit("truck_"), (number % 100).cast("string"))
+    nothing = F.array().cast("array<string>")
+
+    def test(key: str, bound: Column | None, texts: Column) -> Column:
+        none = F.lit(None).cast("double")
+        return F.struct(
+            F.lit(key).alias("key"), (none if bound is None else bound).alias("bound"), texts.alias("texts"),
+            F.array().cast("array<double>").alias("numbers"), F.lit("-").alias("shown"),
+        )
+
+    speed = test("speed", bound, nothing)
+    tests = F.when(number % 50 == 0, F.array(test("speed", bound + 40, nothing))).otherwise(
+        F.array(speed, test("device_id", None, F.array(own)))
+    )
+    rules = customers.select(
+        number.cast("long").alias("rule_id"), F.concat(number.cast("string"), F.lit("@example.com")).alias("email"),
+        F.array(F.lit("gps")).alias("event_types"), tests.alias("tests"),
+    )
+    found = rule_table.notifications(alerts.gps_envelopes(_named_gps(spark, sf)), rules)
+    return found.groupBy("to").agg(F.count("*").alias("letters"), F.min("body").alias("first_body"))
+
+
 def alert_path(spark: SparkSession, sf: str) -> DataFrame:
     return fault_plan.fault_alerts(pin(_stored_faults(spark, sf), "faults"))
 
@@ -460,6 +495,7 @@ QUERIES: dict[str, Query] = {
         upsert_daily_summary,
         validate_events,
         reject_counts,
+        reject_counts_in_passing,
         quarantine,
         fault_quarantine,
         fault_reject_counts,
@@ -500,6 +536,7 @@ QUERIES: dict[str, Query] = {
         alert_matches,
         alert_matches_parsed,
         alert_notifications,
+        alert_rule_table,
         alert_path,
         gps_path,
         gps_path_events,

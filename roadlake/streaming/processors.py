@@ -17,20 +17,25 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from roadlake.functions.engine import MOVING, OFF, STATIONARY
 from roadlake.functions.times import MICROS
-from roadlake.operators.suppression import NEVER, walk
+from roadlake.operators.faults import FOLDED, Arrivals
+from roadlake.operators.suppression import NEVER, ORDER, walk
 
 DAY_STATE = """
     start_latitude double, start_longitude double, end_latitude double, end_longitude double,
     first_odometer double, odometer double, first_fuel double, fuel double,
     on_us long, trip_count long, last_us long, state int, trip_us long, rows long
 """
-DAY_OUTPUT = """
+SUMMARY_OUTPUT = """
     vehicle_id string, summary_date date, start_latitude double, start_longitude double,
     end_latitude double, end_longitude double, total_distance_km double,
     total_operational_hours double, trip_count long, fuel_consumed_liters double
 """
+#: A row is a summary, or, with ``fix_us``, a fix that came too late for one. A summary whose
+#: day has late fixes is short of them.
+DAY_OUTPUT = f"{SUMMARY_OUTPUT}, late_fixes long, fix_us long, fix_seq long"
 FIX_STATE = """
-    us long, ingest_seq long, state int, latitude double, longitude double, odometer double, fuel_gauge double
+    us long, ingest_seq long, summary_date date, state int, latitude double, longitude double,
+    odometer double, fuel_gauge double
 """
 Fix = namedtuple("Fix", [field.split()[0] for field in FIX_STATE.split(",")])
 DAY_FIELDS = [field.split()[0] for field in DAY_STATE.replace("\n", " ").split(",")]
@@ -38,9 +43,7 @@ DAY_FIELDS = [field.split()[0] for field in DAY_STATE.replace("\n", " ").split("
 EPISODE_STATE = "start_us long, end_us long, latitude double, longitude double"
 EPISODE_OUTPUT = "asset_id string, start_us long, end_us long, latitude double, longitude double"
 
-PART_OUTPUT = """
-    device_id string, fault_code string, fault_us long, received long, total int, bits array<string>
-"""
+PART_OUTPUT = f"device_id string, fault_code string, fault_us long, {FOLDED}"
 PART_LIFE_MS = 3600 * 1000
 
 
@@ -83,65 +86,100 @@ def first_fix(fix: object) -> dict:
 
 
 class DayProcessor(StatefulProcessor):
-    """Running summary of one (device, day); emits it after every batch.
-
-    Fixes are folded in the order of their times. Those the watermark has not
-    passed may still be preceded by others, so they are kept as rows and folded
-    into what is emitted, but not into the state. The state ends with its day:
-    the timer stands at the next midnight and fires once the watermark has passed
-    it.
+    """Running summaries of one device's days; emits those that a batch changed.
+
+    Fixes are folded in the order of their times. Those younger than ``lateness`` before the
+    device's newest fix may still be preceded by others, so they are kept as rows and folded
+    into what is emitted, but not into the state. A fix older than that has come too late to
+    be folded: it is emitted itself, and its day says from then on how many it lacks. A
+    device's days are kept until its fixes have left them behind; no other device's times
+    matter, so one that was out of reach loses nothing.
     """
 
-    def __init__(self, idle_threshold: float = 300.0, zone: str = "UTC") -> None:
+    def __init__(self, idle_threshold: float, lateness_us: int, zone: str) -> None:
         self.idle_threshold_us = int(idle_threshold * MICROS)
+        self.lateness_us = lateness_us
         self.zone = zone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.day = handle.getValueState("day", DAY_STATE)
+        self.settled = handle.getValueState("settled", "us long")
+        self.days = handle.getMapState("days", "summary_date date", f"{DAY_STATE}, late long")
         self.recent = handle.getListState("recent", FIX_STATE)
 
-    def _fold(self, day: dict | None, fixes: list[Fix]) -> dict | None:
-        for fix in fixes:
-            if day is None:
-                day = first_fix(fix)
-            else:
-                add_fix(day, fix, self.idle_threshold_us)
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Days that a batch has folded so far (``summary.running_days``)."""
+        for day in initialState.to_dict("records"):
+            numbers = [None if pd.isna(day[f]) else day[f] for f in DAY_FIELDS]
+            whole = {"on_us", "trip_count", "last_us", "state", "trip_us", "rows"}
+            numbers = [int(n) if f in whole and n is not None else n for f, n in zip(DAY_FIELDS, numbers)]
+            self.days.updateValue((day["summary_date"],), (*numbers, 0))
+            held = self.settled.get()
+            passed = int(day["last_us"]) + 1
+            self.settled.update((passed if held is None else max(passed, held[0]),))
+
+    def _fold(self, day: dict | None, fix: Fix) -> dict:
+        if day is None:
+            return first_fix(fix)
+        add_fix(day, fix, self.idle_threshold_us)
         return day
 
+    def _date_of(self, us: int) -> dt.date:
+        return dt.datetime.fromtimestamp(us // MICROS, ZoneInfo(self.zone)).date()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        vehicle, date = key
-        held = self.day.get()
-        day = None if held is None else dict(zip(DAY_FIELDS, held))
-        recent = [Fix(*row) for row in self.recent.get()]
-        if day is None and not recent:
-            midnight = dt.datetime.combine(date + dt.timedelta(days=1), dt.time(), ZoneInfo(self.zone))
-            self.handle.registerTimer(int(midnight.timestamp() * 1000))
+        held = self.settled.get()
+        passed = None if held is None else held[0]
+        days, late = {}, {}
+        for (date,), values in self.days.iterator():
+            *numbers, late[date] = values
+            days[date] = None if numbers[-1] == 0 else dict(zip(DAY_FIELDS, numbers))
+        known = set(late)
         fresh = pd.concat(list(rows), ignore_index=True)[list(Fix._fields)]
-        fixes = sorted([*recent, *fresh.itertuples(index=False, name="Fix")], key=lambda f: f[:2])
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        settled = [f for f in fixes if f.us < passed]
-        day = self._fold(day, settled)
-        if day is not None:
-            self.day.update(tuple(day[f] for f in DAY_FIELDS))
-        self.recent.put([tuple(f) for f in fixes[len(settled) :]])
-        day = self._fold(day, fixes[len(settled) :])
-        yield pd.DataFrame(
-            {
-                "vehicle_id": [vehicle],
-                "summary_date": [date],
-                **{c: [day[c]] for c in DAY_FIELDS[:4]},
-                "total_distance_km": [day["odometer"] - day["first_odometer"]],
-                "total_operational_hours": [day["on_us"] / (3600.0 * MICROS)],
-                "trip_count": [day["trip_count"]],
-                "fuel_consumed_liters": [day["first_fuel"] - day["fuel"]],
-            }
+        fresh = list(fresh.itertuples(index=False, name="Fix"))
+        too_late = [f for f in fresh if passed is not None and f.us < passed]
+        for fix in too_late:
+            late[fix.summary_date] = late.get(fix.summary_date, 0) + 1
+        in_time = [f for f in fresh if passed is None or f.us >= passed]
+        fixes = sorted([*(Fix(*row) for row in self.recent.get()), *in_time], key=lambda f: f[:2])
+        if fixes:
+            newest = max(f.us for f in fixes) - self.lateness_us
+            passed = newest if passed is None else max(passed, newest)
+            self.settled.update((passed,))
+        open_fixes = [f for f in fixes if f.us >= passed]
+        for fix in fixes[: len(fixes) - len(open_fixes)]:
+            days[fix.summary_date] = self._fold(days.get(fix.summary_date), fix)
+        running = self._date_of(passed)
+        for date in {*days, *late}:
+            if date >= running:
+                day = days.get(date) or dict.fromkeys(DAY_FIELDS, 0)
+                numbers = tuple(day[f] for f in DAY_FIELDS)
+                self.days.updateValue((date,), (*numbers, late.get(date, 0)))
+            elif date in known:
+                self.days.removeKey((date,))
+        self.recent.put([tuple(f) for f in open_fixes])
+        for fix in open_fixes:
+            days[fix.summary_date] = self._fold(days.get(fix.summary_date), fix)
+        changed = {f.summary_date for f in fresh}
+        found = [self._row(key[0], date, days[date], late.get(date, 0)) for date in changed if days.get(date)]
+        found += [self._late_row(key[0], fix) for fix in too_late]
+        yield pd.DataFrame(found, columns=[f.split()[0] for f in DAY_OUTPUT.split(",")])
+
+    def _row(self, vehicle: str, date: dt.date, day: dict, late: int) -> tuple:
+        return (
+            vehicle,
+            date,
+            *(day[c] for c in DAY_FIELDS[:4]),
+            day["odometer"] - day["first_odometer"],
+            day["on_us"] / (3600.0 * MICROS),
+            day["trip_count"],
+            day["first_fuel"] - day["fuel"],
+            late,
+            None,
+            None,
         )
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.day.clear()
-        self.recent.clear()
-        return iter([])
+    def _late_row(self, vehicle: str, fix: Fix) -> tuple:
+        return (vehicle, fix.summary_date, *[None] * 8, 1, fix.us, fix.ingest_seq)
 
     def close(self) -> None:
         pass
@@ -190,25 +228,23 @@ class PartsProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.parts.iterator()}
+        held = Arrivals(bits={k[0]: v[0] for k, v in self.parts.iterator()})
         fresh, out = {}, []
         for part in in_order(rows, "ingest_seq").itertuples():
-            held[int(part.sequence)] = fresh[int(part.sequence)] = part.fault_bits
-            total, bits, received = int(part.total_number), None, len(held)
-            if received >= total:
-                bits = [held[s] for s in sorted(held) if s < total]
+            sequence = int(part.sequence)
+            said = held.add(sequence, part.fault_bits, int(part.total_number), int(part.ingest_seq))
+            fresh[sequence] = held.bits.get(sequence)
+            if said[-1] is not None:
                 self.parts.clear()
-                held, fresh = {}, {}
-            out.append((*key, received, total, bits))
+                fresh = {}
+            out.append((*key, *said))
         for sequence, text in fresh.items():
             self.parts.updateValue((sequence,), (text,))
         # A new timer does not replace the old one.
         self._stop_timers()
-        if held:
+        if held.bits:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + PART_LIFE_MS)
-        yield pd.DataFrame(
-            out, columns=["device_id", "fault_code", "fault_us", "received", "total", "bits"]
-        )
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in PART_OUTPUT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.parts.clear()
@@ -228,7 +264,8 @@ class CooldownProcessor(StatefulProcessor):
         self.until = handle.getValueState("until", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        table = in_order(rows, "us", "device_id")
+        order = [c for c in ORDER if c in ("us", *self.columns)]
+        table = in_order(rows, *order)
         held = self.until.get()
         entry = NEVER if held is None else held[0]
         suppressed, leaving = walk(table["us"].to_numpy(), table["cooldown"].to_numpy(), entry)

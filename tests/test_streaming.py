@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,15 +86,23 @@ def same(left, right):
     assert left.select(*right.columns).exceptAll(right).count() == 0
 
 
+def flushed(spark, tmp_path, stream, stored, **options):
+    """The summaries that the stream leaves, with ``stored`` as its table."""
+    table, late = str(tmp_path / "summary"), str(tmp_path / "late")
+    dated = stored.withColumn("event_date", F.to_date("timestamp"))
+    jobs.start_summary_flush(
+        stream, lambda: dated, table, late, str(tmp_path / "flush"), NOW, **options
+    ).awaitTermination()
+    return stores.read_summary(spark, table)
+
+
 def test_summary_and_idling(spark, tmp_path):
     events = gps_frame(spark, fixes(random.Random(21), 4, 120, 50 * 3600))
     path = str(tmp_path / "fixes")
     write_in_order(events, path, "timestamp", 3)
     stream = jobs.stream_table(spark, path, events, files_per_batch=1)
     same(collected(jobs.idling_episodes(stream), str(tmp_path / "c1")), idling.idling_episodes(events))
-    table = str(tmp_path / "summary")
-    jobs.start_summary_flush(stream, table, str(tmp_path / "c2"), NOW).awaitTermination()
-    stored = spark.read.parquet(table)
+    stored = flushed(spark, tmp_path, stream, events)
     expected = summary.daily_summary(events)
     assert stored.count() == expected.count()
     kept = {(r.vehicle_id, r.summary_date): r for r in stored.collect()}
@@ -130,30 +139,95 @@ def test_disorder_within_the_lateness_is_as_in_batch(spark, tmp_path):
                 os.utime(f"{path}/{name}", (2000 + i, 2000 + i))
     events = gps_frame(spark, rows)
     stream = jobs.stream_table(spark, path, events, files_per_batch=1)
-    table = str(tmp_path / "summary")
-    jobs.start_summary_flush(stream, table, str(tmp_path / "c"), NOW).awaitTermination()
-    got = {r.vehicle_id: r.asDict() for r in spark.read.parquet(table).collect()}
+    got = {r.vehicle_id: r.asDict() for r in flushed(spark, tmp_path, stream, events).collect()}
     for row in summary.daily_summary(events).collect():
         assert got[row.vehicle_id] == pytest.approx(row.asDict())
 
 
-def test_late_fixes_do_not_reopen_a_day(spark, tmp_path):
-    def fix(day, hour, seq):
-        return ("d", dt.datetime(2024, 5, day, hour), 10.0, float(seq), True, 1.0, 2.0, 3.0, seq)
-
+def test_late_fixes_are_set_aside_and_their_days_worked_out_again(spark, tmp_path):
+    """One device uploads a buffered morning after its evening and after the next day."""
+    rows = sorted(fixes(random.Random(31), 3, 120, 40 * 3600), key=lambda r: r[1])
+    other = [r for r in rows if r[0] != "dev0"]
+    own = [r for r in rows if r[0] == "dev0"]
+    morning, evening = own[10:40], own[:10] + own[40:70]
+    batches = [evening, other[:100], morning[:15], own[70:], morning[15:], other[100:]]
     path = str(tmp_path / "fixes")
-    batches = [[fix(1, 8, 1), fix(1, 9, 2)], [fix(3, 8, 3)], [fix(3, 9, 4)], [fix(1, 10, 5)], [fix(3, 10, 6)]]
-    for i, rows in enumerate(batches):
-        frame = gps_frame(spark, rows)
-        write_in_order(frame, path, "timestamp", 1)
+    for i, part in enumerate(batches):
+        gps_frame(spark, part).coalesce(1).write.mode("append").parquet(path)
         for name in os.listdir(path):
-            if name.startswith("part-") and os.path.getmtime(f"{path}/{name}") == 1000:
+            if name.startswith("part-") and os.path.getmtime(f"{path}/{name}") > 10_000:
                 os.utime(f"{path}/{name}", (2000 + i, 2000 + i))
-    stream = jobs.stream_table(spark, path, gps_frame(spark, []), files_per_batch=1)
-    table = str(tmp_path / "summary")
-    jobs.start_summary_flush(stream, table, str(tmp_path / "c"), NOW).awaitTermination()
-    got = {r.summary_date.day: r.total_distance_km for r in spark.read.parquet(table).collect()}
-    assert got == {1: 1.0, 3: 3.0}
+    events = gps_frame(spark, rows)
+    stream = jobs.stream_table(spark, path, events, files_per_batch=1)
+    found = flushed(spark, tmp_path, stream, events)
+    got = {(r.vehicle_id, r.summary_date): r.asDict() for r in found.collect()}
+    expected = summary.daily_summary(events).collect()
+    assert len(got) == len(expected)
+    for row in expected:
+        mine = {**got[row.vehicle_id, row.summary_date]}
+        if row.vehicle_id == "dev0":
+            # The start is that of the first flush, as in any upsert.
+            mine.update(start_latitude=row.start_latitude, start_longitude=row.start_longitude)
+        assert mine == pytest.approx(row.asDict())
+    late = stores.read_table(spark, str(tmp_path / "late")).collect()
+    assert {(r.device_id, r.ingest_seq) for r in late} == {(r[0], r[-1]) for r in morning}
+    assert {r.reject_reason for r in late} == {"late"}
+
+
+def test_a_stream_goes_on_with_a_running_day_and_shows_its_state(spark, tmp_path):
+    """Batch until noon, stream after; then the whole state is read from the checkpoint."""
+    rows = fixes(random.Random(41), 5, 150, 12 * 3600) + fixes(random.Random(42), 2, 2, 12 * 3600)[:1]
+    events = gps_frame(spark, [r for r in rows if r[1].hour < 12])
+    rest = gps_frame(spark, [r for r in rows if r[1].hour >= 12])
+    whole = events.unionByName(rest)
+    path = str(tmp_path / "fixes")
+    write_in_order(rest, path, "timestamp", 3)
+    stream = jobs.stream_table(spark, path, rest, files_per_batch=1)
+    running = summary.running_days(events)
+    found = flushed(spark, tmp_path, stream, whole, running=running)
+    got = {(r.vehicle_id, r.summary_date): r.asDict() for r in found.collect()}
+    touched = {(r.device_id, r.timestamp.date()) for r in rest.collect()}
+    for row in summary.daily_summary(whole).collect():
+        if (row.vehicle_id, row.summary_date) in touched:
+            assert got.pop((row.vehicle_id, row.summary_date)) == pytest.approx(row.asDict())
+    assert not got
+    live = jobs.live_state(spark, str(tmp_path / "flush")).collect()
+    expected = {(r.vehicle_id, r.summary_date): r.asDict(True) for r in summary.daily_state(whole).collect()}
+    assert len(live) == len({r.vehicle_id for r in live}) == 5
+    for row in live:
+        mine, wanted = row.asDict(True), expected[row.vehicle_id, row.summary_date]
+        for name, value in wanted.items():
+            assert mine[name] == (pytest.approx(value) if isinstance(value, float) else value), name
+
+
+def test_a_table_takes_batches_streams_and_new_checkpoints(spark, tmp_path):
+    """Every writer adds; a batch that is repeated replaces itself."""
+    events = gps_frame(spark, fixes(random.Random(5), 2, 40, 30 * 3600))
+    source, path = str(tmp_path / "fixes"), str(tmp_path / "events")
+    write_in_order(events, source, "timestamp", 2)
+    stream = jobs.stream_table(spark, source, events, files_per_batch=1)
+    seen = []
+
+    def store(batch, batch_id):
+        write = stores.write_of_batch(batch, batch_id)
+        seen.append(write)
+        for _ in range(2):
+            stores.append_gps_events(batch, path, write)
+
+    def run(checkpoint):
+        jobs._start(stream, store, str(tmp_path / checkpoint), "append", NOW).awaitTermination()
+
+    run("c1")
+    run("c1")
+    assert len(seen) == len(set(seen)) == 2
+    assert stores.read_days(path, events).count() == events.count()
+    stores.append_gps_events(events, path)
+    run("c2")
+    assert len(set(seen)) == 4
+    stored = stores.read_table(spark, path)
+    assert stored.count() == 3 * events.count()
+    assert set(stored.columns) == {*events.columns, "event_date"}
+    assert stores.read_days(path, events).distinct().count() == events.count()
 
 
 def test_parts_and_cooldown(spark, tmp_path):
@@ -224,12 +298,13 @@ def test_ingest(spark, given, tmp_path):
     labels = jobs.Lookup(lambda: tables.fault_labels(spark, given))
     events, letters = str(tmp_path / "events"), str(tmp_path / "letters")
     strange = str(tmp_path / "strange")
-    jobs.start_gps_ingest(
-        messages, devices, events, letters, str(tmp_path / "c1"), NOW, unknown_path=strange
-    ).awaitTermination()
+    ingest = jobs.start_gps_ingest(
+        messages, devices, events, letters, strange, str(tmp_path / "c1"), NOW
+    )
+    ingest.awaitTermination()
     decoded = decode.decode_gps(tables.raw_gps(spark, given))
     expected = clean.enrich_device(clean.dedup(decode.good(decoded, GPS_COLUMNS)), tables.devices(spark, given))
-    stored = spark.read.parquet(events)
+    stored = stores.read_table(spark, events)
     key = ["device_id", "timestamp", "device_name"]
     same(stored.select(*key), expected.select(*key))
     assert spark.read.parquet(letters).count() == expected.where("speed >= 70").count()
@@ -239,18 +314,23 @@ def test_ingest(spark, given, tmp_path):
 
     refused = str(tmp_path / "refused")
     jobs.start_quarantine(messages, refused, str(tmp_path / "c2"), NOW).awaitTermination()
+    counted = Counter()
+    for progress in ingest.recentProgress:
+        counted.update(progress.observedMetrics[jobs.REFUSED].asDict())
+    by_reason = dict(decode.refused(decoded).groupBy("reject_reason").count().collect())
+    assert {k: n for k, n in counted.items() if k != "good" and n} == by_reason
     bad = decode.decode_faults(tables.raw_faults(spark, given))
     assert spark.read.parquet(refused).count() == decode.refused(decoded).count() + decode.refused(bad).count()
 
     table = str(tmp_path / "faults")
     until_read(
         jobs.start_fault_ingest(
-            messages, devices, labels, table, str(tmp_path / "c3"), SOON, rejected_path=str(tmp_path / "rejected")
+            messages, devices, labels, table, str(tmp_path / "rejected"), str(tmp_path / "c3"), SOON
         ),
         raw.where("routing_key = 'fault'").count(),
     )
     assert len(reads) == 1
-    stored = spark.read.parquet(table)
+    stored = stores.read_table(spark, table)
     alerts = str(tmp_path / "alerts")
     jobs.start_fault_alerts(
         jobs.stream_table(spark, table, stored), alerts, str(tmp_path / "c4"), NOW
@@ -270,6 +350,46 @@ def test_ingest(spark, given, tmp_path):
     assert {c for c in unnamed if c[0] not in names} <= {(r.device_id, r.fault_code, r.timestamp) for r in lost}
 
 
+def test_one_query_takes_the_whole_feed(spark, given, tmp_path):
+    """Every message in one table, as in batch; a repeated batch changes nothing."""
+    raw = tables.raw_messages(spark, given).where("floor(ingest_seq / 2) % 3 = 0").orderBy("ingest_seq").cache()
+    path, places = str(tmp_path / "raw"), [str(tmp_path / name) for name in ("events", "parts", "lost", "seen")]
+    for k in range(3):
+        raw.where(F.col("ingest_seq") % 5 % 3 == k).coalesce(1).write.mode("append").json(path)
+    messages = stores.stream_messages(spark, path, files_per_batch=1)
+    devices = jobs.Lookup(lambda: tables.devices(spark, given))
+
+    def run(checkpoint):
+        jobs.start_feed(messages, devices, *places, checkpoint, NOW).awaitTermination()
+
+    run(str(tmp_path / "c"))
+    events, parts, lost = (stores.read_table(spark, p) for p in places[:3])
+    gps = decode.decode_gps(decode.route(raw, "gps"))
+    good = decode.good(gps, GPS_COLUMNS)
+    expected = clean.enrich_device(clean.dedup(good), tables.devices(spark, given))
+    key = ["device_id", "timestamp", "device_name"]
+    same(events.select(*key), expected.select(*key))
+    bad = decode.decode_faults(decode.route(raw, "fault"))
+    same(parts.select(*FAULT_COLUMNS), decode.good(bad, FAULT_COLUMNS))
+    assert events.count() + parts.count() + lost.count() == raw.count()
+    reasons = dict(lost.groupBy("reject_reason").count().collect())
+    copies = good.count() - clean.dedup(good).count()
+    unknown = clean.unknown_devices(clean.dedup(good), tables.devices(spark, given)).count()
+    assert copies > 0 and reasons["duplicate"] == copies and reasons["unknown_device"] == unknown
+    assert reasons["unknown_route"] == decode.unrouted(raw).count()
+    assert lost.where("body is null or reject_reason is null").count() == 0
+    # The last batch again, as after a crash before it was marked as done.
+    before = [stores.read_table(spark, p).count() for p in places]
+    last = max(int(n) for n in os.listdir(tmp_path / "c" / "commits") if n.isdigit())
+    (tmp_path / "c" / "commits" / str(last)).unlink()
+    run(str(tmp_path / "c"))
+    assert [stores.read_table(spark, p).count() for p in places] == before
+    # A new query finds all of it done.
+    run(str(tmp_path / "c2"))
+    assert stores.read_table(spark, places[0]).count() == before[0]
+    assert stores.read_table(spark, places[3]).count() == before[3]
+
+
 def test_lookup_life():
     now, reads = [0.0], []
     lookup = jobs.Lookup(lambda: reads.append(1) or len(reads), 300.0, lambda: now[0], hold=lambda n: n)
