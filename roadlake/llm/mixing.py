@@ -6,12 +6,13 @@ divided by the source's target. All copies are range-sorted by finish time and t
 until the total budget is reached, so that the sources advance side by side.
 
 Nulls and ties: sources count by code point, null last and as one source. A null text
-has no words. Rows alike in id, source and size are one entry of the mix: each of them
-is taken as often as the entry. Reruns agree, since the shuffle is a hash of the id and
-ties go by source, id and size. An empty table gives an empty result; other columns are
-not looked at.
+has no words. Every row is an entry of its own, so the cut may fall between rows alike.
+Reruns agree, since the shuffle is a hash of the id and ties go by source, id and size;
+which of several rows alike in all of these is taken is left open. An empty table gives
+an empty result; other columns are not looked at.
 
-Per-source windows run over the table of sources alone, one row each.
+Per-source windows run over the table of sources alone, one row of some 100 bytes each, in
+one task: sources may be sites, but no more than fit a task, some millions.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def source_targets(
     their weight's share of the rest. k is the least that leaves none above its limit,
     and of all k that do so it has the highest level.
     """
-    each = sizes.groupBy("source").agg(F.sum("entry_size").alias("source_size"))
+    each = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))
@@ -72,51 +73,43 @@ def mix_sources(
     text_col: str = "text",
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST_COPIES,
+    row: Column | None = None,
 ) -> DataFrame:
-    """Per entry: ``id``, ``source``, ``size``, ``entries`` (equal rows), ``source_size``,
-    ``target``, ``copies`` (how often the mix takes it)."""
+    """Per row: ``row``, ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``
+    (how often the mix takes it).
+
+    ``row`` tells rows apart and must be the same each time ``docs`` is read; if it is not
+    given the rows are numbered here, and the numbers mean nothing outside.
+    """
     sized = docs.select(
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         n_words(F.col(f"`{text_col}`").cast("string")).alias("size"),
     )
-    entries = sized.groupBy("id", "source", "size").agg(F.count("*").alias("entries"))
-    entries = entries.withColumn("entry_size", F.col("size") * F.col("entries"))
-    entries = pin(entries, "sizes")
-    sources = pin(source_targets(entries, weights, most), "targets")
-    named = entries.withColumns(
-        {
-            "shuffled": F.xxhash64(F.col("id"), F.lit("mix")),
-            "key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")),
-        }
-    )
+    sized = pin(sized, "sizes")
+    sources = pin(source_targets(sized, weights, most), "targets")
     # "s" before each name and "t" for null: a key without nulls in the same order.
-    order = [F.col(c) for c in ("key", "shuffled", "id", "size")]
-    queued = with_running_total(named, order, "entry_size", "upto")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))
+    named = sized.withColumns({"shuffled": F.xxhash64(F.col("id"), F.lit("mix")), "key": key})
+    order = [F.col(c) for c in ("key", "shuffled", "id", "size", "row")]
+    queued = with_running_total(named, order, "size", "upto")
     before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     starts = sources.select(
         key.alias("key"), "source_size", "target", "budget"
     ).withColumn("start", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
     queued = pin(queued.join(starts, "key"), "queues")
-    copies = queued.where((F.col("entry_size") > 0) & (F.col("target") > 0)).select(
-        "key", "id", "size", "entry_size", "source_size", "target", "budget",
+    copies = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select(
+        "key", "row", "id", "size", "source_size", "target", "budget",
         (F.col("upto") - F.col("start")).alias("done"),
         F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"),
     )
     finish = (F.col("copy") * F.col("source_size") + F.col("done")) / F.col("target")
     copies = copies.withColumn("finish", finish)
-    order = [F.col(c) for c in ("finish", "key", "copy", "id", "size")]
-    taken = with_running_total(copies, order, "entry_size", "total").where("total <= budget")
-    counts = taken.groupBy("key", "id", "size").agg(F.count("*").alias("copies"))
-    same = [queued["key"] == counts["key"], queued["id"].eqNullSafe(counts["id"])]
-    same.append(queued["size"] == counts["size"])
-    return queued.join(counts, same, "left").select(
-        queued["id"],
-        queued["source"],
-        queued["size"],
-        "entries",
-        "source_size",
-        "target",
+    order = [F.col(c) for c in ("finish", "key", "copy", "id", "size", "row")]
+    taken = with_running_total(copies, order, "size", "total").where("total <= budget")
+    counts = taken.groupBy("row").agg(F.count("*").alias("copies"))
+    return queued.join(counts, "row", "left").select(
+        "row", "id", "source", "size", "source_size", "target",
         F.coalesce("copies", F.lit(0)).alias("copies"),
-    )
+    )

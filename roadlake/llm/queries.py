@@ -82,9 +82,8 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf, "documents"))
-    each = mixed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("entries"))))
     taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
 
 
 def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
