@@ -8,18 +8,24 @@ into shards of near equal size.
 
 A text with so many copies that they overfill a range by themselves is a range of its
 own. It stays whole in one shard unless it is larger than a shard's fair share; only
-then it is subdivided, by the hash of the id. There are fewer such texts than ranges.
+then it is subdivided, by a number that each row has. There are fewer such texts than
+ranges.
+
+Slots are numbered on keys, sizes and row numbers alone; whole records meet their shard by
+row number.
 
 Nulls and ties: a null text is empty and equals an empty one. A row's slot follows
-(range, key, id); rows alike may stand in either order. An empty table gives an empty
+(range, key, id); rows alike may stand in either order, and copies of one text are told
+apart by their row, whether or not they share an id. An empty table gives an empty
 result. Columns of the input stay; where one is named like an output, the output wins.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadlake.session import pin
@@ -119,6 +125,14 @@ def _pack(
     return at, parts
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver has, at most some per range, as one constant."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    shape = "array<struct<" + ", ".join(c.replace(" ", ":") for c in schema.split(", ")) + ">>"
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), shape)))
+
+
 def assign_shards(
     docs: DataFrame,
     shards: int = 40,
@@ -137,7 +151,12 @@ def assign_shards(
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
     ]
-    slim = pin(docs.select(*measures), "keys")
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS]).alias("record")]
+    keyed = docs.select(
+        F.monotonically_increasing_id().alias("row"), *measures, *(kept if carry else [])
+    )
+    records = pin(keyed, "records")
+    slim = records.drop("record")
     total = slim.agg(F.sum("size")).first()[0] or 0
     ranges = shards * RANGES_PER_SHARD
     limit = max(1, total // ranges)
@@ -145,7 +164,7 @@ def assign_shards(
     # Fewer than half as many keys as ranges can each hold two ranges' bytes.
     is_heavy = (F.col("size") > 2 * limit) & (F.col("n") > 1)
     heavy = {r["key"]: r["size"] for r in keys.where(is_heavy).collect()}
-    heavy_keys = F.broadcast(spark.createDataFrame([(k,) for k in sorted(heavy)], "key long"))
+    heavy_keys = F.broadcast(_small_table(spark, [(k,) for k in sorted(heavy)], "key bigint"))
     light = slim.join(heavy_keys, "key", "left_anti")
     cuts = _splitters(_draw(light, total, ranges * SAMPLE_PER_RANGE), ranges)
     sizes = _sizes(light, cuts)
@@ -159,10 +178,10 @@ def assign_shards(
         rows.append((key, of_key, first))
         first += len(of_key)
         places += of_key
-    heavy_parts = F.broadcast(spark.createDataFrame(rows, "key long, parts array<int>, first int"))
+    heavy_parts = F.broadcast(_small_table(spark, rows, "key bigint, parts array<int>, first int"))
 
     def numbered(rows: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64("id", F.lit("part")), F.size("parts")).cast("int")
+        part = F.pmod(F.xxhash64("row", F.lit("part")), F.size("parts")).cast("int")
         number = F.coalesce(F.col("first") + part, _range_of(F.col("key"), cuts))
         joined = rows.join(heavy_parts, "key", "left")
         return joined.withColumn("number", number).drop("parts", "first")
@@ -173,14 +192,13 @@ def assign_shards(
     for number, shard in enumerate(places):
         starts.append(filled[shard])
         filled[shard] += counted.get(number, 0)
-    rows = numbered(docs.select(F.struct("*").alias("row"), *measures)) if carry else numbered(slim)
-    in_range = Window.partitionBy("number").orderBy("key", "id")
+    in_range = Window.partitionBy("number").orderBy("key", "id", "row")
     place = F.col("number") + 1
     shard = F.element_at(F.array(*map(F.lit, places)), place)
     slot = F.element_at(F.array(*map(F.lit, starts)), place) + F.row_number().over(in_range) - 1
-    kept = [c for c in docs.columns if c not in OUTPUTS]
-    return rows.select(
-        *([F.col(f"row.`{c}`") for c in kept] if carry else [F.col("id").alias(id_col)]),
+    placed = numbered(slim).select(
+        "row",
+        *([] if carry else [F.col("id").alias(id_col)]),
         "size",
         F.col("crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
@@ -188,3 +206,6 @@ def assign_shards(
         slot.cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+    if not carry:
+        return placed.drop("row")
+    return records.select("row", "record").join(placed, "row").select("record.*", *OUTPUTS)
