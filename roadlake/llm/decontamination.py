@@ -3,8 +3,9 @@
 Texts are cut into lower-cased words of letters, digits and underscores. Seeds are the
 runs of ``min_words`` words that a text and a benchmark item share, found by comparing
 running Karp-Rabin hashes of the text's words with those of the items. Seeds on one
-diagonal are parts of one match; the longest match is marked first, then the longest
-among what is left unmarked on both sides, until none of ``min_words`` is left. Tiles
+diagonal are parts of one match, which is listed once, where it begins; the longest match
+is marked first, then the longest among what is left unmarked on both sides, until none
+of ``min_words`` is left. Tiles
 may lie in any order, so a passage whose parts were moved about is found all the same.
 An item is in a text if its tiles cover at least ``percent`` of the item's words.
 
@@ -30,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadlake.llm.text import mix
+
 WORD = re.compile(r"\w+")
 MIN_WORDS = 5
 PERCENT = 80
@@ -58,9 +61,41 @@ def running_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return (sums[length:] - sums[:-length]) * inverse
 
 
+def _powers(n: int) -> np.ndarray:
+    """The inverse of BASE to the powers up to ``n``."""
+    return _running_product(pow(BASE, -1, 2**64), n)
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _running_product(BASE, len(words) - 1))])
+
+
+def _pairs(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """One hash of a run and the word before it."""
+    return mix(hashes ^ mix(before, 1), 2)
+
+
+@dataclass
+class Seeds:
+    """The runs of one length of all items, in order of their hash and the word before."""
+
+    length: int
+    hashes: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    #: Hashes of run and word before, in order, with where theirs begin and end.
+    pairs: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+
+#: Stand for the word before an item and before a text.
+BEFORE_ITEM, BEFORE_TEXT = np.uint64(1), np.uint64(2)
+
+
 @dataclass
 class Benchmark:
-    """A portion of the items: word hashes, and seeds by (length, hash) in order."""
+    """A portion of the items as word hashes."""
 
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
@@ -76,85 +111,124 @@ class Benchmark:
             self.words.append(np.array([self.names[w] for w in words], np.uint64))
             self.size += len(words)
 
-    def seeds(self, min_words: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By length: hashes in order, and the item and place of each."""
+    def seeds(self, min_words: int) -> list[Seeds]:
         by_length: dict[int, list] = {}
         for item, words in enumerate(self.words):
             length = min(min_words, len(words))
             hashes = running_hashes(words, length)
+            before = np.concatenate([[BEFORE_ITEM], words])[: len(hashes)]
             places = np.arange(len(hashes))
-            by_length.setdefault(length, []).append((hashes, np.full(len(hashes), item), places))
-        out = {}
+            by_length.setdefault(length, []).append((hashes, before, np.full(len(hashes), item), places))
+        out = []
         for length, rows in by_length.items():
-            columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            order = np.argsort(columns[0], kind="stable")
-            out[length] = tuple(c[order] for c in columns)
+            hashes, before, items, places = (np.concatenate(c) for c in zip(*rows, strict=True))
+            order = np.lexsort((before, hashes))
+            hashes, before, items, places = (c[order] for c in (hashes, before, items, places))
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (before[1:] != before[:-1])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(hashes))
+            pairs = _pairs(hashes[begin], before[begin])
+            by_pair = np.argsort(pairs)
+            out.append(Seeds(length, hashes, items, places, pairs[by_pair], begin[by_pair], end[by_pair]))
         return out
 
 
-def tile(places: np.ndarray, spots: np.ndarray, words: int, least: int) -> tuple[int, int]:
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    counts = high - low
+    of = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + low[of], of
+
+
+def tile(matches: list[tuple[int, int, int]], words: int, spots: int, least: int) -> tuple[int, int]:
     """Words of the item covered, and number of tiles.
 
-    ``places`` and ``spots`` are where each seed lies in the item and in the text.
+    ``matches`` are (length, place in the item, spot in the text), each as long as it can be;
+    item and text have ``words`` and ``spots`` words.
     """
-    order = np.lexsort((places, spots - places))
-    places, spots = places[order], spots[order]
-    new = np.ones(len(places), bool)
-    new[1:] = (np.diff(spots - places) != 0) | (np.diff(places) != 1)
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(places))) + least - 1
-    matches = {}
-    for at, length in zip(starts, lengths, strict=True):
-        matches.setdefault(int(length), []).append((int(places[at]), int(spots[at])))
-    in_item, in_text, covered, tiles = np.zeros(words, bool), set(), 0, 0
-    while matches and covered < words:
-        length = max(matches)
-        for place, spot in sorted(matches.pop(length)):
-            free = [
-                not in_item[place + k] and (spot + k) not in in_text for k in range(length)
-            ]
-            if all(free):
-                in_item[place : place + length] = True
-                in_text.update(range(spot, spot + length))
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for length, place, spot in matches:
+        by_length.setdefault(length, []).append((place, spot))
+    in_item, in_text, covered, tiles = np.zeros(words, bool), np.zeros(spots, bool), 0, 0
+    while by_length and words - covered >= least:
+        length = max(by_length)
+        for place, spot in sorted(by_length.pop(length)):
+            marked = in_item[place : place + length] | in_text[spot : spot + length]
+            if not marked.any():
+                in_item[place : place + length] = in_text[spot : spot + length] = True
                 covered, tiles = covered + length, tiles + 1
                 continue
-            start = None
-            for k, is_free in enumerate([*free, False]):
-                if is_free and start is None:
-                    start = k
-                elif not is_free and start is not None:
-                    if k - start >= least:
-                        matches.setdefault(k - start, []).append((place + start, spot + start))
-                    start = None
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]]).astype(np.int8)))
+            for start, end in zip(edges[::2], edges[1::2], strict=True):
+                if end - start >= least:
+                    by_length.setdefault(int(end - start), []).append((place + int(start), spot + int(start)))
     return covered, tiles
 
 
 class Finder:
+    """Finds items in texts.
+
+    A match is listed once, where it begins: where the words before a shared run differ. Its
+    length is found by halving, comparing hashes of ever longer runs. So what is held of a
+    text follows its matches, not the pairs of places that share a run.
+    """
+
     def __init__(self, benchmark: Benchmark, min_words: int, percent: int) -> None:
         self.benchmark, self.percent = benchmark, percent
         self.seeds = benchmark.seeds(min_words)
+        self.sizes = np.array([len(w) for w in benchmark.words])
+        sums = [_sums(w) for w in benchmark.words]
+        self.sums = np.concatenate(sums) if sums else np.zeros(0, np.uint64)
+        self.starts = np.cumsum([0, *map(len, sums)])[:-1]
+        self.longest = int(self.sizes.max(initial=0))
+
+    def _lengths(self, sums, powers, items, places, spots, least: int) -> np.ndarray:
+        """How long the matches are, of which ``least`` words are known to agree."""
+        low = np.full(len(items), least)
+        high = np.minimum(self.sizes[items] - places, len(sums) - 1 - spots)
+        base = self.starts[items] + places
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            own = (self.sums[base + middle] - self.sums[base]) * powers[places]
+            other = (sums[spots + middle] - sums[spots]) * powers[spots]
+            same = own == other
+            low = np.where(open_ & same, middle, low)
+            high = np.where(open_ & ~same, middle - 1, high)
+        return low
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, its words, words covered, tiles) of the items in a text."""
         names = self.benchmark.names
         found = [names.get(w, 0) for w in WORD.findall(text.lower())]
         words = np.array(found, np.uint64)
-        out = []
-        for length, (hashes, items, places) in self.seeds.items():
-            runs = running_hashes(words, length)
-            first = np.minimum(np.searchsorted(hashes, runs), len(hashes) - 1)
-            spots = np.flatnonzero(hashes[first] == runs)
+        out, sums, powers = [], None, None
+        for seeds in self.seeds:
+            runs = running_hashes(words, seeds.length)
+            first = np.minimum(np.searchsorted(seeds.hashes, runs), len(seeds.hashes) - 1)
+            spots = np.flatnonzero(seeds.hashes[first] == runs)
             if not len(spots):
                 continue
-            low = first[spots]
-            counts = np.searchsorted(hashes, runs[spots], side="right") - low
-            spots = np.repeat(spots, counts)
-            step = np.arange(len(spots)) - np.repeat(np.cumsum(counts) - counts, counts)
-            seeds = np.repeat(low, counts) + step
-            for item in np.unique(items[seeds]):
-                own = items[seeds] == item
-                size = len(self.benchmark.words[item])
-                covered, tiles = tile(places[seeds[own]], spots[own], size, length)
+            if sums is None:
+                sums, powers = _sums(words), _powers(max(len(words), self.longest))
+            low, high = first[spots], np.searchsorted(seeds.hashes, runs[spots], side="right")
+            before = np.concatenate([[BEFORE_TEXT], words])[spots]
+            pairs = _pairs(runs[spots], before)
+            at = np.minimum(np.searchsorted(seeds.pairs, pairs), len(seeds.pairs) - 1)
+            goes_on = seeds.pairs[at] == pairs
+            begin, end = np.where(goes_on, seeds.begin[at], high), np.where(goes_on, seeds.end[at], high)
+            one, of_one = _ranges(low, begin)
+            two, of_two = _ranges(end, high)
+            which = np.concatenate([one, two])
+            spots = spots[np.concatenate([of_one, of_two])]
+            items, places = seeds.items[which], seeds.places[which]
+            lengths = self._lengths(sums, powers, items, places, spots, seeds.length)
+            order = np.argsort(items, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(items[order])) + 1):
+                item = items[own[0]]
+                size = int(self.sizes[item])
+                matches = zip(*(c[own].tolist() for c in (lengths, places, spots)), strict=True)
+                covered, tiles = tile(list(matches), size, len(words), seeds.length)
                 if 100 * covered >= self.percent * size:
                     out.append((self.benchmark.ids[item], size, covered, tiles))
         return out
