@@ -9,7 +9,8 @@ number is bounded by the number of places.
 
 Scores use the text alone. Nulls and ties: a null or empty text has no features and gets
 the score of the bias. Rows of labels without an id or a label are left out; of several
-labels of one id the highest counts. Without labelled rows nothing is learned:
+labels of one id the highest counts, of several texts of a labelled id the one with the
+least hash. Without labelled rows nothing is learned:
 all scores are 0.5. Repeated rows get the same score; an empty table gives an empty
 result; other columns are not looked at.
 """
@@ -107,6 +108,9 @@ def fit(
     texts = docs.select(doc.alias("text_doc"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     # At most TRAIN_ROWS rows of three numbers.
     rows = texts.join(F.broadcast(sample), F.col("text_doc") == F.col("doc"))
+    # Texts of one id fold before they meet, so a task has one for each of its ids.
+    least = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows = rows.groupBy("doc", "dice", "toxic").agg(least)
     workers = max(1, -(-sample.count() // WORKER_ROWS))
     worker = F.pmod("dice", F.lit(workers))
     weights = (
