@@ -35,7 +35,7 @@ from roadlake.session import pin
 LAST = 2**63 - 1
 THRESHOLD = 0.9
 #: Classes of a group; a task holds two groups.
-GROUP = 8192
+GROUP = 4096
 #: Classes along a side of a tile.
 TILE = 1024
 #: int8 products of so many entries are exact in single precision.
