@@ -39,12 +39,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: up to three rows, or none."""
-    mixed = mixing.mix_sources(docs).where("copies > 0")
-    chosen = pin(mixed.select("id", F.col("source").alias("of"), "size", "copies"), "mix")
-    same = docs["doc_id"].eqNullSafe(chosen["id"]) & docs["source"].eqNullSafe(chosen["of"])
-    joined = docs.join(chosen, same & (mixing.n_words(docs["text"]) == chosen["size"]))
-    each = F.explode(F.sequence(F.lit(1), chosen["copies"]))
-    return joined.select(*(docs[c] for c in docs.columns), each.alias("_copy")).drop("_copy")
+    # The input's columns travel inside one, so that no name of theirs can clash.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("record"))
+    numbered = pin(numbered, "numbered")
+    looked_at = numbered.select("row", "record.doc_id", "record.source", "record.text")
+    mixed = mixing.mix_sources(looked_at, row=F.col("row"))
+    chosen = mixed.where("copies > 0").select("row", "copies")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return numbered.join(chosen, "row").select("record", each.alias("copy")).select("record.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
