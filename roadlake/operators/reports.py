@@ -152,7 +152,7 @@ def utilization_report(
 ) -> tuple[DataFrame, DataFrame]:
     """A sorted page of scores, and the counts of the whole selection."""
     if report_by not in UTILIZATION:
-        raise ValueError(f"report_by must be one of {sorted(UTILIZATION)}")
+        raise ValueError(f"no utilization is registered as {report_by!r}; there are {sorted(UTILIZATION)}")
     chosen = in_dates(summary, "summary_date", start, end)
     rows = page_of(chosen, sort_order(report_by, sort_by, direction), page, page_size)
     return UTILIZATION[report_by][1](rows, target), page_counts(chosen, page_size)
@@ -262,7 +262,7 @@ def efficiency_report(
     selection is paged first and only that page is aggregated.
     """
     if granularity not in GRANULARITIES:
-        raise ValueError(f"granularity must be one of {sorted(GRANULARITIES)}")
+        raise ValueError(f"unknown period {granularity!r}; reports are made for {sorted(GRANULARITIES)}")
     chosen = of_assets(in_dates(summary, "summary_date", start, end), "vehicle_id", asset_ids)
     rows = page_of(chosen, ["summary_date", "vehicle_id"], *page) if page else chosen
     counts = page_counts(chosen, page[1] if page else 20)
