@@ -1,7 +1,7 @@
 """Partial days: what a stretch of one device-day adds to its summary.
 
 A stretch is a run of fixes with nothing between them. Its partial has a fixed number of
-fields however many fixes it covers, and ``merged`` puts two neighbours together in the same
+fields however many fixes it covers, and ``merged_sql`` puts two neighbours together in the same
 form, so stretches may be folded in any grouping. The engine's state and the running trip
 before a stretch are unknown to it. What depends on them is kept open:
 
@@ -30,7 +30,7 @@ from roadlake.operators.lookback import SPAN_SECONDS, with_slice
 DAY_KEYS = ["device_id", "summary_date"]
 ORDER = ["us", "ingest_seq"]
 PLACE = ["latitude", "longitude", "odometer", "fuel_gauge"]
-#: The fields of a partial that ``merged`` works out; the others are the first's or the last's.
+#: The fields of a partial that ``merged_sql`` works out; the others are the first's or the last's.
 FIRST = ["first_us", "first_state", *(f"first_{c}" for c in PLACE)]
 LAST = ["last_us", "last_state", *(f"last_{c}" for c in PLACE)]
 FIELDS = [
@@ -119,32 +119,35 @@ def partial_days(
     return folded.withColumn("open_ended", ended).select(*DAY_KEYS, "slice", *FIELDS)
 
 
-def merged(a: Column, b: Column, threshold_us: int | None) -> Column:
-    """The partial of two neighbouring stretches, ``a`` before ``b``."""
-    starts = (b["first_state"] == MOVING) & (a["last_state"] != MOVING)
-    of_first = starts & waited(b["first_us"], b["head_idle_us"], threshold_us)
-    running = a["open_us"].isNotNull() & ~a["open_ended"] & ~starts
-    of_open = running & waited(a["open_us"], b["head_idle_us"], threshold_us)
-    head_goes_on = a["open_us"].isNull() & ~starts
-    gap = F.when(b["first_state"].isin(STATIONARY, MOVING), b["first_us"] - a["last_us"]).otherwise(0)
-    has_second = a["fixes"] >= 2
+def _waited_sql(since: str, until: str, threshold_us: int | None) -> str:
+    return "false" if threshold_us is None else f"coalesce({until} - {since} >= {threshold_us}L, false)"
+
+
+def merged_sql(a: str, b: str, threshold_us: int | None) -> str:
+    """The partial of two neighbouring stretches, ``a`` before ``b``.
+
+    As text: built column by column, an expression of this size takes longer to plan than to run.
+    """
+    starts = f"({b}.first_state = {MOVING} AND {a}.last_state <> {MOVING})"
+    of_first = f"({starts} AND {_waited_sql(f'{b}.first_us', f'{b}.head_idle_us', threshold_us)})"
+    running = f"{a}.open_us IS NOT NULL AND NOT {a}.open_ended AND NOT {starts}"
+    of_open = f"({running} AND {_waited_sql(f'{a}.open_us', f'{b}.head_idle_us', threshold_us)})"
+    head_goes_on = f"{a}.open_us IS NULL AND NOT {starts}"
+    engine_on = f"{b}.first_state IN ({STATIONARY}, {MOVING})"
     found = {
-        "fixes": a["fixes"] + b["fixes"],
-        **{c: a[c] for c in FIRST},
-        "second_us": F.when(has_second, a["second_us"]).otherwise(b["first_us"]),
-        "second_state": F.when(has_second, a["second_state"]).otherwise(b["first_state"]),
-        "head_idle_us": F.when(head_goes_on, F.greatest(a["head_idle_us"], b["head_idle_us"])).otherwise(
-            a["head_idle_us"]
-        ),
-        "on_us": a["on_us"] + b["on_us"] + gap,
-        "trips": a["trips"] + b["trips"] + of_first.cast("long") + of_open.cast("long"),
-        "open_us": F.coalesce(b["open_us"], F.when(starts, b["first_us"]), a["open_us"]),
-        "open_ended": F.when(b["open_us"].isNotNull(), b["open_ended"])
-        .when(starts, of_first)
-        .otherwise(a["open_ended"] | of_open),
-        **{c: b[c] for c in LAST},
+        "fixes": f"{a}.fixes + {b}.fixes",
+        **{c: f"{a}.{c}" for c in FIRST},
+        "second_us": f"if({a}.fixes >= 2, {a}.second_us, {b}.first_us)",
+        "second_state": f"if({a}.fixes >= 2, {a}.second_state, {b}.first_state)",
+        "head_idle_us": f"if({head_goes_on}, greatest({a}.head_idle_us, {b}.head_idle_us), {a}.head_idle_us)",
+        "on_us": f"{a}.on_us + {b}.on_us + if({engine_on}, {b}.first_us - {a}.last_us, 0L)",
+        "trips": f"{a}.trips + {b}.trips + if({of_first}, 1L, 0L) + if({of_open}, 1L, 0L)",
+        "open_us": f"coalesce({b}.open_us, if({starts}, {b}.first_us, NULL), {a}.open_us)",
+        "open_ended": f"CASE WHEN {b}.open_us IS NOT NULL THEN {b}.open_ended WHEN {starts} THEN {of_first} "
+        f"ELSE {a}.open_ended OR {of_open} END",
+        **{c: f"{b}.{c}" for c in LAST},
     }
-    return F.struct(*[found[c].alias(c) for c in FIELDS])
+    return "named_struct(" + ", ".join(f"'{c}', {found[c]}" for c in FIELDS) + ")"
 
 
 def merged_days(partials: DataFrame, threshold_us: int | None, keys: list[str] = DAY_KEYS) -> DataFrame:
@@ -153,11 +156,9 @@ def merged_days(partials: DataFrame, threshold_us: int | None, keys: list[str] =
     ``slice`` orders the partials of a day. Each must cover what the others do not.
     """
     each = partials.select(*keys, F.struct("slice", F.struct(*FIELDS).alias("part")).alias("one"))
-    days = each.groupBy(*keys).agg(F.sort_array(F.collect_list("one")).alias("all"))
-    rest = F.slice("all", 2, F.size("all"))
-    whole = F.aggregate(
-        rest, F.get("all", F.lit(0))["part"], lambda a, b: merged(a, b["part"], threshold_us)
-    )
+    days = each.groupBy(*keys).agg(F.sort_array(F.collect_list("one")).alias("parts"))
+    step = f"(a, b) -> {merged_sql('a', 'b.part', threshold_us)}"
+    whole = F.expr(f"aggregate(slice(parts, 2, size(parts)), parts[0].part, {step})")
     return days.select(*keys, whole.alias("part"))
 
 
@@ -257,44 +258,27 @@ def trips_of_days(events: DataFrame, threshold_us: int, span_seconds: int = SPAN
     )
     facts = [c for c in slices.columns if c not in (*DAY_KEYS, "slice")]
     days = slices.groupBy(*DAY_KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("slice", F.struct(*facts).alias("of")))).alias("all")
-    )
-    pairs = "array<struct<start_us:bigint,end_us:bigint>>"
-    nothing = F.struct(
-        F.lit(0).cast("long").alias("fixes"),
-        F.lit(OFF).alias("state"),
-        F.lit(None).cast("long").alias("open_us"),
-        F.array().cast(pairs).alias("done"),
+        F.sort_array(F.collect_list(F.struct("slice", F.struct(*facts).alias("of")))).alias("parts")
     )
-
-    def follow(held: Column, one: Column) -> Column:
-        of = one["of"]
-        first_of_day = held["fixes"] == 0
-        moves = of["first_state"] == MOVING
-        by_second = first_of_day & moves & (of["second_state"] == MOVING)
-        by_first = ~first_of_day & moves & (held["state"] != MOVING)
-        since = (
-            F.when(by_second, of["second_us"]).when(by_first, of["first_us"]).otherwise(held["open_us"])
-        )
-        would_end = F.least(
-            F.array_min(F.filter(of["early"], lambda us: us >= since + threshold_us)), of["late"]
-        )
-        end = (
-            F.when(by_second, of["end_of_second"])
-            .when(by_first, of["end_of_first"])
-            .otherwise(F.when(since.isNotNull(), would_end))
-        )
-        over_head = F.when(end.isNotNull(), F.array(F.struct(since.alias("start_us"), end.alias("end_us"))))
-        still = F.when(of["open_rn"].isNotNull(), of["open_us"]).otherwise(F.when(end.isNull(), since))
-        ended = of["open_rn"].eqNullSafe(of["ended_rn"]) & of["open_rn"].isNotNull()
-        fixes = held["fixes"] + of["fixes"]
-        return F.struct(
-            fixes.alias("fixes"),
-            F.when(fixes == 1, OFF).otherwise(of["last_state"]).alias("state"),
-            F.when(~ended, still).alias("open_us"),
-            F.concat(
-                held["done"], F.coalesce(over_head, F.array().cast(pairs)), of["inside"]
-            ).alias("done"),
-        )
-
-    return days.select(*DAY_KEYS, F.inline(F.aggregate("all", nothing, follow)["done"]))
+    since = """CASE WHEN held.fixes = 0 THEN if(of.first_state = {m} AND of.second_state = {m}, of.second_us, NULL)
+        WHEN of.first_state = {m} AND held.state <> {m} THEN of.first_us ELSE held.open_us END"""
+    since = since.format(m=MOVING).replace("of.", "one.of.")
+    end = f"""CASE WHEN held.fixes = 0 THEN if(one.of.first_state = {MOVING} AND one.of.second_state = {MOVING},
+            one.of.end_of_second, NULL)
+        WHEN one.of.first_state = {MOVING} AND held.state <> {MOVING} THEN one.of.end_of_first
+        WHEN held.open_us IS NOT NULL THEN least(one.of.late,
+            array_min(filter(one.of.early, us -> us >= held.open_us + {threshold_us}L))) END"""
+    ended = "coalesce(one.of.open_rn = one.of.ended_rn, false)"
+    fixes = "held.fixes + one.of.fixes"
+    pairs = "array<struct<start_us: bigint, end_us: bigint>>"
+    follow = f"""named_struct(
+        'fixes', {fixes},
+        'state', if({fixes} = 1, {OFF}, one.of.last_state),
+        'open_us', CASE WHEN {ended} THEN NULL WHEN one.of.open_rn IS NOT NULL THEN one.of.open_us
+            WHEN ({end}) IS NULL THEN ({since}) END,
+        'done', concat(held.done, if(({end}) IS NULL, CAST(array() AS {pairs}),
+            array(named_struct('start_us', ({since}), 'end_us', ({end})))), one.of.inside))"""
+    nothing = f"""named_struct('fixes', 0L, 'state', {OFF}, 'open_us', CAST(NULL AS bigint),
+        'done', CAST(array() AS {pairs}))"""
+    found = F.expr(f"aggregate(parts, {nothing}, (held, one) -> {follow}).done")
+    return days.select(*DAY_KEYS, F.inline(found))
