@@ -50,8 +50,11 @@ WHITENED = (
 def whole_numbers(vector: Column) -> Column:
     """floor(1024 * c) + 100000 of each entry; null if the vector takes no part."""
     bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    scaled = F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE) + OFFSET)
-    return F.when(~bad, scaled)
+
+    def scaled(c: Column) -> Column:
+        return F.least(F.floor(c.cast("double") * SCALE), F.lit(LAST - OFFSET)) + OFFSET
+
+    return F.when(~bad, F.transform(vector, scaled))
 
 
 def pivoted_cholesky(matrix: np.ndarray) -> np.ndarray:

@@ -221,6 +221,9 @@ def test_deviations_stop_at_the_end_of_a_long(spark):
     found = whitening.whiten_embeddings(vector_table(spark, rows)).collect()
     assert {r["deviation"] for r in found} == {LAST}
     assert {round(abs(r["whitened"]), 9) for r in found} == {1.0}
+    rows = [(k, [1e30 if k % 2 else -1e38, float(k % 3)]) for k in range(12)]
+    found = whitening.whiten_embeddings(vector_table(spark, rows)).collect()
+    assert {r["deviation"] for r in found} == {LAST} and len(found) >= 12
 
 
 def test_cholesky_and_jacobi_factor_any_rank():
