@@ -141,19 +141,25 @@ class _Typed:
             return F.when(value, "True").otherwise("False")
         return value.cast("string")
 
+    def option(self, key: str) -> tuple[Column, Column]:
+        """The text or the number that options are held against; the other is null."""
+        none = F.lit(None)
+        own = F.col(f"data.`{key}`") if key in self.types else none
+        text, plain = (own, none) if key in self.types and self._is_text(key) else (none, own)
+        return text.cast("string"), plain.cast("double")
+
     def value(self, key: str) -> Column:
         """What a rule of a table (``rule_table``) asks of a key; null where it is missing."""
         if key not in self.types:
             return F.lit(None).cast(VALUE)
-        own = F.col(f"data.`{key}`")
-        is_text = self._is_text(key)
+        text, plain = self.option(key)
         return F.when(
-            own.isNotNull(),
+            F.col(f"data.`{key}`").isNotNull(),
             F.struct(
                 F.lit(key).alias("key"),
-                F.lit(is_text).alias("is_text"),
-                (own if is_text else F.lit(None).cast("string")).alias("text"),
-                (F.lit(None) if is_text else own).cast("double").alias("plain"),
+                F.lit(self._is_text(key)).alias("is_text"),
+                text.alias("text"),
+                plain.alias("plain"),
                 self.number(key).alias("number"),
                 self.text(key).alias("shown"),
             ),
@@ -189,17 +195,21 @@ class _Variant:
             found = found | (~is_text & value.isin(numbers))
         return found
 
-    def value(self, key: str) -> Column:
+    def option(self, key: str) -> tuple[Column, Column]:
         own = F.try_variant_get("data", f"$['{key}']", "string")
         is_text = self._kind(key) == "STRING"
         plain = F.try_variant_get("data", f"$['{key}']", "double")
+        return F.when(is_text, own), F.when(~is_text, plain)
+
+    def value(self, key: str) -> Column:
+        text, plain = self.option(key)
         return F.when(
             self._value(key).isNotNull() & (self._kind(key) != "VOID"),
             F.struct(
                 F.lit(key).alias("key"),
-                is_text.alias("is_text"),
-                F.when(is_text, own).alias("text"),
-                F.when(~is_text, plain).alias("plain"),
+                (self._kind(key) == "STRING").alias("is_text"),
+                text.alias("text"),
+                plain.alias("plain"),
                 self.number(key).alias("number"),
                 self.text(key).alias("shown"),
             ),

@@ -9,6 +9,12 @@ rules found in this way, and only for those.
 Rules and index are dimensions: Spark broadcasts them under its size threshold. An array of
 bounds has one entry per rule that is anchored by a bound on that key.
 
+``tallies`` counts the letters of each recipient without writing them. Most rules have at
+most one membership test and one lower bound. Events are folded by what such a test looks at
+and by how many of the rules' different bounds they pass; sums from the highest bound down
+give every rule its letters. Work follows events and rules, not their pairs. Rules with more
+tests of a kind go by their letters.
+
 The tests are those of ``alerts.AlertRule`` and give the same answers on both envelope forms.
 """
 
@@ -16,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadlake.functions.once import once
@@ -27,8 +33,10 @@ RULE_SCHEMA = """
     rule_id long, email string, event_types array<string>,
     tests array<struct<key: string, bound: double, texts: array<string>, numbers: array<double>, shown: string>>
 """
-#: Halvings that find a place among any number of bounds that fit a row.
-HALVINGS = 31
+#: What the rules of one ladder of bounds have in common.
+GROUP = ["event_type", "option_key", "bound_key", "token"]
+#: Rules without options look at every event of a type; these meet their ladder in so many parts.
+PARTS = 64
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[AlertRule]) -> DataFrame:
@@ -69,43 +77,48 @@ def _anchored(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", of_type, anchor.alias("anchor"))
 
 
+def _tokens(test: Column) -> Column:
+    """The options of a membership test as join keys."""
+    return F.array_distinct(
+        F.concat(
+            F.transform(test["texts"], lambda o: _token(o, F.lit(None).cast("double"))),
+            F.transform(test["numbers"], lambda o: _token(F.lit(None).cast("string"), o)),
+        )
+    )
+
+
 def _by_option(rules: DataFrame) -> DataFrame:
     anchor = F.col("anchor")
-    tokens = F.concat(
-        F.transform(anchor["texts"], lambda o: _token(o, F.lit(None).cast("double"))),
-        F.transform(anchor["numbers"], lambda o: _token(F.lit(None).cast("string"), o)),
-    )
     rows = _anchored(rules).where(anchor.isNotNull() & anchor["bound"].isNull())
-    return rows.select(
-        "event_type", anchor["key"].alias("key"), F.explode(F.array_distinct(tokens)).alias("token"), "rule_id"
-    )
+    return rows.select("event_type", anchor["key"].alias("key"), F.explode(_tokens(anchor)).alias("token"), "rule_id")
 
 
 def _by_bound(rules: DataFrame) -> DataFrame:
     anchor = F.col("anchor")
     rows = _anchored(rules).where(anchor["bound"].isNotNull())
     entry = F.struct(anchor["bound"].alias("bound"), "rule_id")
-    return rows.groupBy("event_type", anchor["key"].alias("key")).agg(
-        F.sort_array(F.collect_list(entry)).alias("bounds")
+    return _with_steps(
+        rows.groupBy("event_type", anchor["key"].alias("key")).agg(
+            F.sort_array(F.collect_list(entry)).alias("bounds")
+        )
     )
 
 
-def _passed(bounds: Column, value: Column) -> Column:
-    """How many of the sorted bounds are not above the value."""
-    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+def _with_steps(ladders: DataFrame) -> DataFrame:
+    """Add the powers of two, falling, that find a place among the ``bounds``."""
+    digits = F.length(F.bin(F.size("bounds")))
+    powers = F.transform(F.sequence(digits - 1, F.lit(0), F.lit(-1)), lambda d: F.pow(F.lit(2), d).cast("int"))
+    return ladders.withColumn("steps", powers)
 
-    def halve(at: Column, _: Column) -> Column:
-        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
-        fits = F.get(bounds, middle)["bound"] <= value
-        done = at["low"] >= at["high"]
-        return F.named_struct(
-            F.lit("low"),
-            F.when(done | ~fits, at["low"]).otherwise(middle + 1),
-            F.lit("high"),
-            F.when(done | fits, at["high"]).otherwise(middle),
-        )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)["low"]
+def _passed(value: Column) -> Column:
+    """How many of the sorted ``bounds`` are not above the value."""
+
+    def climb(place: Column, step: Column) -> Column:
+        bound = F.get("bounds", place + step - 1)["bound"]
+        return F.when(bound <= value, place + step).otherwise(place)
+
+    return F.aggregate("steps", F.lit(0), climb)
 
 
 def _holds(test: Column, values: Column) -> Column:
@@ -135,7 +148,7 @@ def candidates(envelopes: DataFrame, rules: DataFrame) -> DataFrame:
     kept = [*envelopes.columns, "values", "rule_id"]
     by_option = one.join(_by_option(rules), ["event_type", "key", "token"]).select(*kept)
     bounded = one.join(_by_bound(rules), ["event_type", "key"])
-    passed = F.slice("bounds", F.lit(1), _passed(F.col("bounds"), F.col("value.number")))
+    passed = F.slice("bounds", F.lit(1), _passed(F.col("value.number")))
     by_bound = bounded.where(F.col("value.number").isNotNull()).withColumn(
         "rule_id", F.explode(F.transform(passed, lambda b: b["rule_id"]))
     )
@@ -159,3 +172,95 @@ def notifications(envelopes: DataFrame, rules: DataFrame) -> DataFrame:
     subject = F.concat(F.lit("Alert: "), "event_type", F.lit(" ["), shown, F.lit("]"))
     body = F.to_json(F.struct(*ENVELOPE, "data"))
     return found.select(F.col("email").alias("to"), subject.alias("subject"), body.alias("body"))
+
+
+def _parted(rules: DataFrame) -> DataFrame:
+    """The rules with their first test of either kind, and whether there is no other."""
+    options = F.filter("tests", lambda t: t["bound"].isNull())
+    bounds = F.filter("tests", lambda t: t["bound"].isNotNull())
+    whole = F.forall("tests", lambda t: t["key"].isNotNull())
+    return rules.withColumns(
+        {
+            "simple": F.coalesce((F.size(options) < 2) & (F.size(bounds) < 2) & whole, F.lit(False)),
+            "option": F.get(options, F.lit(0)),
+            "least": F.get(bounds, F.lit(0)),
+        }
+    )
+
+
+def _name(key: Column | str | None) -> Column:
+    """A key as a join key; no key is one of its own."""
+    return F.coalesce(F.concat(F.lit("k"), F.lit(key)), F.lit(""))
+
+
+def _entries(parted: DataFrame) -> DataFrame:
+    """A row per event type and option of each rule, by group and bound; no bound is passed by all."""
+    option, least = F.col("option"), F.col("least")
+    tokens = F.when(option.isNull(), F.array(F.lit(""))).otherwise(_tokens(option))
+    # As in ``notifications``, a row finds all rows of its rule_id.
+    copies = F.count("*").over(Window.partitionBy("rule_id"))
+    rows = parted.where("simple and rule_id is not null").withColumn("copies", copies)
+    typed = rows.withColumn("event_type", F.explode(F.array_distinct("event_types")))
+    return typed.select(
+        "email",
+        "copies",
+        "event_type",
+        _name(option["key"]).alias("option_key"),
+        _name(least["key"]).alias("bound_key"),
+        F.explode(tokens).alias("token"),
+        (F.coalesce(least["bound"], F.lit(float("-inf"))) + 0.0).alias("bound"),
+    )
+
+
+def _simple_tallies(envelopes: DataFrame, parted: DataFrame, kinds: list[tuple[str | None, str | None]]) -> DataFrame:
+    data = reader(envelopes)
+    seen = [
+        F.struct(
+            _name(option).alias("option_key"),
+            _name(bound).alias("bound_key"),
+            (F.lit("") if option is None else _token(*data.option(option))).alias("token"),
+            (F.lit(0.0) if bound is None else data.number(bound)).alias("value"),
+        )
+        for option, bound in kinds
+    ]
+    body = F.to_json(F.struct(*ENVELOPE, "data")).alias("body")
+    events = envelopes.select("event_type", body, F.inline(F.array(*seen))).where("value is not null")
+    entries = _entries(parted)
+    bounds = F.sort_array(F.collect_list(F.struct("bound"))).alias("bounds")
+    ladders = entries.select(*GROUP, "bound").distinct().groupBy(*GROUP).agg(bounds)
+    free = F.col("token") == ""
+    part = F.when(free, F.pmod(F.hash("body"), F.lit(PARTS))).otherwise(0)
+    parts = F.when(free, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    met = _with_steps(ladders).withColumn("part", F.explode(parts))
+    placed = once(events.withColumn("part", part).join(met, [*GROUP, "part"]), place=_passed(F.col("value")))
+    # The place first: rows are sorted for a least text, and the others are mostly equal.
+    folded = placed.groupBy("place", *GROUP).agg(F.count("*").alias("letters"), F.min("body").alias("first_body"))
+    # An event that passes ``place`` bounds passes the first ``place`` of them.
+    rungs = ladders.select(*GROUP, F.posexplode("bounds").alias("before", "rung"))
+    rungs = rungs.select(*GROUP, (F.col("before") + 1).alias("place"), "rung.bound")
+    above = Window.partitionBy(*GROUP).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = rungs.join(folded, [*GROUP, "place"], "left").select(
+        *GROUP,
+        "bound",
+        F.sum("letters").over(above).alias("letters"),
+        F.min("first_body").over(above).alias("first_body"),
+    )
+    found = entries.join(reached.where("letters > 0"), [*GROUP, "bound"])
+    return found.select(F.col("email").alias("to"), (F.col("letters") * F.col("copies")).alias("letters"), "first_body")
+
+
+def tallies(envelopes: DataFrame, rules: DataFrame) -> DataFrame:
+    """``letters`` and ``first_body``, the least in order of text, of each recipient (``to``) of a letter.
+
+    The same as counting ``notifications``. Rows that share a ``rule_id`` are copies of one rule.
+    """
+    parted = _parted(rules)
+    kinds = parted.select("simple", F.col("option.key").alias("option"), F.col("least.key").alias("bound"))
+    kinds = kinds.distinct().collect()
+    simple = [(k["option"], k["bound"]) for k in kinds if k["simple"]]
+    found = _simple_tallies(envelopes, parted, simple) if simple else None
+    if not simple or len(simple) < len(kinds):
+        letters = notifications(envelopes, parted.where("not simple").select(*rules.columns))
+        rest = letters.select("to", F.lit(1).cast("long").alias("letters"), F.col("body").alias("first_body"))
+        found = found.unionByName(rest) if found else rest
+    return found.groupBy("to").agg(F.sum("letters").alias("letters"), F.min("first_body").alias("first_body"))

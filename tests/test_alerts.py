@@ -1,9 +1,13 @@
+import bisect
+import itertools
 import json
 import random
+import threading
 from collections import Counter
 
 import pytest
 
+from roadlake import queries
 from roadlake.operators import alerts, rule_table
 from roadlake.operators.alerts import AlertRule
 from tests.helpers import at
@@ -191,3 +195,79 @@ def test_ten_thousand_rules(spark):
 
 def at_text(time):
     return time.isoformat()
+
+
+def tallied(frame):
+    return sorted((str(r["to"]), r["letters"], r["first_body"]) for r in frame.collect())
+
+
+def counted(letters):
+    bodies = {}
+    for r in letters.collect():
+        bodies.setdefault(str(r["to"]), []).append(r["body"])
+    return sorted((to, len(of), min(of)) for to, of in bodies.items())
+
+
+def test_tallies_are_the_letters_counted(spark):
+    """Of all cases, and of bounds and options on one key, in numbers, on one address, in rows that repeat."""
+    thresholds = [t for _, _, _, t, _ in CASES] + [
+        {"speed": float("-inf")}, {"speed": float("nan")}, {"speed": -0.0}, {"speed": 0.0}, {"odometer": 1},
+        {"speed": 11.0, "odometer": 1.0}, {"device_id": ["d", "e"], "power_on": True}, {"power_on": [True, 0]},
+        {"power_on": [1, True], "speed": 69.9}, {"device_id": ["d", "d"], "speed": 70}, {"device_name": "Truck"}, {},
+    ]
+    rules = tuple(
+        AlertRule(f"{k % 9}@example.com", ("gps", "fault", "gps")[: 1 + k % 3], t) for k, t in enumerate(thresholds)
+    ) + alerts.RULES
+    table = rule_table.rules_frame(spark, rules)
+    table = table.unionByName(table.where("rule_id % 4 = 0").limit(5))
+    strange = spark.createDataFrame(
+        [
+            (None, "a", ["gps"], []), (90, None, ["gps"], []), (91, "b", None, []), (92, "c", ["gps"], None),
+            (94, "f", ["gps"], [("speed", None, None, None, "-")]),
+            (95, "g", ["gps", None], [("device_id", None, ["d", None], [], "-")]),
+        ],
+        table.schema,
+    )
+    table = table.unionByName(strange)
+    slow = named_fixes(spark)
+    rows = slow.union(slow.selectExpr("'e'", "'Van'", "timestamp", "-0.0D", "odometer", "false", *slow.columns[6:]))
+    rows = rows.union(slow.selectExpr("'e'", "null", "timestamp", "double('nan')", *slow.columns[4:]))
+    typed = alerts.gps_envelopes(rows.union(slow.selectExpr("'e'", "'Van'", "timestamp", "null", *slow.columns[4:])))
+    read = parsed(spark, *[envelope(kind, data) for kind, data, *_ in CASES]).where("error is null")
+    for envelopes in (typed, read):
+        found = tallied(rule_table.tallies(envelopes, table))
+        assert found == counted(rule_table.notifications(envelopes, table)) and len(found) > 6
+    assert rule_table.tallies(typed, table.limit(0)).count() == 0
+    assert rule_table.tallies(typed.limit(0), table).count() == 0
+
+
+def test_a_rule_per_customer_at_size(spark, tmp_path):
+    """Some 60 million letters are counted, not written."""
+    customers = spark.range(60_000).selectExpr(
+        "id AS c_custkey", "'Customer ' || id AS c_name", "0.0D AS c_acctbal", "'MACHINERY' AS c_mktsegment"
+    )
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(60_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, 0, id * 7919 % 60000) AS ts",
+        "id % 3 AS user_id", "'view' AS event_type", "id * 37 % 20000 / 100.0D AS value",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    seen = queries._named_gps(spark, str(tmp_path))
+    pairs = [(json.loads(m)["data"], m) for (m,) in alerts.to_messages(alerts.gps_envelopes(seen)).collect()]
+    ladders = {}
+    for device in ("truck_0", "truck_1", "truck_2", None):
+        of = sorted((d["speed"], m) for d, m in pairs if device in (None, d["device_id"]))
+        least = list(itertools.accumulate((m for _, m in reversed(of)), min))
+        ladders[device] = [speed for speed, _ in of], least
+    wanted = []
+    for k in range(60_000):
+        speeds, least = ladders.get(None if k % 50 == 0 else f"truck_{k % 100}", ([], []))
+        n = len(speeds) - bisect.bisect_left(speeds, k % 83 + (40.0 if k % 50 == 0 else 0.0))
+        if n:
+            wanted.append((f"{k}@example.com", n, least[n - 1]))
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        found = tallied(queries.alert_rule_table(spark, str(tmp_path)))
+    finally:
+        stop.cancel()
+    assert found == sorted(wanted) and sum(n for _, n, _ in found) > 60_000_000
